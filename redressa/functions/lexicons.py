@@ -96,6 +96,20 @@ LEXICONS = {
     "anger_term_count": ANGER,
 }
 
+# English stop words: Spark's list, without the entries (short words, words with
+# an apostrophe) that a topic word can never equal.
+ENGLISH_STOP_WORDS = tuple(
+    """
+    myself our ours ourselves you your yours yourself yourselves him his himself she her
+    hers herself its itself they them their theirs themselves what which who whom this that
+    these those are was were been being have has had having does did doing the and but
+    because until while for with about against between into through during before after
+    above below from down out off over under again further then once here there when where
+    why how all any both each few more most other some such nor not only own same than too
+    very can will just don should now cannot could ought would
+    """.split()
+)
+
 # Words dropped by the topic and model vocabularies besides the English list.
 DOMAIN_STOP_WORDS = (
     "xx",

@@ -20,13 +20,13 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from redressa.functions.lexicons import DOMAIN_STOP_WORDS
+from redressa.functions.lexicons import DOMAIN_STOP_WORDS, ENGLISH_STOP_WORDS
 from redressa.functions.text import topic_words
 
 
 def default_stop_words() -> list[str]:
-    """Spark's English list and the domain words."""
-    return sorted({*StopWordsRemover.loadDefaultStopWords("english"), *DOMAIN_STOP_WORDS})
+    """English and domain words."""
+    return sorted({*ENGLISH_STOP_WORDS, *DOMAIN_STOP_WORDS})
 
 
 def with_topic_words(

@@ -1 +1,705 @@
-ORACLES = {}
+"""The same answers as ANSI-style SQL for DuckDB, written apart from the operators.
+
+Each text builds on the shared ``WITH`` steps below: raw rows, first row per
+id, cleaned fields, text measures, modeling rows. DuckDB skips unused steps.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+
+from redressa.functions.fields import NA_TOKENS
+from redressa.functions.lexicons import DOMAIN_STOP_WORDS, ENGLISH_STOP_WORDS, LEXICONS
+from redressa.functions.text import BLANKS, CHARACTER_MEASURES, SHAPE_MEASURES
+from redressa.operators.profile import NUMERIC_FEATURES, PERIOD_MEASURES
+
+CUTOFF = "TIMESTAMP '1998-06-01'"
+
+
+def _quoted(values: Iterable[str]) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+_BLANKS = "'" + BLANKS + "'"
+
+RAW = f"""
+narr AS (
+  SELECT doc_id, CAST(doc_id AS VARCHAR) AS complaint_id, doc_id AS ingest_seq, source AS raw_source,
+    CASE WHEN doc_id % 31 = 0 THEN NULL
+         WHEN doc_id % 29 = 0 THEN '   '
+         ELSE text || CASE doc_id % 8
+           WHEN 0 THEN ' Pursuant to section 15 U.S.C 1681 this is a violation of my rights.'
+           WHEN 1 THEN ' Please help, XXXX charged {{$1,200.50}} on XX/XX/2022!'
+           WHEN 2 THEN ' See the attached police report and letter; they refuse?'
+           WHEN 3 THEN ' I lost my job and cannot pay rent. Thank you.'
+           ELSE '' END
+    END AS consumer_narrative
+  FROM documents),
+both_sources AS (
+  SELECT * FROM narr
+  UNION ALL
+  SELECT n.doc_id, n.complaint_id, n.ingest_seq + 1000000000, 'replay',
+    'COPY ' || coalesce(n.consumer_narrative, '')
+  FROM narr n WHERE n.doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+sent AS (
+  SELECT l_orderkey AS doc_id, min(l_shipdate) AS sent FROM lineitem GROUP BY l_orderkey),
+raw AS (
+  SELECT b.doc_id, b.ingest_seq, b.complaint_id, b.raw_source, b.consumer_narrative,
+    o.o_orderdate AS date_received, s.sent AS date_sent_to_company,
+    CASE b.doc_id % 12
+      WHEN 0 THEN 'Debt collection' WHEN 1 THEN 'Credit card or prepaid card'
+      WHEN 2 THEN 'Checking or savings account' WHEN 3 THEN 'Mortgage'
+      WHEN 4 THEN 'Student loan' WHEN 5 THEN 'Vehicle loan or lease'
+      WHEN 6 THEN 'Payday loan, title loan, or personal loan'
+      WHEN 7 THEN 'Money transfer, virtual currency, or money service'
+      WHEN 8 THEN 'Debt or credit management' WHEN 9 THEN NULL
+      ELSE 'Credit reporting, credit repair services, or other personal consumer reports'
+    END AS product,
+    CASE WHEN b.doc_id % 17 <> 0 THEN p.p_type END AS issue, p.p_brand AS sub_issue,
+    su.s_name AS company, CASE WHEN b.doc_id % 13 <> 0 THEN n.n_name END AS state,
+    CASE b.doc_id % 3 WHEN 0 THEN 'Web' WHEN 1 THEN 'Phone' ELSE 'Referral' END AS submitted_via,
+    CASE (b.doc_id * 7 + o.o_custkey) % 10
+      WHEN 0 THEN 'Closed with monetary relief'
+      WHEN 1 THEN 'Closed with non-monetary relief' WHEN 2 THEN 'Closed with non-monetary relief'
+      WHEN 8 THEN 'In progress' WHEN 9 THEN NULL
+      ELSE CASE WHEN o.o_custkey IS NOT NULL THEN 'Closed with explanation' END
+    END AS company_response,
+    CASE l.quality WHEN 1 THEN 'Yes' WHEN 0 THEN 'No' END AS timely_response,
+    CASE l.toxic WHEN 1 THEN 'Yes' WHEN 0 THEN 'No' END AS consumer_disputed
+  FROM both_sources b
+  LEFT JOIN orders o ON o.o_orderkey = b.doc_id
+  LEFT JOIN part p ON p.p_partkey = b.doc_id
+  LEFT JOIN customer c ON c.c_custkey = o.o_custkey
+  LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey
+  LEFT JOIN supplier su ON su.s_suppkey = o.o_custkey % 10
+  LEFT JOIN labels l ON l.doc_id = b.doc_id
+  LEFT JOIN sent s ON s.doc_id = b.doc_id),
+dedup AS (
+  SELECT * FROM raw
+  QUALIFY row_number() OVER (PARTITION BY complaint_id ORDER BY ingest_seq) = 1)
+"""
+
+
+def _yes_no(column: str) -> str:
+    v = f"lower(trim({column}, {_BLANKS}))"
+    return (
+        f"CASE WHEN {v} IN ('yes', 'y', 'true', '1') THEN 1.0::DOUBLE "
+        f"WHEN {v} IN ('no', 'n', 'false', '0') THEN 0.0::DOUBLE END"
+    )
+
+
+CLEAN = f"""
+clean0 AS (
+  SELECT * REPLACE (coalesce(consumer_narrative, '') AS consumer_narrative),
+    lower(coalesce(product, '')) AS p, lower(coalesce(company_response, '')) AS r,
+    CAST(trim(coalesce(consumer_narrative, ''), {_BLANKS}) <> '' AS INTEGER) AS has_narrative
+  FROM dedup),
+clean AS (
+  SELECT *,
+    CASE WHEN contains(p, 'money transfer') OR contains(p, 'virtual currency') THEN 'Money transfer'
+         WHEN contains(p, 'payday') OR contains(p, 'personal loan') OR contains(p, 'consumer loan')
+           THEN 'Consumer loan'
+         WHEN contains(p, 'vehicle loan') OR contains(p, 'lease') THEN 'Vehicle loan/lease'
+         WHEN contains(p, 'student loan') THEN 'Student loan'
+         WHEN contains(p, 'mortgage') THEN 'Mortgage'
+         WHEN contains(p, 'checking') OR contains(p, 'savings') OR contains(p, 'bank account')
+           THEN 'Bank account'
+         WHEN contains(p, 'credit card') OR contains(p, 'prepaid') THEN 'Credit card/prepaid'
+         WHEN contains(p, 'debt collection') THEN 'Debt collection'
+         WHEN contains(p, 'credit reporting') OR contains(p, 'consumer reports')
+           THEN 'Credit reporting'
+         ELSE 'Other' END AS product_group,
+    {_yes_no('timely_response')} AS timely_binary,
+    {_yes_no('consumer_disputed')} AS consumer_disputed_binary,
+    CAST(floor((epoch_us(date_sent_to_company) - epoch_us(date_received)) / 86400000000.0::DOUBLE)
+      AS BIGINT) AS days_to_company,
+    CAST(year(date_received) AS INTEGER) AS complaint_year,
+    strftime(date_received, '%Y-%m') AS complaint_month,
+    year(date_received) || 'Q' || quarter(date_received) AS complaint_quarter,
+    CAST(coalesce(date_received >= {CUTOFF}, FALSE) AS INTEGER) AS post_cutoff,
+    CASE WHEN contains(r, 'non-monetary relief') THEN 'non_monetary_relief'
+         WHEN contains(r, 'monetary relief') THEN 'monetary_relief'
+         WHEN contains(r, 'explanation') THEN 'explanation' ELSE 'other' END AS response_outcome,
+    CAST(contains(r, 'monetary relief') AND NOT contains(r, 'non-monetary relief') AS INTEGER)
+      AS monetary_relief,
+    CAST(contains(r, 'non-monetary relief') AS INTEGER) AS non_monetary_relief,
+    CAST(contains(r, 'monetary relief') AS INTEGER) AS any_relief,
+    CAST(contains(r, 'explanation') AS INTEGER) AS closed_with_explanation,
+    CAST(contains(r, 'closed') AS INTEGER) AS closed_response
+  FROM clean0),
+modeling0 AS (
+  SELECT * FROM clean
+  WHERE has_narrative = 1 AND date_received IS NOT NULL AND company_response IS NOT NULL)
+"""
+
+
+def _hits(column: str, terms: Iterable[str]) -> str:
+    parts = []
+    for term in terms:
+        q = term.replace("'", "''")
+        parts.append(f"(length({column}) - length(replace({column}, '{q}', ''))) // {len(term)}")
+    return "CAST(" + " + ".join(parts) + " AS INTEGER)"
+
+
+def _measures(source: str, name: str) -> str:
+    """Steps that add the text measures to ``source`` under ``name``."""
+    lexicon = ",\n    ".join(f"{_hits('low', terms)} AS {m}" for m, terms in LEXICONS.items())
+    return rf"""
+{name}_w AS (
+  SELECT *, regexp_extract_all(low, '[A-Za-z]+(?:''[A-Za-z]+)?|\p{{Nd}}+(?:\.\p{{Nd}}+)?') AS words
+  FROM (SELECT *, consumer_narrative AS t, lower(consumer_narrative) AS low FROM {source})),
+{name}_c AS (
+  SELECT *, CAST(len(words) AS INTEGER) AS n_words,
+    list_filter(words, lambda w: regexp_full_match(w, '[a-z]+')) AS plain,
+    CAST(CASE WHEN t = '' THEN 0
+      ELSE greatest(1, len(regexp_extract_all(t, '[.!?]+'))) END AS INTEGER) AS n_sentences,
+    len(regexp_extract_all(t, '[A-Z]')) AS upper_letters,
+    len(regexp_extract_all(t, '[A-Za-z]')) AS letters
+  FROM {name}_w),
+{name} AS (
+  SELECT * EXCLUDE (words, plain, upper_letters, letters),
+    CAST(length(t) AS INTEGER) AS n_chars,
+    CASE WHEN len(plain) = 0 THEN 0.0 ELSE
+      CAST(list_sum(list_transform(plain, lambda w: length(w))) AS DOUBLE) / len(plain)
+      END AS avg_word_len,
+    CASE WHEN n_sentences = 0 THEN 0.0 ELSE CAST(n_words AS DOUBLE) / n_sentences END
+      AS avg_sentence_len,
+    CASE WHEN n_words = 0 THEN 0.0 ELSE CAST(len(list_distinct(words)) AS DOUBLE) / n_words END
+      AS lexical_diversity,
+    CASE WHEN letters = 0 THEN 0.0 ELSE CAST(upper_letters AS DOUBLE) / letters END
+      AS uppercase_ratio,
+    CAST(len(regexp_extract_all(t, '\p{{Nd}}')) AS INTEGER) AS digit_count,
+    CAST(len(regexp_extract_all(t, '\{{\$[0-9,]+(?:\.[0-9]+)?\}}|\$[0-9,]+')) AS INTEGER)
+      AS money_amount_count,
+    CAST(len(list_filter(regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+'),
+      lambda w: regexp_full_match(w, 'X{{2,}}'))) AS INTEGER) AS redaction_count,
+    CAST(length(t) - length(replace(t, '?', '')) AS INTEGER) AS question_count,
+    CAST(length(t) - length(replace(t, '!', '')) AS INTEGER) AS exclamation_count,
+    {lexicon}
+  FROM {name}_c)
+"""
+
+
+BASE = f"{RAW}, {CLEAN}, {_measures('modeling0', 'modeling')}"
+STOP_WORDS = _quoted(sorted({*ENGLISH_STOP_WORDS, *DOMAIN_STOP_WORDS}))
+DOCS = "docs AS (SELECT complaint_id, coalesce(consumer_narrative, '') AS consumer_narrative FROM narr)"
+WORDS = rf"""
+{DOCS},
+kept AS (
+  SELECT complaint_id, list_filter(
+    regexp_extract_all(lower(consumer_narrative), '[\p{{L}}\p{{N}}_]+'),
+    lambda w: regexp_full_match(w, '[a-z]{{3,}}') AND w NOT IN ({STOP_WORDS})) AS w
+  FROM docs),
+terms AS (
+  SELECT complaint_id, unnest(w) AS term FROM kept
+  UNION ALL
+  SELECT complaint_id, unnest(list_transform(
+    list_zip(w[:-2], w[2:]), lambda z: z[1] || ' ' || z[2])) AS term
+  FROM kept WHERE len(w) >= 2),
+doc_terms AS (SELECT complaint_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+term_counts AS (
+  SELECT term, CAST(sum(tf) AS BIGINT) AS cf, count(*) AS df FROM doc_terms GROUP BY term),
+n_docs AS (SELECT count(*) AS n FROM docs),
+chosen AS (
+  SELECT term, cf, df, ln((n + 1)::DOUBLE / (df + 1)) + 1.0 AS idf
+  FROM term_counts, n_docs WHERE df >= 5 AND df <= 0.9 * n
+  ORDER BY cf DESC, term LIMIT 2000)
+"""
+
+
+def _sql(steps: str, select: str) -> str:
+    """A query on the steps; ``select`` may open with further steps (', name AS ...')."""
+    return f"WITH {steps.strip()}\n{select.strip()}"
+
+
+def _avg(column: str, name: str) -> str:
+    return f"round(avg(CAST({column} AS DOUBLE)), 6) AS {name}"
+
+
+RELIEF = ", ".join(
+    [
+        _avg("any_relief", "any_relief_rate"),
+        _avg("monetary_relief", "monetary_relief_rate"),
+        _avg("non_monetary_relief", "non_monetary_relief_rate"),
+        _avg("timely_binary", "timely_rate"),
+        _avg("n_words", "mean_words"),
+    ]
+)
+
+ORACLES: dict[str, str] = {}
+
+# --- sources ---------------------------------------------------------------
+ORACLES["raw_complaints"] = _sql(
+    RAW,
+    """SELECT ingest_seq, complaint_id, raw_source,
+  strftime(date_received, '%Y-%m-%d %H:%M:%S') AS date_received,
+  strftime(date_sent_to_company, '%Y-%m-%d %H:%M:%S') AS date_sent_to_company,
+  product, issue, sub_issue, consumer_narrative, company, state, submitted_via,
+  company_response, timely_response, consumer_disputed
+FROM raw""",
+)
+ORACLES["recent_complaints"] = _sql(
+    RAW,
+    f"""SELECT complaint_id, strftime(date_received, '%Y-%m-%d %H:%M:%S') AS date_received, raw_source
+FROM (SELECT * FROM raw
+  WHERE raw_source <> 'replay' AND date_received BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '2000-12-31'
+    AND trim(coalesce(consumer_narrative, ''), {_BLANKS}) <> ''
+  ORDER BY raw.date_received DESC, complaint_id LIMIT 500)""",
+)
+ORACLES["source_union"] = """
+SELECT 'documents' AS raw_source, CAST(doc_id AS VARCHAR) AS complaint_id,
+  text AS consumer_narrative, CAST(NULL AS VARCHAR) AS complaint_what_happened,
+  lang, CAST(NULL AS VARCHAR) AS role
+FROM documents
+UNION ALL
+SELECT 'conversations', conv_id || '-' || turn, NULL, text, NULL, role FROM conversations"""
+ORACLES["source_manifest"] = _sql(
+    RAW,
+    """SELECT raw_source, count(*) AS rows FROM both_sources GROUP BY raw_source
+UNION ALL SELECT 'all sources', count(*) FROM both_sources""",
+)
+ORACLES["na_tokens"] = f"""
+SELECT doc_id, CASE WHEN v NOT IN ({_quoted(NA_TOKENS)}) THEN v END AS value
+FROM (SELECT doc_id, CASE doc_id % 11 WHEN 0 THEN 'N/A' WHEN 1 THEN 'None' WHEN 2 THEN ''
+  WHEN 3 THEN 'nan' WHEN 4 THEN 'NULL' WHEN 5 THEN '#N/A' WHEN 6 THEN 'none' WHEN 7 THEN 'N/A '
+  ELSE source END AS v FROM documents)"""
+
+# --- cleaning --------------------------------------------------------------
+ORACLES["alias_coalesce"] = """
+SELECT CAST(d.doc_id AS VARCHAR) AS complaint_id,
+  coalesce(CASE WHEN quality = 1 THEN text END, 'short ' || source) AS consumer_narrative,
+  CASE quality WHEN 1 THEN 'Yes' WHEN 0 THEN 'No' ELSE 'Yes' END AS timely_response,
+  source AS zip_code, CASE WHEN toxic = 0 THEN lang ELSE source END AS state,
+  CAST(NULL AS VARCHAR) AS company
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
+ORACLES["parse_dates"] = """
+SELECT o_orderkey, strftime(CASE
+  WHEN o_orderkey % 7 IN (0, 1, 4) THEN date_trunc('day', o_orderdate)
+  WHEN o_orderkey % 7 = 2 THEN date_trunc('second', o_orderdate)
+  WHEN o_orderkey % 7 = 3 THEN date_trunc('second', o_orderdate) - INTERVAL 2 HOUR
+  END, '%Y-%m-%d %H:%M:%S') AS parsed
+FROM orders"""
+ORACLES["parse_binary"] = f"""
+SELECT event_id, {_yes_no('v')} AS flag
+FROM (SELECT event_id, CASE event_id % 12 WHEN 0 THEN ' YES ' WHEN 1 THEN 'y' WHEN 2 THEN 'True'
+  WHEN 3 THEN '1' WHEN 4 THEN 'no' WHEN 5 THEN 'N' || chr(9) WHEN 6 THEN 'FALSE' WHEN 7 THEN '0'
+  WHEN 8 THEN '2' WHEN 9 THEN '' ELSE event_type END AS v FROM events)"""
+ORACLES["dedup_first"] = _sql(
+    RAW, "SELECT complaint_id, ingest_seq, raw_source, consumer_narrative FROM dedup"
+)
+ORACLES["has_narrative"] = _sql(
+    RAW,
+    f"""SELECT ingest_seq,
+  CAST(trim(coalesce(consumer_narrative, ''), {_BLANKS}) <> '' AS INTEGER) AS has_narrative
+FROM both_sources""",
+)
+_CLEAN = f"{RAW}, {CLEAN}"
+ORACLES["product_group"] = _sql(_CLEAN, "SELECT complaint_id, product, product_group FROM clean")
+ORACLES["response_outcome"] = _sql(
+    _CLEAN,
+    """SELECT complaint_id, company_response, response_outcome, monetary_relief,
+  non_monetary_relief, any_relief, closed_with_explanation, closed_response FROM clean""",
+)
+ORACLES["days_to_company"] = _sql(_CLEAN, "SELECT complaint_id, days_to_company FROM clean")
+ORACLES["calendar_keys"] = _sql(
+    _CLEAN,
+    """SELECT complaint_id, complaint_year, complaint_month, complaint_quarter, post_cutoff
+FROM clean""",
+)
+ORACLES["modeling_rows"] = _sql(
+    _CLEAN,
+    "SELECT complaint_id, complaint_month, product_group, response_outcome FROM modeling0",
+)
+ORACLES["cleaning_audit"] = _sql(
+    _CLEAN,
+    """SELECT (SELECT count(*) FROM raw) AS raw_rows,
+  (SELECT count(*) FROM dedup) AS deduplicated_rows, count(*) AS modeling_rows,
+  strftime(min(date_received), '%Y-%m-%d') AS date_min,
+  strftime(max(date_received), '%Y-%m-%d') AS date_max
+FROM modeling0""",
+)
+_DICTIONARY = {
+    "post_cutoff": "1 when received on the cutoff day or later.",
+    "any_relief": "1 for a monetary or a non-monetary relief response.",
+    "monetary_relief": "1 for a response closed with monetary relief.",
+    "non_monetary_relief": "1 for a response closed with non-monetary relief.",
+    "timely_binary": "1 when the company response is marked as timely.",
+    "n_words": "Words and numbers in the narrative.",
+    "avg_sentence_len": "Words per sentence.",
+    "lexical_diversity": "Distinct words over all words.",
+    "legal_term_count": "Hits of legal and regulatory terms.",
+    "evidence_term_count": "Hits of evidence and document terms.",
+    "urgency_term_count": "Hits of urgency terms.",
+    "hardship_term_count": "Hits of hardship terms.",
+    "template_phrase_count": "Hits of repeated legal phrases.",
+    "product_group": "Coarse product class used by the models.",
+}
+ORACLES["feature_dictionary"] = _sql(
+    BASE,
+    "\nUNION ALL ".join(
+        f"SELECT '{name}' AS variable, '{note}' AS definition, count({name}) AS rows_with_value "
+        "FROM modeling"
+        for name, note in _DICTIONARY.items()
+    ),
+)
+
+# --- text measures ---------------------------------------------------------
+_DOC_MEASURES = f"{RAW}, {DOCS}, {_measures('docs', 'm')}"
+
+
+def _listed(names: Iterable[str], doubles: Iterable[str]) -> str:
+    doubles = set(doubles)
+    return ", ".join(f"round({n}, 6) AS {n}" if n in doubles else n for n in names)
+
+
+_RATIOS = ("avg_word_len", "avg_sentence_len", "lexical_diversity", "uppercase_ratio")
+ORACLES["text_tokens"] = _sql(
+    _DOC_MEASURES,
+    """SELECT complaint_id, token, count(*) AS n
+FROM (SELECT complaint_id, unnest(words) AS token FROM m_w) GROUP BY ALL""",
+)
+ORACLES["text_shape"] = _sql(
+    _DOC_MEASURES, f"SELECT complaint_id, {_listed(SHAPE_MEASURES, _RATIOS)} FROM m"
+)
+ORACLES["text_chars"] = _sql(
+    _DOC_MEASURES, f"SELECT complaint_id, {_listed(CHARACTER_MEASURES, _RATIOS)} FROM m"
+)
+ORACLES["lexicon_counts"] = _sql(
+    _DOC_MEASURES, f"SELECT complaint_id, {', '.join(LEXICONS)} FROM m"
+)
+
+# --- profile ---------------------------------------------------------------
+ORACLES["dataset_profile"] = _sql(
+    BASE,
+    f"""SELECT count(*) AS rows, strftime(min(date_received), '%Y-%m-%d') AS date_min,
+  strftime(max(date_received), '%Y-%m-%d') AS date_max,
+  {_avg('post_cutoff', 'post_cutoff_share')}, {_avg('any_relief', 'any_relief_rate')},
+  {_avg('monetary_relief', 'monetary_relief_rate')},
+  {_avg('non_monetary_relief', 'non_monetary_relief_rate')},
+  {_avg('timely_binary', 'timely_response_rate')},
+  CAST(median(n_words) AS DOUBLE) AS median_words, {_avg('n_words', 'mean_words')},
+  count(DISTINCT product) AS unique_products, count(DISTINCT issue) AS unique_issues,
+  count(DISTINCT company) AS unique_companies, count(DISTINCT state) AS unique_states,
+  CAST(53 AS BIGINT) AS columns
+FROM modeling""",
+)
+for _name, _column in (
+    ("freq_product_group", "product_group"),
+    ("freq_product", "product"),
+    ("freq_issue", "issue"),
+    ("freq_company", "company"),
+    ("freq_state", "state"),
+    ("freq_outcome", "response_outcome"),
+):
+    ORACLES[_name] = _sql(
+        _CLEAN,
+        f"""SELECT coalesce({_column}, 'Missing') AS {_column}, count(*) AS n,
+  round(count(*)::DOUBLE / (SELECT count(*) FROM modeling0), 6) AS share
+FROM modeling0 GROUP BY 1 ORDER BY n DESC, 1 LIMIT 50""",
+    )
+ORACLES["monthly_profile"] = _sql(
+    BASE,
+    f"""SELECT complaint_month, count(*) AS n, {RELIEF},
+  {_avg('template_phrase_count', 'template_phrase_rate')}
+FROM modeling GROUP BY complaint_month""",
+)
+ORACLES["product_response"] = _sql(
+    BASE,
+    f"""SELECT product_group, count(*) AS n, {RELIEF},
+  {_avg('legal_term_count', 'legal_terms')}, {_avg('template_phrase_count', 'template_phrases')}
+FROM modeling GROUP BY product_group""",
+)
+ORACLES["issue_response"] = _sql(
+    BASE,
+    f"""SELECT issue, count(*) AS n, {_avg('any_relief', 'any_relief_rate')},
+  {_avg('timely_binary', 'timely_rate')}, {_avg('n_words', 'mean_words')},
+  {_avg('template_phrase_count', 'template_phrases')}
+FROM modeling WHERE issue IS NOT NULL GROUP BY issue HAVING count(*) >= 50
+ORDER BY n DESC, issue LIMIT 50""",
+)
+ORACLES["pre_post_summary"] = _sql(
+    BASE,
+    f"""SELECT post_cutoff, {', '.join(_avg(m, m) for m in PERIOD_MEASURES)},
+  CASE WHEN post_cutoff = 1 THEN 'after' ELSE 'before' END AS period
+FROM modeling GROUP BY post_cutoff""",
+)
+ORACLES["feature_correlation"] = _sql(
+    BASE,
+    "\nUNION ALL ".join(
+        f"""SELECT '{f}' AS feature, CASE WHEN stddev_pop({f}) > 0 AND stddev_pop(any_relief) > 0
+  THEN round(corr({f}, any_relief), 6) END AS correlation FROM modeling"""
+        for f in NUMERIC_FEATURES
+    ),
+)
+
+# --- topics ----------------------------------------------------------------
+_WORDS = f"{RAW}, {WORDS}"
+ORACLES["topic_tokens"] = _sql(
+    _WORDS,
+    """SELECT complaint_id, token, count(*) AS n
+FROM (SELECT complaint_id, unnest(w) AS token FROM kept) GROUP BY ALL""",
+)
+ORACLES["ngram_counts"] = _sql(_WORDS, "SELECT term, cf, df FROM term_counts")
+ORACLES["vocabulary"] = _sql(
+    _WORDS,
+    """SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_id, cf, df,
+  round(idf, 6) AS idf FROM chosen""",
+)
+ORACLES["tfidf_weights"] = _sql(
+    _WORDS,
+    """SELECT complaint_id, term,
+  round(tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY complaint_id)), 6) AS weight
+FROM doc_terms JOIN chosen USING (term)""",
+)
+ORACLES["topic_profile"] = _sql(
+    BASE,
+    f"""SELECT sub_issue AS topic, count(*) AS n, {RELIEF},
+  {_avg('template_phrase_count', 'template_phrases')},
+  round(count(*)::DOUBLE / (SELECT count(*) FROM modeling WHERE sub_issue IS NOT NULL), 6) AS share
+FROM modeling WHERE sub_issue IS NOT NULL GROUP BY 1""",
+)
+
+# --- models ----------------------------------------------------------------
+ORACLES["class_counts"] = _sql(
+    _CLEAN,
+    """, counted AS (
+  SELECT 'any_relief' AS target, any_relief AS class, count(*) AS n FROM modeling0 GROUP BY 2
+  UNION ALL
+  SELECT 'timely_binary', CAST(timely_binary AS INTEGER), count(*) FROM modeling0
+  WHERE timely_binary IS NOT NULL GROUP BY 2)
+SELECT target, class, n, CASE WHEN count(*) OVER (PARTITION BY target) >= 2
+  AND min(n) OVER (PARTITION BY target) >= 30 THEN 'fit' ELSE 'skipped' END AS status
+FROM counted""",
+)
+_FILLED = ", ".join(
+    [f"coalesce({c}, 'Missing') AS {c}" for c in ("product_group", "submitted_via", "state")]
+)
+ORACLES["model_inputs"] = _sql(
+    BASE,
+    f"""SELECT complaint_id, {_FILLED},
+  {', '.join(f'round(CAST({c} AS DOUBLE), 6) AS {c}' for c in NUMERIC_FEATURES)}
+FROM modeling""",
+)
+ORACLES["stratified_split"] = _sql(
+    _CLEAN,
+    """, sizes AS (
+  SELECT any_relief, n, n * (total - ceil(total * 0.25::DOUBLE)) / total AS exact,
+    total - ceil(total * 0.25::DOUBLE) AS n_train
+  FROM (SELECT any_relief, count(*)::DOUBLE AS n, (SELECT count(*) FROM modeling0)::DOUBLE AS total
+    FROM modeling0 GROUP BY any_relief)),
+quotas AS (
+  SELECT any_relief, n - floor(exact) - CASE WHEN
+    row_number() OVER (ORDER BY exact - floor(exact) DESC, any_relief)
+      <= n_train - sum(floor(exact)) OVER () THEN 1 ELSE 0 END AS quota
+  FROM sizes)
+SELECT m.complaint_id, m.any_relief, CASE WHEN row_number() OVER (
+    PARTITION BY m.any_relief ORDER BY md5('42|' || m.complaint_id), m.complaint_id)
+  <= q.quota THEN 'test' ELSE 'train' END AS part
+FROM modeling0 m JOIN quotas q ON q.any_relief = m.any_relief""",
+)
+
+
+def _fold(k: int) -> str:
+    return f"CAST(('0x' || substr(md5('42|' || complaint_id), 1, 7))::BIGINT % {k} AS INTEGER)"
+
+
+ORACLES["rare_levels"] = _sql(
+    _CLEAN,
+    f""", train AS (SELECT {_FILLED} FROM modeling0 WHERE {_fold(4)} <> 0),
+levels AS (
+  SELECT 'product_group' AS variable, product_group AS level FROM train
+  UNION ALL SELECT 'submitted_via', submitted_via FROM train
+  UNION ALL SELECT 'state', state FROM train)
+SELECT variable, level, count(*) AS n,
+  CASE WHEN count(*) >= 30 THEN level ELSE 'infrequent' END AS encoded
+FROM levels GROUP BY variable, level""",
+)
+ORACLES["scaled_features"] = _sql(
+    BASE,
+    f""", sds AS (SELECT {', '.join(f'stddev_pop({c}) AS {c}_sd' for c in NUMERIC_FEATURES)}
+  FROM modeling WHERE {_fold(4)} <> 0)
+SELECT complaint_id, {', '.join(
+    f'round({c} / CASE WHEN {c}_sd > 0 THEN {c}_sd ELSE 1.0 END, 6) AS {c}'
+    for c in NUMERIC_FEATURES)}
+FROM modeling, sds""",
+)
+ORACLES["class_weights"] = _sql(
+    _CLEAN,
+    """SELECT any_relief AS class, count(*) AS n,
+  round((SELECT count(*) FROM modeling0)::DOUBLE / (2 * count(*)), 6) AS weight
+FROM modeling0 GROUP BY any_relief""",
+)
+_SCORED = f"""{BASE}, scored AS (
+  SELECT complaint_id, any_relief AS label,
+    CAST(legal_term_count + evidence_term_count + 1 AS DOUBLE)
+      / (legal_term_count + evidence_term_count + anger_term_count + hardship_term_count
+         + n_sentences + 2) AS score
+  FROM modeling)"""
+_CONFUSION = f"""{_SCORED}, confusion AS (
+  SELECT count(*) FILTER (score >= 0.3 AND label = 1)::DOUBLE AS tp,
+    count(*) FILTER (score >= 0.3 AND label = 0)::DOUBLE AS fp,
+    count(*) FILTER (score < 0.3 AND label = 1)::DOUBLE AS fn,
+    count(*) FILTER (score < 0.3 AND label = 0)::DOUBLE AS tn
+  FROM scored),
+per_class AS (
+  SELECT '0' AS class, coalesce(tn / nullif(tn + fn, 0), 0) AS p,
+    coalesce(tn / nullif(tn + fp, 0), 0) AS r, tn + fp AS s FROM confusion
+  UNION ALL
+  SELECT '1', coalesce(tp / nullif(tp + fp, 0), 0), coalesce(tp / nullif(tp + fn, 0), 0), tp + fn
+  FROM confusion),
+report AS (SELECT class, p, r, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f, s FROM per_class)"""
+ORACLES["binary_metrics"] = _sql(
+    _CONFUSION,
+    """SELECT CAST(tp + fp + fn + tn AS BIGINT) AS n_rows,
+  round((tp + fn) / (tp + fp + fn + tn), 6) AS positive_rate,
+  round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy,
+  round((SELECT avg(r) FROM report), 6) AS balanced_accuracy,
+  round((SELECT f FROM report WHERE class = '1'), 6) AS f1
+FROM confusion""",
+)
+ORACLES["class_report"] = _sql(
+    _CONFUSION,
+    """SELECT class, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1,
+  CAST(s AS BIGINT) AS support FROM report
+UNION ALL
+SELECT 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f), 6), CAST(sum(s) AS BIGINT)
+FROM report
+UNION ALL
+SELECT 'weighted avg', round(sum(p * s) / sum(s), 6), round(sum(r * s) / sum(s), 6),
+  round(sum(f * s) / sum(s), 6), CAST(sum(s) AS BIGINT)
+FROM report""",
+)
+_STEPS = """, steps AS (
+  SELECT score, count(*) FILTER (label = 1)::DOUBLE AS pos, count(*) FILTER (label = 0)::DOUBLE AS neg
+  FROM scored GROUP BY score)"""
+ORACLES["roc_auc"] = _sql(
+    _SCORED + _STEPS,
+    """SELECT round(sum(pos * (below - neg / 2)) / (sum(pos) * sum(neg)), 6) AS roc_auc
+FROM (SELECT pos, neg, sum(neg) OVER (ORDER BY score) AS below FROM steps)""",
+)
+ORACLES["average_precision"] = _sql(
+    _SCORED + _STEPS,
+    """SELECT round(sum(pos * tp / (tp + fp)) / sum(pos), 6) AS average_precision
+FROM (SELECT pos, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp
+  FROM steps)""",
+)
+ORACLES["calibration"] = _sql(
+    _SCORED,
+    """SELECT CAST(least(floor(score * 10), 9) AS INTEGER) AS bin, count(*) AS n,
+  round(avg(score), 6) AS mean_score, round(avg(label::DOUBLE), 6) AS positive_rate
+FROM scored GROUP BY 1""",
+)
+
+# --- shift -----------------------------------------------------------------
+ORACLES["yearly_counts"] = _sql(
+    _CLEAN, "SELECT complaint_year, count(*) AS n FROM modeling0 GROUP BY complaint_year"
+)
+ORACLES["period_share"] = _sql(
+    _CLEAN,
+    """, halves AS (
+  SELECT count(*) FILTER (post_cutoff = 0) AS n_before, count(*) FILTER (post_cutoff = 1) AS n_after,
+    avg(any_relief::DOUBLE) FILTER (post_cutoff = 0) AS b,
+    avg(any_relief::DOUBLE) FILTER (post_cutoff = 1) AS a
+  FROM modeling0)
+SELECT n_before, n_after, round(n_before::DOUBLE / (n_before + n_after), 6) AS share_before,
+  round(n_after::DOUBLE / (n_before + n_after), 6) AS share_after,
+  round(b, 6) AS rate_before, round(a, 6) AS rate_after, round((a - b) * 100.0, 6) AS points
+FROM halves""",
+)
+
+
+def _difference(column: str, name: str) -> str:
+    x = f"avg({column}::DOUBLE) FILTER (post_cutoff = "
+    return f"round({x}1) - {x}0), 6) AS {name}_shift"
+
+
+ORACLES["product_shift"] = _sql(
+    BASE,
+    f"""SELECT product_group, count(*) FILTER (post_cutoff = 0) AS n_before,
+  count(*) FILTER (post_cutoff = 1) AS n_after, {_difference('n_words', 'words')},
+  {_difference('legal_term_count', 'legal_terms')},
+  {_difference('template_phrase_count', 'template_phrases')},
+  {_difference('any_relief', 'any_relief')}
+FROM modeling GROUP BY product_group""",
+)
+ORACLES["topic_shift"] = _sql(
+    _CLEAN,
+    """, counts AS (
+  SELECT sub_issue AS topic, count(*) FILTER (post_cutoff = 0) AS n_before,
+    count(*) FILTER (post_cutoff = 1) AS n_after
+  FROM modeling0 WHERE sub_issue IS NOT NULL GROUP BY 1)
+SELECT topic, n_before, n_after, round(b, 6) AS share_before, round(a, 6) AS share_after,
+  round((a - b) * 100.0, 6) AS points
+FROM (SELECT *, n_before::DOUBLE / sum(n_before) OVER () AS b,
+  n_after::DOUBLE / sum(n_after) OVER () AS a FROM counts)""",
+)
+ORACLES["product_topic"] = _sql(
+    _CLEAN,
+    """SELECT product_group, topic, n,
+  round(n::DOUBLE / sum(n) OVER (PARTITION BY product_group), 6) AS share
+FROM (SELECT product_group, sub_issue AS topic, count(*) AS n
+  FROM modeling0 WHERE sub_issue IS NOT NULL GROUP BY ALL)""",
+)
+ORACLES["normalize_text"] = _sql(
+    f"{RAW}, {DOCS}",
+    rf"""SELECT complaint_id, trim(regexp_replace(regexp_replace(regexp_replace(
+    lower(consumer_narrative),
+    '[0-9x]{{1,4}}/[0-9x]{{1,2}}/[0-9x]{{2,4}}|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}', '<date>', 'g'),
+    '\{{\$[0-9,]+(\.[0-9]+)?\}}|\$[0-9,]+(\.[0-9]+)?', '<amount>', 'g'),
+    '[' || {_BLANKS} || ']+', ' ', 'g'), {_BLANKS}) AS normalized
+FROM docs""",
+)
+_DIMS = ("legal_term_count", "evidence_term_count", "avg_sentence_len", "template_phrase_count")
+_INDEX = f"""{BASE}, stats AS (
+  SELECT {', '.join(f'avg({d}) AS {d}_m, stddev_pop({d}) AS {d}_s' for d in _DIMS)} FROM modeling),
+indexed AS (
+  SELECT modeling.*, ({' + '.join(
+      f'CASE WHEN {d}_s > 0 THEN ({d} - {d}_m) / {d}_s ELSE 0.0 END' for d in _DIMS)}) / 4.0
+    AS expression_index
+  FROM modeling, stats)"""
+ORACLES["expression_index"] = _sql(
+    _INDEX, "SELECT complaint_id, round(expression_index, 6) AS expression_index FROM indexed"
+)
+_PAIRS = """, pairs AS (
+  SELECT a.complaint_id, b.complaint_id AS neighbour_id, a.expression_index AS mine,
+    b.expression_index AS theirs,
+    CAST(coalesce(a.issue = b.issue, FALSE) AS INTEGER)
+      + CAST(coalesce(a.company = b.company, FALSE) AS INTEGER)
+      + CAST(coalesce(a.state = b.state, FALSE) AS INTEGER)
+      + CAST(month(a.date_received) = month(b.date_received) AS INTEGER) AS matches
+  FROM indexed a JOIN indexed b ON a.product_group = b.product_group
+  WHERE a.post_cutoff = 1 AND b.post_cutoff = 0),
+nearest AS (
+  SELECT *, CAST(row_number() OVER (
+    PARTITION BY complaint_id ORDER BY matches DESC, neighbour_id) AS INTEGER) AS rank
+  FROM pairs QUALIFY rank <= 5)"""
+ORACLES["matched_neighbours"] = _sql(
+    _INDEX + _PAIRS, "SELECT complaint_id, neighbour_id, matches, rank FROM nearest"
+)
+ORACLES["local_shift"] = _sql(
+    _INDEX + _PAIRS,
+    """SELECT complaint_id, count(*) AS neighbours, round(avg(theirs), 6) AS neighbour_mean,
+  round(any_value(mine) - avg(theirs), 6) AS local_shift
+FROM nearest GROUP BY complaint_id""",
+)
+ORACLES["time_split"] = _sql(
+    _CLEAN,
+    """SELECT complaint_id, complaint_month, CASE WHEN date_received::DATE
+  <= (SELECT quantile_disc(date_received::DATE, 0.75) FROM modeling0)
+  THEN 'train' ELSE 'test' END AS part
+FROM modeling0""",
+)
+ORACLES["cv_folds"] = _sql(_CLEAN, f"SELECT complaint_id, {_fold(5)} AS fold FROM modeling0")
+ORACLES["slope_by_group"] = _sql(
+    _INDEX,
+    """SELECT product_group, count(*) AS n,
+  CASE WHEN var_pop(expression_index) > 0
+    THEN round(covar_pop(any_relief, expression_index) / var_pop(expression_index), 6) END AS slope
+FROM indexed GROUP BY product_group""",
+)
+ORACLES["event_study"] = _sql(
+    _INDEX,
+    """SELECT CAST((year(date_received) - 1998) * 12 + month(date_received) - 6 AS INTEGER)
+    AS month_offset, count(*) AS n, round(avg(expression_index), 6) AS mean_value
+FROM indexed GROUP BY 1""",
+)
