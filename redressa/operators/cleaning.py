@@ -169,6 +169,16 @@ def cleaning_audit(raw: DataFrame, order: str = "ingest_seq") -> DataFrame:
     )
 
 
+def audit_counts(cleaned: DataFrame, usable: DataFrame, raw_rows: int) -> dict:
+    """The same record from written tables, one pass over narrow columns."""
+    dates = usable.agg(
+        F.count(F.lit(1)).alias("modeling_rows"),
+        F.date_format(F.min("date_received"), "yyyy-MM-dd").alias("date_min"),
+        F.date_format(F.max("date_received"), "yyyy-MM-dd").alias("date_max"),
+    ).first()
+    return {"raw_rows": raw_rows, "deduplicated_rows": cleaned.count(), **dates.asDict()}
+
+
 def feature_dictionary(df: DataFrame) -> DataFrame:
     """Commented columns of ``df``: name, definition and rows with a value."""
     noted = [(f.name, f.metadata["comment"]) for f in df.schema.fields if "comment" in f.metadata]

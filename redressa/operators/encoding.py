@@ -51,8 +51,12 @@ def population_sd(train: DataFrame, numbers: Sequence[str]) -> DataFrame:
 def scale_by_sd(df: DataFrame, train: DataFrame, numbers: Sequence[str]) -> DataFrame:
     """Divide each column by its train population sd, without centering."""
     sds = population_sd(train, numbers)
-    divisors = sds.select(F.struct(*numbers)).scalar()
-    return df.withColumns({c: F.col(c) / divisors[c] for c in numbers})
+    divisors = F.col("_divisors")
+    return (
+        df.withColumn("_divisors", sds.select(F.struct(*numbers)).scalar())
+        .withColumns({c: F.col(c) / divisors[c] for c in numbers})
+        .drop("_divisors")
+    )
 
 
 @dataclass(frozen=True)

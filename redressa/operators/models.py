@@ -18,10 +18,13 @@ from redressa.operators import metrics
 from redressa.operators.encoding import CATEGORICAL_FEATURES, Encoder, fill_inputs
 from redressa.operators.profile import NUMERIC_FEATURES
 from redressa.operators.splitting import balanced_weights, class_gate, cv_folds, stratified_split
-from redressa.operators.vectors import Vocabulary, fit_vocabulary, narrative_terms, vector_entries
+from redressa.operators.vectors import Vocabulary, fit_vocabulary, narrative_words, vector_entries, with_terms
 from redressa.session import materialize
 
 
+ROWS_PER_TASK = 2_000
+
+
 def with_class_weights(train: DataFrame, target: str) -> DataFrame:
     """Append ``weight``, so that both classes weigh the same in total."""
     weights = F.broadcast(balanced_weights(train, target).select("class", "weight"))
@@ -39,10 +42,11 @@ def fit_logistic(
 
     ``c`` weighs the summed loss against half the squared coefficients. The
     balanced weights add up to the row count, hence the penalty 1 / (c n).
-    The intercept is not penalized.
+    The intercept is not penalized. A small train set is read in few tasks:
+    each of the many rounds costs a task launch per partition.
     """
-    weighted = with_class_weights(train, target)
     n = train.count()
+    weighted = with_class_weights(train, target).coalesce(n // ROWS_PER_TASK + 1)
     return LogisticRegression(
         featuresCol=features,
         labelCol=target,
@@ -112,6 +116,9 @@ class ResponseModel:
             precision.alias("average_precision"),
         )
 
+    def class_report(self) -> DataFrame:
+        return metrics.class_report(self.scored)
+
     def top_features(self, n: int = 40) -> DataFrame:
         return top_features(self.names, self.coefficients, self.test, n)
 
@@ -130,19 +137,20 @@ def prepare_split(
 ) -> tuple[Encoder, DataFrame, DataFrame]:
     """Split, fit the encoder on train rows only, and encode both parts.
 
-    The terms are written once: vocabulary counting and encoding both read
+    The words are written once: vocabulary counting and encoding both read
     them. The returned train and test frames read a written table too.
     """
     usable = fill_inputs(df.filter(F.col(target).isNotNull()), categories, numbers)
     columns = [key, F.col(target).cast("int").alias("label"), *categories, *numbers]
     if text:
-        usable = narrative_terms(usable, text)
-        columns.append(F.col("terms"))
+        usable = narrative_words(usable, text)
+        columns.append("kept_words")
     base = materialize(usable.select(*columns), f"inputs-{target}")
     parted = stratified_split(base, "label", key, seed=seed)
     train = parted.filter("part = 'train'")
     vocabulary = None
     if text:
+        parted, train = with_terms(parted), with_terms(train)
         vocabulary = Vocabulary.of(fit_vocabulary(train, "terms", min_df, max_df, size))
     encoder = Encoder.fit(train, vocabulary, categories, numbers)
     encoded = encoder.transform(parted).select(key, "label", "part", "features")

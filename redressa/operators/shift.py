@@ -122,23 +122,33 @@ def cross_counts(df: DataFrame, a: str, b: str) -> DataFrame:
     return counts.withColumn("share", F.col("n") / within)
 
 
-def expression_index(
-    df: DataFrame, dims: Sequence[str] = INDEX_DIMENSIONS, output: str = "expression_index"
-) -> DataFrame:
-    """Append the mean of the standardized dimensions; a constant one adds 0."""
+def _with_standardized(df: DataFrame, dims: Sequence[str]) -> tuple[DataFrame, list[Column]]:
+    """``df`` with the moments of ``dims`` in ``_moments``, and the z-scores on it.
+
+    A constant dimension has the score 0.
+    """
     moments = df.agg(
         F.struct(
             *[F.avg(F.col(d).cast("double")).alias(f"{d}_mean") for d in dims],
             *[F.stddev_pop(F.col(d).cast("double")).alias(f"{d}_sd") for d in dims],
         )
-    ).scalar()
-    total = F.lit(0.0)
-    for d in dims:
-        sd = moments[f"{d}_sd"]
-        total = total + F.when(
-            sd > 0, (F.col(d).cast("double") - moments[f"{d}_mean"]) / sd
+    )
+    m = F.col("_moments")
+    scores = [
+        F.when(
+            m[f"{d}_sd"] > 0, (F.col(d).cast("double") - m[f"{d}_mean"]) / m[f"{d}_sd"]
         ).otherwise(F.lit(0.0))
-    return df.withColumn(output, total / len(dims))
+        for d in dims
+    ]
+    return df.withColumn("_moments", moments.scalar()), scores
+
+
+def expression_index(
+    df: DataFrame, dims: Sequence[str] = INDEX_DIMENSIONS, output: str = "expression_index"
+) -> DataFrame:
+    """Append the mean of the standardized dimensions; a constant one adds 0."""
+    measured, scores = _with_standardized(df, dims)
+    return measured.withColumn(output, sum(scores, F.lit(0.0)) / len(dims)).drop("_moments")
 
 
 def pca_index(
@@ -148,24 +158,8 @@ def pca_index(
 
     The sign is set so that the weights add up to a positive number.
     """
-    moments = df.agg(
-        F.struct(
-            *[F.avg(F.col(d).cast("double")).alias(f"{d}_mean") for d in dims],
-            *[F.stddev_pop(F.col(d).cast("double")).alias(f"{d}_sd") for d in dims],
-        )
-    ).scalar()
-    standard = df.select(
-        key,
-        *[
-            F.when(
-                moments[f"{d}_sd"] > 0,
-                (F.col(d).cast("double") - moments[f"{d}_mean"]) / moments[f"{d}_sd"],
-            )
-            .otherwise(F.lit(0.0))
-            .alias(d)
-            for d in dims
-        ],
-    )
+    measured, scores = _with_standardized(df, dims)
+    standard = measured.select(key, *[s.alias(d) for s, d in zip(scores, dims, strict=True)])
     rows = VectorAssembler(inputCols=list(dims), outputCol="_dims").transform(standard)
     model = PCA(k=1, inputCol="_dims", outputCol="_score").fit(rows)
     weights = model.pc.toArray()[:, 0]

@@ -46,13 +46,12 @@ def balanced_weights(df: DataFrame, target: str) -> DataFrame:
     return counts.withColumn("weight", weight)
 
 
-def class_quotas(df: DataFrame, target: str, test_share: float) -> DataFrame:
-    """Test rows per class.
+def class_quotas(counts: DataFrame, test_share: float) -> DataFrame:
+    """Test rows per class, from class counts.
 
     The train total is n - ceil(share * n). Each class gets the floor of its
     proportional part; what is missing goes to the largest remainders.
     """
-    counts = class_counts(df, target)
     n = counts.agg(F.sum("n")).scalar()
     n_train = n - F.ceil(n * F.lit(test_share))
     by_remainder = Window.orderBy(F.desc("_remainder"), F.asc("class"))
@@ -87,12 +86,12 @@ def stratified_split(
         F.col(key).cast("string").alias("_key"),
     ).withColumn("_bucket", bucket)
 
+    histogram = narrow.groupBy("class", "_bucket").agg(F.count(F.lit(1)).alias("n"))
+    counts = histogram.groupBy("class").agg(F.sum("n").alias("n"))
     running = Window.partitionBy("class").orderBy("_bucket")
     edges = (
-        narrow.groupBy("class", "_bucket")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("_upto", F.sum("n").over(running))
-        .join(F.broadcast(class_quotas(df, target, test_share)), "class")
+        histogram.withColumn("_upto", F.sum("n").over(running))
+        .join(F.broadcast(class_quotas(counts, test_share)), "class")
         .filter((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("n") < F.col("quota")))
         .select("class", "_bucket", (F.col("quota") - F.col("_upto") + F.col("n")).alias("_left"))
     )

@@ -50,13 +50,16 @@ def with_terms(df: DataFrame, words: str = "kept_words", output: str = "terms")
     return pairs.withColumn(output, F.concat(words, "_pairs")).drop("_pairs")
 
 
-def narrative_terms(
+def narrative_words(
     df: DataFrame, text: str = "consumer_narrative", stop_words: Sequence[str] | None = None
 ) -> DataFrame:
-    """Append ``terms`` of column ``text`` after stop-word removal."""
+    """Append ``kept_words``: the words of column ``text`` without stop words.
+
+    This is the form to write when several passes follow: word pairs triple
+    its size, and each pass makes them again within the row.
+    """
     words = with_topic_words(df, text, "_words")
-    kept = drop_stop_words(words, stop_words or default_stop_words(), "_words", "_kept")
-    return with_terms(kept, "_kept").drop("_words", "_kept")
+    return drop_stop_words(words, stop_words or default_stop_words(), "_words").drop("_words")
 
 
 def term_counts(df: DataFrame, terms: str = "terms") -> DataFrame:

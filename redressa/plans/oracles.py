@@ -355,8 +355,8 @@ def _listed(names: Iterable[str], doubles: Iterable[str]) -> str:
 _RATIOS = ("avg_word_len", "avg_sentence_len", "lexical_diversity", "uppercase_ratio")
 ORACLES["text_tokens"] = _sql(
     _DOC_MEASURES,
-    """SELECT complaint_id, token, count(*) AS n
-FROM (SELECT complaint_id, unnest(words) AS token FROM m_w) GROUP BY ALL""",
+    """SELECT complaint_id, CAST(unnest(range(len(words))) AS INTEGER) AS position,
+  unnest(words) AS token FROM m_w""",
 )
 ORACLES["text_shape"] = _sql(
     _DOC_MEASURES, f"SELECT complaint_id, {_listed(SHAPE_MEASURES, _RATIOS)} FROM m"
@@ -436,8 +436,8 @@ ORACLES["feature_correlation"] = _sql(
 _WORDS = f"{RAW}, {WORDS}"
 ORACLES["topic_tokens"] = _sql(
     _WORDS,
-    """SELECT complaint_id, token, count(*) AS n
-FROM (SELECT complaint_id, unnest(w) AS token FROM kept) GROUP BY ALL""",
+    """SELECT complaint_id, CAST(unnest(range(len(w))) AS INTEGER) AS position,
+  unnest(w) AS token FROM kept""",
 )
 ORACLES["ngram_counts"] = _sql(_WORDS, "SELECT term, cf, df FROM term_counts")
 ORACLES["vocabulary"] = _sql(

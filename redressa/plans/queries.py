@@ -270,11 +270,8 @@ def feature_dictionary(spark, sf_dir):
 @query("text_tokens")
 def text_tokens(spark, sf_dir):
     words = text.tokens(F.lower("consumer_narrative"))
-    return (
-        spread(documents(spark, sf_dir), "doc_id")
-        .select("complaint_id", F.explode(words).alias("token"))
-        .groupBy("complaint_id", "token")
-        .agg(F.count(F.lit(1)).alias("n"))
+    return spread(documents(spark, sf_dir), "doc_id").select(
+        "complaint_id", F.posexplode(words).alias("position", "token")
     )
 
 
@@ -358,9 +355,7 @@ def feature_correlation(spark, sf_dir):
 
 def _stopped(spark, sf_dir) -> DataFrame:
     docs = spread(documents(spark, sf_dir), "doc_id")
-    return vectors.drop_stop_words(
-        vectors.with_topic_words(docs), vectors.default_stop_words()
-    ).select("complaint_id", "kept_words")
+    return vectors.narrative_words(docs).select("complaint_id", "kept_words")
 
 
 def _terms(spark, sf_dir) -> DataFrame:
@@ -369,11 +364,8 @@ def _terms(spark, sf_dir) -> DataFrame:
 
 @query("topic_tokens")
 def topic_tokens(spark, sf_dir):
-    return (
-        _stopped(spark, sf_dir)
-        .select("complaint_id", F.explode("kept_words").alias("token"))
-        .groupBy("complaint_id", "token")
-        .agg(F.count(F.lit(1)).alias("n"))
+    return _stopped(spark, sf_dir).select(
+        "complaint_id", F.posexplode("kept_words").alias("position", "token")
     )
 
 
@@ -389,7 +381,7 @@ def vocabulary(spark, sf_dir):
 
 @query("tfidf_weights")
 def tfidf_weights(spark, sf_dir):
-    terms = materialize(_terms(spark, sf_dir), "terms")
+    terms = vectors.with_terms(materialize(_stopped(spark, sf_dir), "words"))
     fitted = vectors.Vocabulary.of(vectors.fit_vocabulary(terms, size=2000))
     weights = vectors.with_tfidf(terms, fitted)
     return rounded(vectors.long_weights(weights, "complaint_id", "tfidf", fitted))
@@ -399,13 +391,10 @@ def topic_model(
     spark: SparkSession, sf_dir: str, *columns: str, **options
 ) -> tuple[DataFrame, DataFrame, topics.TopicModel]:
     """Modeling rows (written once), their sparse vectors and the fitted topics."""
-    rows = vectors.narrative_terms(modeling(spark, sf_dir, "consumer_narrative", *columns))
+    rows = vectors.narrative_words(modeling(spark, sf_dir, "consumer_narrative", *columns))
     rows = materialize(rows.drop("consumer_narrative"), "topic-rows")
-    fitted = vectors.Vocabulary.of(vectors.fit_vocabulary(rows))
-    sparse = materialize(
-        topics.sparse_rows(vectors.with_tfidf(rows, fitted), "complaint_id", "tfidf"), "tfidf"
-    )
-    return rows.drop("terms"), sparse, topics.fit_nmf(sparse, fitted, **options)
+    sparse, model = topics.fit_topics(rows, "complaint_id", **options)
+    return rows.drop("kept_words"), sparse, model
 
 
 @query("nmf_topics")
