@@ -43,7 +43,7 @@ _TAILS = (
     " I lost my job and cannot pay rent. Thank you.",
 )
 
-_ORDERS = {"date_received", "date_sent_to_company", "company", "state", "company_response"}
+_ORDERS = {"date_received", "company", "state", "company_response"}
 _LABELS = {"timely_response", "consumer_disputed"}
 _PARTS = {"issue", "sub_issue"}
 
@@ -95,6 +95,31 @@ def narratives(spark: SparkSession, sf_dir: str, replay: bool = False) -> DataFr
     return first.unionByName(again)
 
 
+def _orders(spark: SparkSession, sf_dir: str, wanted: Collection[str]) -> DataFrame:
+    """Orders by doc_id with the names that hang on the customer.
+
+    They are joined here, to the narrow side, so that the complaint rows are
+    partitioned by doc_id once for all their joins.
+    """
+    out = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderkey").alias("doc_id"), "o_custkey", "o_orderdate"
+    )
+    if "company" in wanted:
+        suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name")
+        out = out.join(suppliers, F.col("s_suppkey") == F.col("o_custkey") % 10, "left")
+    if "state" in wanted:
+        places = (
+            spark.read.parquet(f"{sf_dir}/customer.parquet")
+            .join(
+                spark.read.parquet(f"{sf_dir}/nation.parquet"),
+                F.col("c_nationkey") == F.col("n_nationkey"),
+            )
+            .select(F.col("c_custkey").alias("o_custkey"), "n_name")
+        )
+        out = out.join(places, "o_custkey", "left")
+    return out
+
+
 def complaint_rows(
     spark: SparkSession,
     sf_dir: str,
@@ -116,10 +141,7 @@ def complaint_rows(
     doc = F.col("doc_id")
     out = base
     if wanted & _ORDERS:
-        orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-            F.col("o_orderkey").alias("doc_id"), "o_custkey", "o_orderdate"
-        )
-        out = out.join(orders, "doc_id", "left")
+        out = out.join(_orders(spark, sf_dir, wanted), "doc_id", "left")
     if "date_sent_to_company" in wanted:
         sent = (
             spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -135,19 +157,6 @@ def complaint_rows(
     if wanted & _LABELS:
         labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
         out = out.join(labels, "doc_id", "left")
-    if "company" in wanted:
-        suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name")
-        out = out.join(suppliers, F.col("s_suppkey") == F.col("o_custkey") % 10, "left")
-    if "state" in wanted:
-        places = (
-            spark.read.parquet(f"{sf_dir}/customer.parquet")
-            .join(
-                spark.read.parquet(f"{sf_dir}/nation.parquet"),
-                F.col("c_nationkey") == F.col("n_nationkey"),
-            )
-            .select(F.col("c_custkey").alias("o_custkey"), "n_name")
-        )
-        out = out.join(places, "o_custkey", "left")
 
     response = (doc * 7 + F.col("o_custkey")) % 10
     shaped = {
