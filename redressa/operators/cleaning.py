@@ -154,18 +154,17 @@ def cleaning_audit(raw: DataFrame, order: str = "ingest_seq") -> DataFrame:
         & F.col("date_received").isNotNull()
         & F.col("company_response").isNotNull()
     )
-    facts = F.struct(
-        usable.alias("usable"), F.when(usable, F.col("date_received")).alias("received")
-    )
+    # A usable row has a date, so the date alone tells whether the first copy is one.
+    received = F.when(usable, F.col("date_received"))
     first = raw.groupBy("complaint_id").agg(
-        F.count(F.lit(1)).alias("copies"), F.min_by(facts, F.col(order)).alias("first")
+        F.count(F.lit(1)).alias("copies"), F.min_by(received, F.col(order)).alias("received")
     )
     return first.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("raw_rows"),
         F.count(F.lit(1)).alias("deduplicated_rows"),
-        F.count_if("first.usable").alias("modeling_rows"),
-        F.date_format(F.min("first.received"), "yyyy-MM-dd").alias("date_min"),
-        F.date_format(F.max("first.received"), "yyyy-MM-dd").alias("date_max"),
+        F.count("received").alias("modeling_rows"),
+        F.date_format(F.min("received"), "yyyy-MM-dd").alias("date_min"),
+        F.date_format(F.max("received"), "yyyy-MM-dd").alias("date_max"),
     )
 
 

@@ -280,7 +280,6 @@ def partial_linear(
                 labelCol=column,
                 predictionCol=f"_{column}_fit",
                 solver="normal",
-                regParam=1e-6,
             )
             own = learner.fit(rest).transform(own)
         parts.append(own)

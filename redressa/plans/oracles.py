@@ -703,3 +703,29 @@ ORACLES["event_study"] = _sql(
     AS month_offset, count(*) AS n, round(avg(expression_index), 6) AS mean_value
 FROM indexed GROUP BY 1""",
 )
+ORACLES["linear_attribution"] = _sql(
+    BASE,
+    "\nUNION ALL ".join(
+        f"""SELECT '{f}' AS feature, round(c, 6) AS coef, round(abs(c) * d, 6) AS mean_abs_contribution
+FROM (SELECT CASE WHEN stddev_pop({f}) > 0 THEN corr({f}, any_relief) ELSE 0.0 END AS c,
+  avg(abs({f} - (SELECT avg({f}) FROM modeling))) AS d FROM modeling)"""
+        for f in NUMERIC_FEATURES
+    ),
+)
+ORACLES["partial_linear"] = _sql(
+    _INDEX,
+    f""", folded AS (
+  SELECT {_fold(2)} AS fold, CAST(any_relief AS DOUBLE) AS y, expression_index AS t,
+    lexical_diversity AS x FROM indexed),
+lines AS (
+  SELECT 1 - fold AS fold, regr_slope(y, x) AS sy, regr_intercept(y, x) AS iy,
+    regr_slope(t, x) AS st, regr_intercept(t, x) AS it
+  FROM folded GROUP BY fold),
+residuals AS (
+  SELECT y - (iy + sy * x) AS ry, t - (it + st * x) AS rt FROM folded JOIN lines USING (fold)),
+slopes AS (SELECT count(*) AS n, sum(rt * ry) / sum(rt * rt) AS slope, sum(rt * rt) AS tt
+  FROM residuals)
+SELECT any_value(n) AS n, round(any_value(slope), 6) AS slope,
+  round(sqrt(sum((rt * (ry - slope * rt)) ** 2)) / any_value(tt), 6) AS std_error
+FROM residuals, slopes""",
+)

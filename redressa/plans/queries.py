@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -542,6 +543,17 @@ def response_model_metrics(spark, sf_dir):
     return response_model(spark, sf_dir).metrics()
 
 
+@query("timely_model")
+def timely_model_metrics(spark, sf_dir):
+    fitted = response_model(spark, sf_dir, "timely_binary")
+    if isinstance(fitted, dict):
+        return spark.createDataFrame(
+            [(fitted["target"], fitted["status"], str(fitted["class_counts"]))],
+            "target string, status string, class_counts string",
+        )
+    return fitted.metrics()
+
+
 @query("top_features")
 def top_features(spark, sf_dir):
     return response_model(spark, sf_dir).top_features()
@@ -661,8 +673,8 @@ def gbt_model(spark, sf_dir):
     return metrics.binary_metrics(scored).withColumn("roc_auc", metrics.roc_auc(scored).scalar())
 
 
-@query("linear_attribution")
-def linear_attribution(spark, sf_dir):
+@query("response_attribution")
+def response_attribution(spark, sf_dir):
     rows = modeling(spark, sf_dir, *MODEL_COLUMNS)
     encoder, train, test = models.prepare_split(rows, "any_relief", text=None)
     fitted = models.fit_logistic(train)
@@ -671,8 +683,23 @@ def linear_attribution(spark, sf_dir):
     )
 
 
-def effect_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    controls = ["n_words", "lexical_diversity", "uppercase_ratio", "post_cutoff"]
+@query("linear_attribution")
+def linear_attribution(spark, sf_dir):
+    """Attribution in the linear score whose coefficients are the correlations."""
+    rows = materialize(
+        modeling(spark, sf_dir, "n_words").select(*profile.NUMERIC_FEATURES, "any_relief"),
+        "attribution",
+    )
+    found = profile.correlate_with(rows).collect()
+    coefficients = {r["feature"]: r["correlation"] or 0.0 for r in found}
+    names = list(profile.NUMERIC_FEATURES)
+    vector = VectorAssembler(inputCols=names, outputCol="x").transform(rows)
+    return rounded(
+        models.linear_attribution(vector, "x", names, [coefficients[n] for n in names])
+    )
+
+
+def effect_residuals(spark: SparkSession, sf_dir: str, controls: Sequence[str]) -> DataFrame:
     rows = _indexed(spark, sf_dir, "product").select(
         "complaint_id",
         "product_group",
@@ -685,4 +712,11 @@ def effect_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("partial_linear")
 def partial_linear(spark, sf_dir):
-    return models.residual_slope(effect_residuals(spark, sf_dir))
+    residuals = effect_residuals(spark, sf_dir, ["lexical_diversity"])
+    return rounded(models.residual_slope(residuals))
+
+
+@query("partial_linear_groups")
+def partial_linear_groups(spark, sf_dir):
+    controls = ["n_words", "lexical_diversity", "uppercase_ratio", "post_cutoff"]
+    return models.slope_by_group(effect_residuals(spark, sf_dir, controls), "product_group")

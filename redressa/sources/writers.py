@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: str | None = None):
-    """Overwrite ``path`` with ``df`` as parquet, csv or json."""
-    writer = df.write.mode("overwrite")
+    """Overwrite ``path`` with ``df`` as parquet, csv or json.
+
+    Rows of a partitioned table are first brought together by partition, big
+    ones split, so that not every task writes a small file into every folder.
+    """
     if partition_by:
-        writer = writer.partitionBy(partition_by)
+        writer = df.hint("rebalance", partition_by).write.partitionBy(partition_by)
+    else:
+        writer = df.write
+    writer = writer.mode("overwrite")
     if fmt == "parquet":
         writer.parquet(path)
     elif fmt == "csv":
