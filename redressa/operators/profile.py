@@ -100,23 +100,14 @@ def count_distincts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def value_share(df: DataFrame, column: str, top: int = 50) -> DataFrame:
-    """Most frequent values of a column with their share of all rows."""
-    counts = df.groupBy(F.coalesce(F.col(column), F.lit("Missing")).alias(column)).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    total = counts.agg(F.sum("n")).scalar()
-    return (
-        counts.withColumn("share", F.col("n") / total)
-        .orderBy(F.desc("n"), F.asc(column))
-        .limit(top)
-    )
-
-
 def value_shares(
     df: DataFrame, columns: Sequence[str] = FREQUENCY_COLUMNS, top: int = 50
 ) -> DataFrame:
-    """The frequency tables of several columns from a single scan, in long form."""
+    """Most frequent values of each column with their share of all rows, in long form.
+
+    One scan and one shuffle: the totals are counted as a second grouping set,
+    lead each column's ranking, and so come along with its top values.
+    """
     pairs = F.array(
         *[
             F.struct(F.lit(c).alias("variable"), F.coalesce(F.col(c), F.lit("Missing")).alias("value"))
@@ -124,17 +115,27 @@ def value_shares(
         ]
     )
     counts = (
-        df.select(F.explode(pairs).alias("p"))
-        .groupBy("p.variable", "p.value")
-        .agg(F.count(F.lit(1)).alias("n"))
+        df.select(F.inline(pairs))
+        .groupingSets([["variable", "value"], ["variable"]], "variable", "value")
+        .agg(F.count(F.lit(1)).alias("n"), F.grouping("value").alias("_whole"))
+    )
+    ranked = Window.partitionBy("variable").orderBy(F.desc("_whole"), F.desc("n"), F.asc("value"))
+    whole = F.max(F.when(F.col("_whole") == 1, F.col("n"))).over(Window.partitionBy("variable"))
+    return (
+        counts.withColumn("_place", F.row_number().over(ranked))
+        .filter(F.col("_place") <= top + 1)
+        .withColumn("share", F.col("n") / whole)
+        .filter("_whole = 0")
+        .select("variable", "value", "n", "share", (F.col("_place") - 1).alias("rank"))
     )
-    totals = counts.groupBy("variable").agg(F.sum("n").alias("_total"))
-    ranked = Window.partitionBy("variable").orderBy(F.desc("n"), F.asc("value"))
+
+
+def value_share(df: DataFrame, column: str, top: int = 50) -> DataFrame:
+    """Most frequent values of one column with their share of all rows."""
     return (
-        counts.withColumn("rank", F.row_number().over(ranked))
-        .filter(F.col("rank") <= top)
-        .join(totals, "variable")
-        .select("variable", "value", "n", (F.col("n") / F.col("_total")).alias("share"), "rank")
+        value_shares(df, [column], top)
+        .orderBy("rank")
+        .select(F.col("value").alias(column), "n", "share")
     )
 
 

@@ -10,6 +10,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from redressa.session import materialize
+
 INDEX_DIMENSIONS = (
     "legal_term_count",
     "evidence_term_count",
@@ -278,7 +280,11 @@ def matched_neighbours(
     flag: str = "post_cutoff",
     key: str = "complaint_id",
 ) -> DataFrame:
-    """key, neighbour_id, matches, rank: the k nearest earlier complaints."""
+    """key, neighbour_id, matches, rank: the k nearest earlier complaints.
+
+    The match columns are written once, as they are read three times.
+    """
+    df = materialize(df.select(key, block, *keys, flag), "match-values")
     nearest = cell_neighbours(df, block, keys, k, flag, key)
     targets = df.filter(F.col(flag) == 1).select(key, _cell(block, keys).alias("_cell"))
     return targets.join(nearest, "_cell").select(key, "neighbour_id", "matches", "rank")
@@ -295,8 +301,10 @@ def local_shift(
 ) -> DataFrame:
     """Rows after the cutoff with their value minus the mean of their neighbours'.
 
-    The neighbours' mean is taken once per cell and then joined to the rows.
+    Columns key, the value, neighbours, neighbour_mean, local_shift. The
+    neighbours' mean is taken once per cell and then joined to the rows.
     """
+    df = materialize(df.select(key, block, *keys, flag, value), "match-values")
     means = (
         cell_neighbours(df, block, keys, k, flag, key, carry=[value])
         .groupBy("_cell")
@@ -304,7 +312,7 @@ def local_shift(
     )
     return (
         df.filter(F.col(flag) == 1)
-        .withColumn("_cell", _cell(block, keys))
+        .select(key, value, _cell(block, keys).alias("_cell"))
         .join(means, "_cell")
         .withColumn("local_shift", F.col(value) - F.col("neighbour_mean"))
         .drop("_cell")

@@ -488,7 +488,7 @@ def model_inputs(spark, sf_dir):
 
 @query("stratified_split")
 def stratified_split(spark, sf_dir):
-    rows = modeling(spark, sf_dir).select("complaint_id", "any_relief")
+    rows = materialize(modeling(spark, sf_dir).select("complaint_id", "any_relief"), "targets")
     return splitting.stratified_split(rows, "any_relief", "complaint_id")
 
 
@@ -504,7 +504,9 @@ def rare_levels(spark, sf_dir):
 
 @query("scaled_features")
 def scaled_features(spark, sf_dir):
-    rows = _inputs(spark, sf_dir).select("complaint_id", *profile.NUMERIC_FEATURES)
+    rows = materialize(
+        _inputs(spark, sf_dir).select("complaint_id", *profile.NUMERIC_FEATURES), "numbers"
+    )
     return rounded(encoding.scale_by_sd(rows, _hashed_train(rows), profile.NUMERIC_FEATURES))
 
 
@@ -613,10 +615,7 @@ def matched_neighbours(spark, sf_dir):
 
 @query("local_shift")
 def local_shift(spark, sf_dir):
-    rows = _indexed(spark, sf_dir, "product", *MATCHED).select(
-        "complaint_id", "product_group", *shift.MATCH_KEYS, "post_cutoff", "expression_index"
-    )
-    shifted = shift.local_shift(rows)
+    shifted = shift.local_shift(_indexed(spark, sf_dir, "product", *MATCHED))
     return rounded(shifted.select("complaint_id", "neighbours", "neighbour_mean", "local_shift"))
 
 

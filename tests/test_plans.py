@@ -55,10 +55,11 @@ def test_text_is_not_shuffled_for_its_measures(spark):
     assert "regexp_extract_all" in dedup
 
 
-@pytest.mark.parametrize("name", ["dedup_first", "matched_neighbours"])
+@pytest.mark.parametrize("name", ["dedup_first", "matched_neighbours", "freq_company"])
 def test_groups_are_trimmed_before_the_shuffle(spark, name):
     text = plan(spark, name)
-    assert re.search(r"WindowGroupLimit .*Partial", text)
+    wanted = {"dedup_first": "complaint_id", "matched_neighbours": "_cell", "freq_company": "variable"}
+    assert re.search(rf"WindowGroupLimit \[{wanted[name]}#.*Partial", text)
 
 
 def test_filters_reach_the_scan(spark):
