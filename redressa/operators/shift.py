@@ -172,40 +172,45 @@ def pca_index(
     return scored, [float(w * sign) for w in weights]
 
 
+def _piece(key: str) -> Column:
+    """A match value in a form that stays unambiguous when pieces are joined."""
+    value = F.col(key).cast("string")
+    return F.coalesce(F.concat(F.octet_length(value), F.lit(":"), value), F.lit("-"))
+
+
+def _digest(pieces: Sequence[Column]) -> Column:
+    """Sixteen bytes that name a combination of values: short keys sort and shuffle fast."""
+    return F.unhex(F.md5(F.concat_ws("|", *pieces)))
+
+
 def _cell(block: str, keys: Sequence[str]) -> Column:
-    """Name of a combination of match values; null values are left out of it."""
-    return F.md5(F.to_json(F.struct(block, *keys)))
+    """Name of a combination of all match values, nulls included."""
+    return _digest([_piece(k) for k in (block, *keys)])
 
 
-def _with_patterns(df: DataFrame, block: str, keys: Sequence[str]) -> DataFrame:
-    """One row per subset of the match keys that has no null in it.
+def _with_patterns(df: DataFrame, block: str, keys: Sequence[str], kept: Sequence[str]) -> DataFrame:
+    """``kept`` columns, once per subset of the match keys that has no null in it.
 
-    ``_pattern`` names the subset by its bits, ``_bits`` is its size, and
-    ``_values`` holds the values in it, the rest blanked.
+    ``_group`` names the subset together with the block and the values in it;
+    ``_bits`` is the size of the subset.
     """
     patterns = []
     for mask in range(1 << len(keys)):
-        inside = [bool(mask >> i & 1) for i in range(len(keys))]
+        inside = [k for i, k in enumerate(keys) if mask >> i & 1]
         known = F.lit(True)
-        values = []
-        for use, key in zip(inside, keys, strict=True):
-            value = F.col(key).cast("string")
-            values.append(F.coalesce(value, F.lit("")) if use else F.lit(""))
-            if use:
-                known = known & F.col(key).isNotNull()
+        for key in inside:
+            known = known & F.col(key).isNotNull()
+        pieces = [F.lit(str(mask)), _piece(block), *[_piece(k) for k in inside]]
         patterns.append(
-            F.struct(
-                F.lit(mask).alias("_pattern"),
-                F.lit(sum(inside)).alias("_bits"),
-                F.array(*values).alias("_values"),
-                known.alias("_known"),
+            F.when(
+                known,
+                F.struct(_digest(pieces).alias("_group"), F.lit(len(inside)).alias("_bits")),
             )
         )
     return (
         df.filter(F.col(block).isNotNull())
-        .select("*", F.inline(F.array(*patterns)))
-        .filter("_known")
-        .drop("_known")
+        .select(*kept, F.explode(F.filter(F.array(*patterns), lambda p: p.isNotNull())).alias("_p"))
+        .select(*kept, "_p._group", "_p._bits")
     )
 
 
@@ -234,34 +239,32 @@ def cell_neighbours(
     Hence 2^keys lookups of at most k rows each give the exact answer, and no
     pair of rows is formed within a block. The ``carry`` columns of a neighbour
     come along, so that no join back to a much-used neighbour is needed.
+
+    Columns ``_cell``, neighbour_id, matches, the carried ones, and rank.
     """
     flagged = F.col(flag)
-    earlier = df.filter(flagged == 0).select(
-        block, *keys, F.col(key).alias("neighbour_id"), *carry
+    earlier = df.filter(flagged == 0).withColumnRenamed(key, "neighbour_id")
+    near = ["neighbour_id", *carry]
+    per_cell = _first_k(earlier, [block, *keys], ["neighbour_id"], k)
+    index = (
+        _first_k(
+            _with_patterns(per_cell, block, keys, near), ["_group", "_bits"], ["neighbour_id"], k
+        )
+        .groupBy("_group", "_bits")
+        .agg(F.collect_list(F.struct(*near)).alias("_near"))
     )
-    per_cell = _first_k(earlier, [block, *keys], ["neighbour_id"], k).drop("rank")
-    index = _first_k(
-        _with_patterns(per_cell, block, keys).select(
-            block, "_pattern", "_bits", "_values", "neighbour_id", *carry
-        ),
-        [block, "_pattern", "_values"],
-        ["neighbour_id"],
-        k,
-    ).drop("rank")
     cells = df.filter(flagged == 1).select(block, *keys).distinct()
-    wanted = _with_patterns(cells.withColumn("_cell", _cell(block, keys)), block, keys)
+    wanted = _with_patterns(cells.withColumn("_cell", _cell(block, keys)), block, keys, ["_cell"])
     # Small subsets are looked up by many cells: spread those lookups.
     salts = F.greatest(F.lit(1), F.lit(_SALTS) / F.pow(F.lit(4), F.col("_bits"))).cast("int")
     index = index.select("*", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
     wanted = wanted.select(
-        "_cell",
-        block,
-        "_pattern",
-        "_values",
-        F.pmod(F.xxhash64("_cell"), salts).cast("int").alias("_salt"),
+        "_cell", "_group", F.pmod(F.xxhash64("_cell"), salts).cast("int").alias("_salt")
     )
     found = (
-        wanted.join(index, [block, "_pattern", "_values", "_salt"])
+        wanted.join(index, ["_group", "_salt"])
+        .repartition("_cell")  # serves the grouping and the ranking
+        .select("_cell", "_bits", F.inline("_near"))
         .groupBy("_cell", "neighbour_id")
         .agg(F.max("_bits").alias("matches"), *[F.first(c).alias(c) for c in carry])
     )

@@ -58,7 +58,7 @@ def test_text_is_not_shuffled_for_its_measures(spark):
 @pytest.mark.parametrize("name", ["dedup_first", "matched_neighbours", "freq_company"])
 def test_groups_are_trimmed_before_the_shuffle(spark, name):
     text = plan(spark, name)
-    wanted = {"dedup_first": "complaint_id", "matched_neighbours": "_cell", "freq_company": "variable"}
+    wanted = {"dedup_first": "complaint_id", "matched_neighbours": "_group", "freq_company": "variable"}
     assert re.search(rf"WindowGroupLimit \[{wanted[name]}#.*Partial", text)
 
 
