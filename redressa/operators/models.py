@@ -22,7 +22,7 @@ from redressa.operators.vectors import Vocabulary, fit_vocabulary, narrative_wor
 from redressa.session import materialize
 
 
-ROWS_PER_TASK = 2_000
+ROWS_PER_TASK = 10_000
 
 
 def with_class_weights(train: DataFrame, target: str) -> DataFrame:

@@ -264,6 +264,14 @@ FROM (SELECT doc_id, CASE doc_id % 11 WHEN 0 THEN 'N/A' WHEN 1 THEN 'None' WHEN
   WHEN 3 THEN 'nan' WHEN 4 THEN 'NULL' WHEN 5 THEN '#N/A' WHEN 6 THEN 'none' WHEN 7 THEN 'N/A '
   ELSE source END AS v FROM documents)"""
 
+ORACLES["csv_scan"] = _sql(
+    RAW,
+    """SELECT complaint_id, consumer_narrative,
+  CASE WHEN doc_id % 5 <> 0 THEN raw_source END AS state FROM narr""",
+)
+ORACLES["api_hits"] = """
+SELECT CAST(doc_id AS VARCHAR) AS complaint_id, lang AS state, text FROM documents"""
+
 # --- cleaning --------------------------------------------------------------
 ORACLES["alias_coalesce"] = """
 SELECT CAST(d.doc_id AS VARCHAR) AS complaint_id,

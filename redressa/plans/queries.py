@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import VectorAssembler
@@ -22,8 +23,10 @@ from redressa.operators import (
     topics,
     vectors,
 )
-from redressa.session import configure, materialize, spread
+from redressa.session import configure, materialize, scratch_dir, spread
 from redressa.sources.complaint_view import CUTOFF, complaint_rows, narratives
+from redressa.sources.readers import read_csv, read_hits
+from redressa.sources.writers import write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -155,6 +158,36 @@ def na_tokens(spark, sf_dir):
     )
 
 
+@query("csv_scan")
+def csv_scan(spark, sf_dir):
+    """Narratives written as CSV and read back: quotes, commas, line breaks, NA texts."""
+    path = f"{scratch_dir(configure(spark))}/redressa-csv-{uuid.uuid4().hex}"
+    rows = narratives(spark, sf_dir).select(
+        F.col("complaint_id").alias("Complaint ID"),
+        F.col("consumer_narrative").alias("Consumer complaint narrative"),
+        F.when(F.col("doc_id") % 5 == 0, "N/A").otherwise(F.col("raw_source")).alias("State"),
+    )
+    write_table(rows, path, "csv")
+    return cleaning.standardize(read_csv(spark, path)).select(
+        "complaint_id", "consumer_narrative", "state"
+    )
+
+
+@query("api_hits")
+def api_hits(spark, sf_dir):
+    """Documents as search replies in three envelopes, read back as records."""
+    path = f"{scratch_dir(configure(spark))}/redressa-hits-{uuid.uuid4().hex}"
+    record = F.struct(F.col("doc_id").alias("complaint_id"), F.col("lang").alias("state"), "text")
+    wrapped = F.array(F.struct(record.alias("_source")))
+    reply = (
+        F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(F.struct(wrapped.alias("hits")).alias("hits"))))
+        .when(F.col("doc_id") % 3 == 1, F.to_json(F.struct(wrapped.alias("hits"))))
+        .otherwise(F.to_json(F.struct(F.array(record).alias("hits"))))
+    )
+    table(spark, sf_dir, "documents").select(reply.alias("value")).write.text(path)
+    return read_hits(spark, path, ["complaint_id", "state", "text"], one_per_line=True)
+
+
 # --- projection, cleaning, predicates -------------------------------------
 
 

@@ -17,7 +17,7 @@ _RUNTIME_SETTINGS = {
 # Below this many input bytes per core a scan is too coarse to feed all cores.
 SMALL_INPUT_BYTES_PER_CORE = 32 * 1024 * 1024
 
-_local_scratch: str | None = None
+_local_scratch: tempfile.TemporaryDirectory | None = None
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -32,7 +32,8 @@ def scratch_dir(spark: SparkSession) -> str:
 
     A cluster names it in ``spark.checkpoint.dir`` (or through
     ``SparkContext.setCheckpointDir``). Only local mode may fall back to a
-    temporary folder, because executors elsewhere could not read it.
+    temporary folder, because executors elsewhere could not read it; that one
+    goes away with the process.
     """
     global _local_scratch
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -41,8 +42,8 @@ def scratch_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can read")
     if _local_scratch is None:
-        _local_scratch = tempfile.mkdtemp(prefix="redressa-")
-    return _local_scratch
+        _local_scratch = tempfile.TemporaryDirectory(prefix="redressa-", ignore_cleanup_errors=True)
+    return _local_scratch.name
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

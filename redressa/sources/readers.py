@@ -69,8 +69,10 @@ def read_table(
     raise ValueError(f"unsupported format: {fmt!r}")
 
 
-def read_hits(spark: SparkSession, path: str, fields: Sequence[str]) -> DataFrame:
-    """Records of search-API replies, one reply per file.
+def read_hits(
+    spark: SparkSession, path: str, fields: Sequence[str], one_per_line: bool = False
+) -> DataFrame:
+    """Records of search-API replies, one reply per file or per line.
 
     A reply holds its items under ``hits.hits`` or directly under ``hits``; an
     item is a record, or wraps one in ``_source``. Items that are no objects
@@ -86,7 +88,7 @@ def read_hits(spark: SparkSession, path: str, fields: Sequence[str]) -> DataFram
     ).otherwise(F.from_json(body, nested)["hits"])
     return (
         spark.read.schema(reply)
-        .option("multiLine", True)
+        .option("multiLine", not one_per_line)
         .json(path)
         .select(F.explode(items).alias("item"))
         .filter(F.col("item").startswith("{"))

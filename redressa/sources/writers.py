@@ -21,7 +21,13 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: st
     if fmt == "parquet":
         writer.parquet(path)
     elif fmt == "csv":
-        writer.option("header", True).option("escape", '"').csv(path)
+        (
+            writer.option("header", True)
+            .option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
+            .csv(path)
+        )
     elif fmt == "json":
         writer.json(path)
     else:

@@ -9,7 +9,9 @@ import __spark_entry__ as entry
 SF_DIR = "/root/testdata/sf0.001"
 # These start jobs or run Python batches by nature; the rest is planned only.
 EAGER = {
+    "api_hits",
     "average_precision",
+    "csv_scan",
     "dominant_topic",
     "embedding_clusters",
     "gbt_model",
