@@ -11,6 +11,7 @@ from redressa.functions.text import TEXT_MEASURES
 
 NUMERIC_FEATURES = TEXT_MEASURES + ("post_cutoff",)
 
+# Output columns and the measures they average.
 RELIEF_RATES = {
     "any_relief_rate": "any_relief",
     "monetary_relief_rate": "monetary_relief",
