@@ -37,11 +37,20 @@ DATE_FORMATS = (
     "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
     "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]",
     "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS]XXX",
+    "yyyy-MM-dd HH:mm",
+    "yyyy-MM-dd'T'HH:mm[XXX]",
+    "yyyy/M/d",
     "M/d/yyyy",
-    "M/d/yyyy HH:mm:ss",
+    "M/d/yyyy HH:mm[:ss]",
+    "M/d/yyyy h:mm[:ss] a",
+    "M-d-yyyy",
     "MMMM d, yyyy",
     "MMM d, yyyy",
+    "d MMMM yyyy",
+    "d MMM yyyy",
     "yyyyMMdd",
+    "M/d/yy",
 )
 
 DEFAULT_CUTOFF = "2022-11-30"

@@ -422,11 +422,11 @@ def tfidf_weights(spark, sf_dir):
 
 
 def topic_model(
-    spark: SparkSession, sf_dir: str, *columns: str, **options
+    spark: SparkSession, sf_dir: str, needs: Sequence[str] = (), keep: Sequence[str] = (), **options
 ) -> tuple[DataFrame, DataFrame, topics.TopicModel]:
-    """Modeling rows (written once), their sparse vectors and the fitted topics."""
-    rows = vectors.narrative_words(modeling(spark, sf_dir, "consumer_narrative", *columns))
-    rows = materialize(rows.drop("consumer_narrative"), "topic-rows")
+    """Modeling rows (the kept columns, written once), sparse vectors, fitted topics."""
+    rows = vectors.narrative_words(modeling(spark, sf_dir, "consumer_narrative", *needs))
+    rows = materialize(rows.select("complaint_id", "kept_words", *keep), "topic-rows")
     sparse, model = topics.fit_topics(rows, "complaint_id", **options)
     return rows.drop("kept_words"), sparse, model
 
@@ -452,9 +452,8 @@ def with_dominant_topic(rows: DataFrame, sparse: DataFrame, model: topics.TopicM
 
 @query("dominant_topic")
 def dominant_topic(spark, sf_dir):
-    rows, sparse, model = topic_model(
-        spark, sf_dir, "timely_response", "n_words", "template_phrase_count"
-    )
+    measures = list(profile.TOPIC_MEASURES.values())
+    rows, sparse, model = topic_model(spark, sf_dir, ["timely_response", *measures], measures)
     return profile.topic_profile(with_dominant_topic(rows, sparse, model))
 
 

@@ -100,6 +100,14 @@ def test_dates(spark):
         "2022-11-30T12:30:00.250Z",
         "November 3, 2022",
         "20221130",
+        "2022/11/30",
+        "11-30-2022",
+        "30 Nov 2022",
+        "11/30/22",
+        "11/30/2022 12:30",
+        "11/30/2022 1:05:09 PM",
+        "2022-11-30T12:30Z",
+        "2022-11-30 12:30:00-05:00",
         "bad",
         "2022-13-01",
         None,
@@ -116,6 +124,14 @@ def test_dates(spark):
             "2022-11-30 12:30:00.25",
             d(2022, 11, 3),
             d(2022, 11, 30),
+            d(2022, 11, 30),
+            d(2022, 11, 30),
+            d(2022, 11, 30),
+            d(2022, 11, 30),
+            d(2022, 11, 30, 12, 30),
+            d(2022, 11, 30, 13, 5, 9),
+            d(2022, 11, 30, 12, 30),
+            d(2022, 11, 30, 17, 30),
             None,
             None,
             None,
