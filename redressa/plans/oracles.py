@@ -467,6 +467,26 @@ ORACLES["topic_profile"] = _sql(
 FROM modeling WHERE sub_issue IS NOT NULL GROUP BY 1""",
 )
 
+ORACLES["topic_keywords_given"] = _sql(
+    _WORDS,
+    """, uses AS (
+  SELECT n.raw_source, t.term, count(*) AS weight
+  FROM terms t JOIN narr n USING (complaint_id) GROUP BY ALL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY raw_source ORDER BY weight DESC, term) AS r FROM uses)
+SELECT raw_source, string_agg(term, ', ' ORDER BY r) AS keywords, max(weight) AS top_weight
+FROM ranked WHERE r <= 15 GROUP BY raw_source""",
+)
+ORACLES["dominant_topic_given"] = _sql(
+    BASE,
+    f""", listed AS (
+  SELECT complaint_id, [{', '.join(f'{m}::DOUBLE / greatest(n_words, 1)' for m in LEXICONS)}] AS w
+  FROM modeling)
+SELECT complaint_id, CAST(list_position(w, list_max(w)) - 1 AS INTEGER) AS dominant_topic,
+  round(list_max(w), 6) AS dominant_topic_weight
+FROM listed""",
+)
+
 # --- models ----------------------------------------------------------------
 ORACLES["class_counts"] = _sql(
     _CLEAN,
@@ -737,3 +757,17 @@ SELECT any_value(n) AS n, round(any_value(slope), 6) AS slope,
   round(sqrt(sum((rt * (ry - slope * rt)) ** 2)) / any_value(tt), 6) AS std_error
 FROM residuals, slopes""",
 )
+ORACLES["top_features_given"] = _sql(
+    BASE,
+    ", found AS ("
+    + " UNION ALL ".join(
+        f"""SELECT '{f}' AS feature, CASE WHEN stddev_pop({f}) > 0 THEN corr({f}, any_relief)
+  ELSE 0.0 END AS coef FROM modeling"""
+        for f in NUMERIC_FEATURES
+    )
+    + """)
+SELECT feature, round(coef, 6) AS coef, round(abs(coef), 6) AS abs_coef, direction FROM (
+  SELECT *, 'positive' AS direction FROM (SELECT * FROM found ORDER BY coef DESC, feature LIMIT 6)
+  UNION ALL
+  SELECT *, 'negative' FROM (SELECT * FROM found ORDER BY coef, feature LIMIT 6))""",
+)

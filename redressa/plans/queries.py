@@ -468,6 +468,27 @@ def topic_profile(spark, sf_dir):
     return rounded(profile.topic_profile(rows, "topic"))
 
 
+@query("topic_keywords_given")
+def topic_keywords_given(spark, sf_dir):
+    """Keyword lists with given weights: term uses per source of the documents."""
+    docs = vectors.with_terms(vectors.narrative_words(spread(documents(spark, sf_dir), "doc_id")))
+    uses = (
+        docs.select("raw_source", F.explode("terms").alias("term"))
+        .groupBy("raw_source", "term")
+        .agg(F.count(F.lit(1)).alias("weight"))
+    )
+    return topics.keyword_lists(uses, "raw_source")
+
+
+@query("dominant_topic_given")
+def dominant_topic_given(spark, sf_dir):
+    """Dominant topic with given weights: the lexicon with most hits per word."""
+    rows = modeling(spark, sf_dir, "n_words")
+    shares = [F.col(m) / F.greatest("n_words", F.lit(1)) for m in LEXICONS]
+    weighted = rows.select("complaint_id", F.array(*shares).alias("weights"))
+    return rounded(topics.dominant_topic(weighted))
+
+
 # --- supervised models ----------------------------------------------------
 
 
@@ -593,6 +614,15 @@ def top_features(spark, sf_dir):
     return response_model(spark, sf_dir).top_features()
 
 
+@query("top_features_given")
+def top_features_given(spark, sf_dir):
+    """Top features with given coefficients: the correlations with relief."""
+    found = profile.correlate_with(modeling(spark, sf_dir, "n_words")).collect()
+    names = [r["feature"] for r in found]
+    coefficients = [r["correlation"] or 0.0 for r in found]
+    return rounded(models.top_features(names, coefficients, spark.range(0), n=6))
+
+
 # --- expression shift -----------------------------------------------------
 
 

@@ -26,6 +26,7 @@ EAGER = {
     "tfidf_weights",
     "timely_model",
     "top_features",
+    "top_features_given",
     "topic_keywords",
 }
 
