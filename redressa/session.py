@@ -17,6 +17,7 @@ _RUNTIME_SETTINGS = {
 # Below this many input bytes per core a scan is too coarse to feed all cores.
 SMALL_INPUT_BYTES_PER_CORE = 32 * 1024 * 1024
 
+_written: list[str] = []
 _local_scratch: tempfile.TemporaryDirectory | None = None
 
 
@@ -46,15 +47,49 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_scratch.name
 
 
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new folder name in the shared scratch folder, removed by ``release``."""
+    path = f"{scratch_dir(spark)}/redressa-{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back: later passes neither recompute it
     nor depend on the executors that produced it."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/redressa-{label}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the scratch folders that ``tables`` (from ``materialize``) read.
+
+    Only for tables that no later job reads; other folders are left alone.
+    """
+    for df in tables:
+        folders = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
+        for path in [p for p in _written if any(f.endswith(p.split(":", 1)[-1].lstrip("/")) for f in folders)]:
+            _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every scratch folder this process has written.
+
+    Results that are read lazily from them must have been stored before.
+    """
+    for path in list(_written):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _written.remove(path)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash ``df`` over all cores when its input is too small for that already.
 
