@@ -8,7 +8,8 @@ Everything is DataFrame and SQL functions.
 
 Scale: counting is one scan whose map side already ends in at most ``buckets`` rows
 a task; the model is ``buckets`` doubles whatever the corpus, so it goes into the
-plan as a literal; scoring is a projection. No text is shuffled. The one join is with
+plan as a literal; scores are summed in the scan's tasks, and only their measures are
+shuffled, not the text. The one join is with
 the trusted ids, a sample of at most ``TRUSTED_SAMPLE`` (a documented bound), which is
 what makes it a broadcast.
 
@@ -25,25 +26,30 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redressa.llm.common import SPACE_CHARACTERS, words_of
+from redressa.llm.common import words_of
 
 BUCKETS = 10_000
 SMOOTHING = 1.0
 TRUSTED_SAMPLE = 20_000
-THRESHOLD = -0.25
+THRESHOLD = -0.1
 MIN_WORDS = 50
 MAX_REPEAT_SHARE = 0.5
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 
-def _ngram_buckets(words: Column, buckets: int) -> Column:
-    """Buckets of all unigrams, then of all bigrams."""
-    unigrams = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    bigrams = F.transform(
-        F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda w, i: F.pmod(F.xxhash64(w, F.get(words, i + 1)), F.lit(buckets)).cast("int"),
+def _pairs(words: Column) -> Column:
+    """Each word with the next one (null after the last)."""
+    following = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
+    return F.arrays_zip(words.alias("word"), following.alias("next"))
+
+
+def _buckets(pair: Column, buckets: int) -> tuple[Column, Column]:
+    """Bucket of the word and, unless it is the last, of the word and its next."""
+    word, after = pair["word"], pair["next"]
+    return (
+        F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int"),
+        F.when(after.isNotNull(), F.pmod(F.xxhash64(word, after), F.lit(buckets)).cast("int")),
     )
-    return F.concat(unigrams, bigrams)
 
 
 def trusted_ids(labels: DataFrame, most: int = TRUSTED_SAMPLE) -> DataFrame:
@@ -59,11 +65,13 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED_SAMPLE) -> DataFrame:
 
 def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
     """``ln(p_trusted / p_corpus)`` of each bucket, counted over all of ``docs``."""
-    marked = docs.select("doc_id", words_of(F.lower("text")).alias("words")).join(
+    marked = docs.select("doc_id", words_of(F.col("text")).alias("word")).join(
         F.broadcast(trusted.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left"
     )
+    pairs = marked.select("good", F.explode(_pairs(F.col("word"))).alias("pair"))
     counts = (
-        marked.select("good", F.explode(_ngram_buckets(F.col("words"), buckets)).alias("bucket"))
+        pairs.select("good", F.explode(F.array(*_buckets(F.col("pair"), buckets))).alias("bucket"))
+        .filter("bucket IS NOT NULL")
         .groupBy("bucket")
         .agg(F.count("*").alias("n_all"), F.count("good").alias("n_good"))
         .collect()
@@ -85,71 +93,53 @@ def _literal(ratios: list[float]) -> Column:
     return F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
 
 
-def _mean_ratio(words: Column, ratios: list[float]) -> Column:
-    table, buckets = _literal(ratios), F.lit(len(ratios))
-    n = F.size(words)
-    total = F.aggregate(
-        words,
-        F.lit(0.0),
-        lambda acc, w: acc + F.get(table, F.pmod(F.xxhash64(w), buckets).cast("int")),
-    ) + F.aggregate(
-        F.sequence(F.lit(1), n - 1),
-        F.lit(0.0),
-        lambda acc, i: acc
-        + F.get(table, F.pmod(F.xxhash64(F.get(words, i - 1), F.get(words, i)), buckets).cast("int")),
-    )
-    return (
-        F.when(n > 1, total / (2 * n - 1))
-        .when(n == 1, F.get(table, F.pmod(F.xxhash64(F.get(words, F.lit(0))), buckets).cast("int")))
-        .otherwise(0.0)
-    )
-
+def _sorted_windows(windows: Column) -> Column:
+    return F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
-def _repeat_words(words: Column, windows: Column) -> Column:
-    """Words inside a three-word window that the text has twice or more.
 
-    ``windows`` are the window hashes in order. Most texts have no repeat, which one
-    distinct count shows; else equal hashes are brought side by side by a sort, and the
-    union of the repeated windows is measured over their sorted starts.
-    """
-    pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+def _repeated_starts(pairs: Column) -> Column:
+    """Starts, in order, of the windows that have an equal neighbour in ``pairs``."""
 
-    def same(k: Column, other: Column) -> Column:
-        return F.coalesce(F.get(pairs_, k)["h"] == F.get(pairs_, other)["h"], F.lit(False))
+    def equal(one: Column, other: Column) -> Column:
+        return F.coalesce(one["h"] == other["h"], F.lit(False))
 
-    pairs_ = F.col("pairs")
-    starts = F.sort_array(
-        F.transform(
-            F.filter(
-                pairs_,
-                lambda p, k: same(k, k - 1) | same(k, k + 1),
-            ),
-            lambda p: p["i"],
-        )
+    repeated = F.filter(
+        pairs,
+        lambda p, k: equal(p, F.get(pairs, k - 1)) | equal(p, F.get(pairs, k + 1)),
     )
-    return pairs, starts
+    return F.sort_array(F.transform(repeated, lambda p: p["i"]))
+
+
+def _covered(starts: Column) -> Column:
+    """Words that windows of three from ``starts`` cover."""
+    return F.aggregate(
+        starts,
+        F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
+        lambda acc, i: F.struct(
+            (acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n"), i.alias("last")
+        ),
+    )["n"]
 
 
 def rule_columns(docs: DataFrame) -> DataFrame:
-    """``docs`` with the five base measures in front of nothing else changed.
+    """``docs`` with its base measures.
 
     Adds ``words`` (the word list), ``n_words``, ``word_chars``, ``n_symbols``,
     ``n_dup_lines`` and ``n_repeat_words``.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    blank = "".join(SPACE_CHARACTERS)
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, blank, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = docs.withColumns(
         {
             "words": words_of(F.col("text")),
-            "word_chars": F.length(F.translate(text, blank, "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+            "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
             "lines": lines,
         }
     )
     df = df.withColumns(
         {
             "n_words": F.size("words").cast("long"),
+            "word_chars": F.length(F.array_join("words", "")).cast("long"),
             "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
             "windows": F.transform(
                 F.slice("words", 3, F.greatest(F.size("words") - 2, F.lit(0))),
@@ -157,30 +147,46 @@ def rule_columns(docs: DataFrame) -> DataFrame:
             ),
         }
     ).drop("lines")
-    pairs, starts = _repeat_words(F.col("words"), F.col("windows"))
+    # Most texts repeat no window, which the distinct count shows; only the others
+    # sort their windows to bring equal ones side by side. Each step is its own
+    # projection, so that none of them is worked out twice.
     repeats = F.size("windows") > F.size(F.array_distinct("windows"))
-    df = df.withColumn("pairs", F.when(repeats, pairs)).drop("windows")
-    df = df.withColumn("starts", F.when(F.col("pairs").isNotNull(), starts)).drop("pairs")
-    covered = F.aggregate(
-        "starts",
-        F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
-        lambda acc, i: F.struct(
-            (acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n"), i.alias("last")
-        ),
-    )["n"]
-    return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("starts")
+    df = df.withColumn("windows", F.when(repeats, _sorted_windows(F.col("windows"))))
+    df = df.withColumn(
+        "windows", F.when(F.col("windows").isNotNull(), _repeated_starts(F.col("windows")))
+    )
+    return df.withColumn(
+        "n_repeat_words", F.coalesce(_covered(F.col("windows")), F.lit(0)).cast("long")
+    ).drop("windows")
 
 
 def score(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with measures, ``score``, ``base_failed`` and ``kept``."""
-    df = rule_columns(docs)
-    lowered = F.transform("words", F.lower)
-    df = df.withColumn("words", lowered)
-    df = df.withColumn("score", F.round(_mean_ratio(F.col("words"), ratios), 6)).drop("words")
+    """Measures, ``score``, ``base_failed`` and ``kept`` of each row of ``docs``.
+
+    Returns ``doc_id`` and ``text_hash`` of the row with them, not its text. The n-grams
+    of a row are added up where they are made; a number of the row, not the doc_id,
+    groups them, so repeated rows and null ids stay apart.
+    """
+    df = rule_columns(docs.select("doc_id", "text")).withColumn("row", F.monotonically_increasing_id())
+    df = df.withColumn("text_hash", F.xxhash64("text")).drop("text")
+    kept = [c for c in df.columns if c not in ("words", "row")]
+    exploded = df.select(*kept, "row", F.explode_outer(_pairs(F.col("words"))).alias("pair"))
+    table = _literal(ratios)
+    one, two = _buckets(F.col("pair"), len(ratios))
+    summed = (
+        exploded.select(
+            *kept, "row", (F.get(table, one) + F.coalesce(F.get(table, two), F.lit(0.0))).alias("ratio")
+        )
+        .groupBy("row")
+        .agg(*[F.first(c).alias(c) for c in kept], F.sum("ratio").alias("total"))
+        .drop("row")
+    )
+    mean = F.coalesce(F.col("total") / F.greatest(2 * F.col("n_words") - 1, F.lit(1)), F.lit(0.0))
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > int(100 * MAX_REPEAT_SHARE) * F.col("n_words")
     )
-    return df.withColumn("base_failed", failed).withColumn(
+    judged = summed.withColumn("score", F.round(mean, 6)).withColumn("base_failed", failed)
+    return judged.drop("total").withColumn(
         "kept", ~F.col("base_failed") & (F.col("score") >= threshold)
     )
 
@@ -192,7 +198,16 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns only."""
-    ratios = fit(docs.select("doc_id", "text"), trusted_ids(labels))
-    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    return score(boxed, ratios, threshold).filter("kept").select("row.*")
+    """The rows of ``docs`` that pass, with their own columns only.
+
+    Rows with one doc_id and text share a verdict. The rejected keys are the smaller
+    side of an anti join, and the optimizer broadcasts them when they are few.
+    """
+    rejected = (
+        quality_rules(docs, labels, threshold)
+        .filter(~F.col("kept"))
+        .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+        .distinct()
+    )
+    same = docs["doc_id"].eqNullSafe(rejected["_id"]) & (F.xxhash64(docs["text"]) == rejected["_hash"])
+    return docs.join(rejected, same, "left_anti")
