@@ -60,18 +60,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete the scratch folders that ``tables`` (from ``materialize``) read.
+    """Delete the scratch folders of ``tables``, which ``materialize`` returned.
 
-    Only for tables that no later job reads; other folders are left alone.
+    Only for tables that no later job reads.
     """
     for df in tables:
-        folders = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
-        for path in [p for p in _written if any(f.endswith(p.split(":", 1)[-1].lstrip("/")) for f in folders)]:
-            _delete(df.sparkSession, path)
+        _delete(df.sparkSession, df._scratch)
 
 
 def release(spark: SparkSession) -> None:
