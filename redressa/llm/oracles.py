@@ -1,3 +1,38 @@
 """DuckDB SQL of the training-data queries that SQL can express."""
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op1_line_dedup"] = r"""
+WITH docs AS (
+    SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents
+), each_line AS (
+    SELECT doc_id, unnest(range(0, len(lines))) AS pos, unnest(lines) AS line
+    FROM docs WHERE text IS NOT NULL
+), counted AS (
+    SELECT doc_id, list(line ORDER BY pos) AS lines,
+        list(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) ORDER BY pos) AS words
+    FROM each_line GROUP BY doc_id
+), sizes AS (
+    SELECT unnest(range(0, 31)) AS k
+), starts AS (
+    SELECT doc_id, lines, words, 1 << k AS size, unnest(range(0, len(lines) - (1 << k) + 1)) AS pos
+    FROM counted JOIN sizes ON (1 << k) <= len(lines)
+), blocks AS (
+    SELECT doc_id, pos, size,
+        md5(array_to_string(lines[pos + 1 : pos + size], chr(10))) AS block,
+        list_sum(words[pos + 1 : pos + size]) AS n_words
+    FROM starts
+), numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY size, block ORDER BY doc_id, pos) AS copy FROM blocks
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(pos, pos + size)) AS pos
+    FROM numbered WHERE copy > 1 AND n_words >= 10
+), kept AS (
+    SELECT e.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
+        coalesce(string_agg(line, chr(10) ORDER BY e.pos) FILTER (g.pos IS NULL), '') AS text
+    FROM each_line e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.pos = g.pos
+    GROUP BY e.doc_id
+)
+SELECT d.doc_id, k.text, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed
+FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
