@@ -36,3 +36,31 @@ WITH docs AS (
 SELECT d.doc_id, k.text, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed
 FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
+
+ORACLES["op8_benchmark_decontamination"] = r"""
+WITH items AS (
+    SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark
+), sized AS (
+    SELECT item_id, w, least(5, len(w)) AS size FROM items WHERE len(w) > 0
+), wanted AS (
+    SELECT DISTINCT item_id, size, array_to_string(w[pos : pos + size - 1], ' ') AS shingle
+    FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS pos FROM sized)
+), totals AS (
+    SELECT item_id, count(*) AS n_shingles FROM wanted GROUP BY item_id
+), texts AS (
+    SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents
+), lengths AS (
+    SELECT DISTINCT size FROM wanted
+), held AS (
+    SELECT DISTINCT doc_id, size, array_to_string(w[pos : pos + size - 1], ' ') AS shingle
+    FROM (
+        SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS pos FROM texts, lengths
+        WHERE len(w) >= size
+    )
+)
+SELECT doc_id, item_id, n_shingles, count(*) AS n_shared,
+    round(count(*) / n_shingles, 6) AS containment
+FROM held JOIN wanted USING (size, shingle) JOIN totals USING (item_id)
+GROUP BY doc_id, item_id, n_shingles
+HAVING 100 * count(*) >= 80 * n_shingles
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redressa.llm import line_dedup, quality, simhash
+from redressa.llm import decontaminate, line_dedup, packing, quality, simhash
 from redressa.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -43,3 +43,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "kept",
         "score",
     )
+
+
+@query
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.find_items(docs.select("doc_id", "text"), items)
+
+
+@query
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
