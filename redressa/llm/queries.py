@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redressa.llm import decontaminate, line_dedup, packing, pii, quality, simhash
+from redressa.llm import decontaminate, language, line_dedup, packing, pii, quality, simhash
 from redressa.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -27,6 +27,14 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.languages(docs, language.learn(docs.select("doc_id", "text", "lang")))
+    held_out = F.coalesce(language.fold(F.col("doc_id")) == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "spans")
+
+
 @query
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
