@@ -185,11 +185,14 @@ def _word_scores(words: list[str], model: Model) -> np.ndarray:
 
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Best label of each word: sum of scores less ``switch`` for each change."""
-    total = scores.sum(axis=0, dtype=np.float64)
-    best = int(total.argmax())
-    # What leaving the best constant path could gain at most, over any stretch.
-    gain = np.cumsum(np.r_[0.0, (scores.max(axis=1) - scores[:, best]).astype(np.float64)])
-    if len(scores) == 0 or gain[-1] <= switch:
+    best = int(scores.sum(axis=0, dtype=np.float64).argmax())
+    if len(scores) == 0 or scores.shape[1] == 1:
+        return np.full(len(scores), best)
+    # What leaving the best constant path for any stretch could gain at most: the largest
+    # sum over a stretch of (best other language - best language).
+    others = np.delete(scores, best, axis=1).max(axis=1)
+    gain = np.cumsum(np.r_[0.0, (others - scores[:, best]).astype(np.float64)])
+    if (gain - np.minimum.accumulate(gain)).max() <= switch:
         return np.full(len(scores), best)
     rows = scores.astype(np.float64).tolist()
     value, back = rows[0], []
