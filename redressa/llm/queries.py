@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redressa.llm import decontaminate, language, line_dedup, packing, pii, quality, simhash
+from redressa.llm import (
+    decontaminate,
+    language,
+    line_dedup,
+    packing,
+    pii,
+    quality,
+    simhash,
+    substring_dedup,
+)
 from redressa.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -42,6 +51,15 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that repeat an earlier passage, without it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = substring_dedup.substring_dedup(docs, changed_only=True)
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return found.select("doc_id", "first_doc_ids", spans.alias("spans"), "n_removed", "text")
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
