@@ -164,7 +164,10 @@ def substring_dedup(docs: DataFrame, min_run: int = MIN_RUN, changed_only: bool
     )
     same = docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_hash"])
     joined = docs.join(found, same, "inner" if changed_only else "left")
-    cuts, data = F.col("_cuts"), F.col("text").cast("binary")
+    # Under a name of its own: a lambda would take the new text for "text".
+    old = free_name(docs.columns, "_old")
+    joined = joined.withColumn(old, docs["text"])
+    cuts, data = F.col("_cuts"), F.col(old).cast("binary")
 
     def piece(low, high):
         return F.substring(data, low + 1, high - low).cast("string")
@@ -177,7 +180,7 @@ def substring_dedup(docs: DataFrame, min_run: int = MIN_RUN, changed_only: bool
             ),
             "",
         ),
-        piece(F.element_at(cuts, -1)["end"], F.octet_length("text")),
+        piece(F.element_at(cuts, -1)["end"], F.octet_length(old)),
     )
     spans = F.transform(
         cuts,
@@ -186,8 +189,8 @@ def substring_dedup(docs: DataFrame, min_run: int = MIN_RUN, changed_only: bool
             F.length(piece(F.lit(0), c["end"])).cast("long").alias("end"),
         ),
     )
-    text = F.when(cuts.isNull(), F.col("text")).otherwise(kept)
-    removed = F.coalesce(F.length("text") - F.length(text), F.lit(0)).cast("long")
+    text = F.when(cuts.isNull(), F.col(old)).otherwise(kept)
+    removed = F.coalesce(F.length(old) - F.length(text), F.lit(0)).cast("long")
     return joined.select(
         *[text.alias(c) if c.lower() == "text" else docs[f"`{c}`"] for c in docs.columns],
         removed.alias(names[0]),
