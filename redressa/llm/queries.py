@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from redressa.llm import (
     decontaminate,
+    html,
     language,
     line_dedup,
     packing,
@@ -90,6 +91,11 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.find_items(docs.select("doc_id", "text"), items)
 
 
+@query
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
