@@ -25,6 +25,16 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+def map_rows(df: DataFrame, key: str, run: Callable, schema: str) -> DataFrame:
+    """``mapInPandas`` whose column ``key`` travels as a string in both directions.
+
+    Pandas would read whole numbers with a null among them as floats.
+    """
+    kind = df.schema[key].dataType
+    found = df.withColumn(key, F.col(key).cast("string")).mapInPandas(run, f"{key} string, {schema}")
+    return found.withColumn(key, F.col(key).cast(kind))
+
+
 def free_name(taken: Sequence[str], wanted: str) -> str:
     """``wanted``, with underscores in front until no column has that name."""
     names = {t.lower() for t in taken}

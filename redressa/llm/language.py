@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from redressa.llm.common import map_rows
+
 UNKNOWN = "und"
 SAMPLE = 1000
 BUCKETS = 1 << 15
@@ -274,7 +276,5 @@ def languages(docs: DataFrame, model: Model) -> DataFrame:
             rows.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield rows
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(
-        run, f"doc_id {kind}, lang_pred string, score double, spans string"
-    )
+    schema = "lang_pred string, score double, spans string"
+    return map_rows(docs.select("doc_id", "text"), "doc_id", run, schema)

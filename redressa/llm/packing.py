@@ -36,13 +36,14 @@ import public_tokenizers
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from redressa.llm.common import map_rows
 from redressa.session import materialize
 
 TOKENS = 1024
 END = 2
 SHARD = 16_384
+PIECE = "piece int, start long, length long, ids_crc32 long"
 WEIGHTS = (1.0, 0.001, 0.001)
 
 
@@ -77,10 +78,7 @@ def pieces(docs: DataFrame, path: str, tokens: int = TOKENS, end: int = END) ->
             found.insert(0, "doc_id", batch["doc_id"].to_numpy()[found.pop("at").to_numpy(dtype=int)])
             yield found
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(
-        run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
-    )
+    return map_rows(docs.select("doc_id", "text"), "doc_id", run, PIECE)
 
 
 def best_fit(
@@ -154,12 +152,7 @@ def pack(
         base = TaskContext.get().partitionId() << 32
         yield rows.assign(sequence_id=base + bins, offset=offsets)
 
-    kind = found.schema["doc_id"].dataType.simpleString()
-    return found.repartition(shards).mapInPandas(
-        run,
-        f"doc_id {kind}, piece int, start long, length long, ids_crc32 long,"
-        " sequence_id long, offset long",
-    )
+    return map_rows(found.repartition(shards), "doc_id", run, f"{PIECE}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, **options) -> DataFrame:

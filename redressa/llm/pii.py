@@ -29,6 +29,8 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from redressa.llm.common import map_rows
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
@@ -327,8 +329,6 @@ def personal_data(docs: DataFrame) -> DataFrame:
             found.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield found
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return docs.select("doc_id", "text").mapInPandas(
-        run, f"doc_id {kind}, {counts}, base_sha256 string, spans string, n_hidden long"
-    )
+    schema = f"{counts}, base_sha256 string, spans string, n_hidden long"
+    return map_rows(docs.select("doc_id", "text"), "doc_id", run, schema)

@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from redressa.llm.common import map_rows
 from redressa.session import discard, materialize
 
 BITS = 64
@@ -83,8 +84,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 }
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp long")
+    return map_rows(docs.select("doc_id", "text"), "doc_id", run, "fp long")
 
 
 # ---- layout ---------------------------------------------------------------------------

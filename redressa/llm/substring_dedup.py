@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from redressa.llm.common import free_name
+from redressa.llm.common import free_name, map_rows
 from redressa.session import materialize
 
 WINDOW = 16
@@ -96,10 +96,8 @@ def chunks(docs: DataFrame) -> DataFrame:
             if held:
                 yield _table(held)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(
-        run, f"doc_id {kind}, text_hash long, start int, end int, d1 long, d2 long"
-    )
+    schema = "text_hash long, start int, end int, d1 long, d2 long"
+    return map_rows(docs.select("doc_id", "text"), "doc_id", run, schema)
 
 
 def _signed(value: int) -> int:
