@@ -140,9 +140,10 @@ def pack(
     shards = max(1, -(-found.count() // shard))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([*batches], ignore_index=True)
-        if rows.empty:
+        held = [b for b in batches if len(b)]
+        if not held:
             return
+        rows = pd.concat(held, ignore_index=True)
         rows = rows.sort_values(
             ["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable"
         )
