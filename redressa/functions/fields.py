@@ -32,25 +32,22 @@ NA_TOKENS = (
     "null",
 )
 
-DATE_FORMATS = (
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]",
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX",
-    "yyyy-MM-dd HH:mm:ss[.SSSSSS]XXX",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd'T'HH:mm[XXX]",
-    "yyyy/M/d",
-    "M/d/yyyy",
-    "M/d/yyyy HH:mm[:ss]",
-    "M/d/yyyy h:mm[:ss] a",
-    "M-d-yyyy",
-    "MMMM d, yyyy",
-    "MMM d, yyyy",
-    "d MMMM yyyy",
-    "d MMM yyyy",
-    "yyyyMMdd",
-    "M/d/yy",
+# A time of day after a date: hour, minute, second, fraction, half of the day, zone.
+_TIME = (
+    r"(?:[T ,]+(\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,9}))?)?"
+    r"(?: *([AaPp])\.?[Mm]\.?)?(?: *(Z|UTC|GMT|[+-]\d{2}:?\d{2}))?)?$"
+)
+_WEEKDAY = r"^(?:(?:[Mm]on|[Tt]ue|[Ww]ed|[Tt]hu|[Ff]ri|[Ss]at|[Ss]un)[a-z]*\.?,? +)?"
+# Fifty years on from 2026; a fixed value, so that results do not change with the clock.
+_LAST_CENTURY = "76"
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+# (pattern of the date, groups that hold year, month and day).
+_DATE_FAMILIES = (
+    (r"^(\d{4})[-/.](\d{1,2})(?:[-/.](\d{1,2}))?", (1, 2, 3)),
+    (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})", (3, 1, 2)),
+    (r"^(\d{4})(\d{2})(\d{2})", (1, 2, 3)),
+    (_WEEKDAY + r"([A-Za-z]{3})[a-z]*\.?[ -]+(\d{1,2})(?:st|nd|rd|th)?,?[ -]+(\d{4})", (3, 1, 2)),
+    (_WEEKDAY + r"(\d{1,2})(?:st|nd|rd|th)?[ -]+([A-Za-z]{3})[a-z]*\.?,?[ -]+(\d{4})", (3, 2, 1)),
 )
 
 DEFAULT_CUTOFF = "2022-11-30"
@@ -82,9 +79,51 @@ def null_if_na(value: Column, na_tokens: Iterable[str] = NA_TOKENS) -> Column:
     return F.when(~value.isin(*na_tokens), value)
 
 
-def parse_date(value: Column, formats: Iterable[str] = DATE_FORMATS) -> Column:
-    """First format that fits; null when none does. Needs a UTC session."""
-    return F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in formats])
+def parse_date(value: Column) -> Column:
+    """Dates with an optional time, in the written forms of ``_DATE_FAMILIES``.
+
+    The family is chosen by pattern, its parts are put into one standard text, and that
+    is cast once; no format is tried and failed. Month comes before day unless it cannot.
+    Two-digit years from ``_LAST_CENTURY`` on are 19xx. Null when no family fits. Needs a UTC session.
+    """
+    text = F.trim(value)
+    whole = F.lit(None).cast("string")
+    for pattern, (year, month, day) in reversed(_DATE_FAMILIES):
+        full = pattern + _TIME
+        whole = F.when(text.rlike(full), _standard(text, full, year, month, day)).otherwise(whole)
+    return whole.try_cast("timestamp")
+
+
+def _standard(text: Column, pattern: str, year: int, month: int, day: int) -> Column:
+    """``yyyy-MM-dd HH:mm:ss.fraction zone`` of a text that fits ``pattern``."""
+
+    def part(group: int) -> Column:
+        return F.regexp_extract(text, pattern, group)
+
+    def number(group: int) -> Column:
+        return F.coalesce(part(group).try_cast("int"), F.lit(0))
+
+    y, m, d = part(year), part(month), part(day)
+    named = F.position(F.lower(m), F.lit(_MONTHS))
+    month_no = F.when(m.rlike(r"^\d"), m.try_cast("int")).otherwise((named + 2) / 3).cast("int")
+    day_no = F.coalesce(d.try_cast("int"), F.lit(1))
+    swap = (month_no > 12) & (day_no <= 12) & (F.lit(year) == 3)
+    month_no, day_no = F.when(swap, day_no).otherwise(month_no), F.when(swap, month_no).otherwise(day_no)
+    full_year = F.when(F.length(y) == 2, y.try_cast("int") + F.when(y >= _LAST_CENTURY, 1900).otherwise(2000))
+    half, zone = F.lower(part(8)), part(9)
+    hour = F.when(half == "", number(4)).otherwise(number(4) % 12 + F.when(half == "p", 12).otherwise(0))
+    zone = F.when(zone == "", "Z").otherwise(F.regexp_replace(zone, r"^([+-]\d{2})(\d{2})$", "$1:$2"))
+    return F.format_string(
+        "%04d-%02d-%02d %02d:%02d:%02d.%s%s",
+        F.coalesce(full_year, y.try_cast("int")),
+        month_no,
+        day_no,
+        hour,
+        number(5),
+        number(6),
+        F.when(part(7) == "", "0").otherwise(part(7)),
+        zone,
+    )
 
 
 def parse_yes_no(value: Column) -> Column:

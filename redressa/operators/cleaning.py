@@ -60,6 +60,8 @@ def standardize(
 ) -> DataFrame:
     """Project onto the canonical columns; the first non-null alias wins.
 
+    NA texts are null, whatever kind of source they came from.
+
     Headers that become equal are told apart by position, left to right.
     """
     numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
@@ -68,7 +70,9 @@ def standardize(
         places.setdefault(header_name(name), []).append(F.col(f"c{i}"))
     picked = []
     for target, accepted in aliases.items():
-        found = [c.cast("string") for name in accepted for c in places.get(name, [])]
+        found = [
+            fields.null_if_na(c.cast("string")) for name in accepted for c in places.get(name, [])
+        ]
         value = F.coalesce(*found) if found else F.lit(None).cast("string")
         picked.append(value.alias(target))
     extra = [F.col(f"c{df.columns.index(name)}").alias(name) for name in keep]

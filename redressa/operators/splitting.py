@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Hex digits of the hash that name a bucket: 16^4 buckets.
 _BUCKET_DIGITS = 4
+# Class counts that a gate's record names; the verdict does not depend on it.
+SHOWN_CLASSES = 100
 
 
 def seeded_hash(key: str, seed: int) -> Column:
@@ -22,16 +24,37 @@ def class_counts(df: DataFrame, target: str) -> DataFrame:
     )
 
 
+def gate_columns(counts: DataFrame, by: str, min_class: int = 30) -> DataFrame:
+    """Append ``status`` to class counts: 'fit' for two classes of ``min_class`` rows or more.
+
+    Other targets are 'skipped', and those of more than two classes 'not binary'.
+    """
+    verdict = counts.groupBy(by).agg(
+        F.count(F.lit(1)).alias("_classes"), F.min("n").alias("_least")
+    )
+    status = (
+        F.when(F.col("_classes") > 2, "not binary")
+        .when((F.col("_classes") == 2) & (F.col("_least") >= min_class), "fit")
+        .otherwise("skipped")
+    )
+    return counts.join(verdict.select(by, status.alias("status")), by)
+
+
 def class_gate(df: DataFrame, target: str, min_class: int = 30) -> dict:
-    """Whether a binary model can be fitted, with the class counts."""
-    counts = {r["class"]: r["n"] for r in class_counts(df, target).limit(3).collect()}
-    status = "fit" if len(counts) >= 2 and min(counts.values()) >= min_class else "skipped"
+    """Whether a binary model can be fitted, with the counts of up to ``SHOWN_CLASSES``
+    classes, rarest first. The verdict is on all of them."""
+    counts = class_counts(df, target).withColumn("target", F.lit(target))
+    rows = gate_columns(counts, "target", min_class).orderBy("n", "class").limit(SHOWN_CLASSES)
+    shown = rows.collect()
+    status = shown[0]["status"] if shown else "skipped"
     record = {
         "target": target,
-        "status": status,
-        "class_counts": {str(k): v for k, v in sorted(counts.items())},
+        "status": "fit" if status == "fit" else "skipped",
+        "class_counts": {str(r["class"]): r["n"] for r in sorted(shown, key=lambda r: r["class"])},
     }
-    if status == "skipped":
+    if status == "not binary":
+        record["reason"] = "more than two classes"
+    elif status == "skipped":
         record["reason"] = f"fewer than two classes, or one with under {min_class} rows"
     return record
 

@@ -203,7 +203,7 @@ n_docs AS (SELECT count(*) AS n FROM docs),
 chosen AS (
   SELECT term, cf, df, ln((n + 1)::DOUBLE / (df + 1)) + 1.0 AS idf
   FROM term_counts, n_docs WHERE df >= 5 AND df <= 0.9 * n
-  ORDER BY cf DESC, term LIMIT 2000)
+  ORDER BY cf DESC, term LIMIT 8000)
 """
 
 
@@ -272,6 +272,16 @@ ORACLES["csv_scan"] = _sql(
 ORACLES["api_hits"] = """
 SELECT CAST(doc_id AS VARCHAR) AS complaint_id, lang AS state, text FROM documents"""
 
+_MIXED = """
+SELECT CAST(doc_id AS VARCHAR) AS complaint_id,
+  CASE WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN source END
+    ELSE source END AS state,
+  CASE WHEN doc_id % 2 = 0 THEN lang END AS product,
+  CASE WHEN doc_id % 2 = 1 AND doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN lang END AS issue
+FROM documents"""
+ORACLES["csv_mixed_headers"] = _MIXED
+ORACLES["parquet_mixed_columns"] = _MIXED
+
 # --- cleaning --------------------------------------------------------------
 ORACLES["alias_coalesce"] = """
 SELECT CAST(d.doc_id AS VARCHAR) AS complaint_id,
@@ -282,9 +292,12 @@ SELECT CAST(d.doc_id AS VARCHAR) AS complaint_id,
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
 ORACLES["parse_dates"] = """
 SELECT o_orderkey, strftime(CASE
-  WHEN o_orderkey % 7 IN (0, 1, 4) THEN date_trunc('day', o_orderdate)
-  WHEN o_orderkey % 7 = 2 THEN date_trunc('second', o_orderdate)
-  WHEN o_orderkey % 7 = 3 THEN date_trunc('second', o_orderdate) - INTERVAL 2 HOUR
+  WHEN o_orderkey % 13 IN (0, 1, 4, 6, 8, 9) THEN date_trunc('day', o_orderdate)
+  WHEN o_orderkey % 13 = 2 THEN date_trunc('second', o_orderdate)
+  WHEN o_orderkey % 13 = 3 THEN date_trunc('second', o_orderdate) - INTERVAL 2 HOUR
+  WHEN o_orderkey % 13 = 7 THEN date_trunc('day', o_orderdate) + INTERVAL 1335 MINUTE
+  WHEN o_orderkey % 13 = 10 THEN date_trunc('day', o_orderdate) + INTERVAL 3723 SECOND
+  WHEN o_orderkey % 13 = 11 THEN date_trunc('month', o_orderdate)
   END, '%Y-%m-%d %H:%M:%S') AS parsed
 FROM orders"""
 ORACLES["parse_binary"] = f"""
@@ -499,6 +512,14 @@ SELECT target, class, n, CASE WHEN count(*) OVER (PARTITION BY target) >= 2
   AND min(n) OVER (PARTITION BY target) >= 30 THEN 'fit' ELSE 'skipped' END AS status
 FROM counted""",
 )
+ORACLES["class_gate_many"] = """
+WITH counted AS (
+  SELECT 'one' AS target, 1 AS class, count(*) AS n FROM documents
+  UNION ALL SELECT 'two', CAST(doc_id % 2 AS INTEGER), count(*) FROM documents GROUP BY 2
+  UNION ALL SELECT 'ten', CAST(doc_id % 10 AS INTEGER), count(*) FROM documents GROUP BY 2)
+SELECT *, CASE WHEN count(*) OVER t > 2 THEN 'not binary'
+  WHEN count(*) OVER t = 2 AND min(n) OVER t >= 5 THEN 'fit' ELSE 'skipped' END AS status
+FROM counted WINDOW t AS (PARTITION BY target)"""
 _FILLED = ", ".join(
     [f"coalesce({c}, 'Missing') AS {c}" for c in ("product_group", "submitted_via", "state")]
 )

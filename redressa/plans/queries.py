@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import VectorAssembler
@@ -23,9 +22,9 @@ from redressa.operators import (
     topics,
     vectors,
 )
-from redressa.session import configure, materialize, scratch_dir, spread
+from redressa.session import configure, fresh_path, materialize, spread
 from redressa.sources.complaint_view import CUTOFF, complaint_rows, narratives
-from redressa.sources.readers import read_csv, read_hits
+from redressa.sources.readers import read_csv, read_hits, read_parquet
 from redressa.sources.writers import write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,7 +160,7 @@ def na_tokens(spark, sf_dir):
 @query("csv_scan")
 def csv_scan(spark, sf_dir):
     """Narratives written as CSV and read back: quotes, commas, line breaks, NA texts."""
-    path = f"{scratch_dir(configure(spark))}/redressa-csv-{uuid.uuid4().hex}"
+    path = fresh_path(configure(spark), "csv")
     rows = narratives(spark, sf_dir).select(
         F.col("complaint_id").alias("Complaint ID"),
         F.col("consumer_narrative").alias("Consumer complaint narrative"),
@@ -173,10 +172,44 @@ def csv_scan(spark, sf_dir):
     )
 
 
+def _odd_and_even(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as two sources with other columns, in another order, and NA texts."""
+    docs = table(spark, sf_dir, "documents").withColumn("id", F.col("doc_id").cast("string"))
+    na = F.when(F.col("doc_id") % 5 == 0, "N/A").when(F.col("doc_id") % 7 == 0, "None")
+    even = docs.filter("doc_id % 2 = 0").select(
+        F.col("id").alias("Complaint ID"), na.otherwise(F.col("source")).alias("State"), F.col("lang").alias("Product")
+    )
+    odd = docs.filter("doc_id % 2 = 1").select(
+        F.col("source").alias("State"), F.col("id").alias("Complaint ID"), na.otherwise(F.col("lang")).alias("Issue")
+    )
+    return even, odd
+
+
+_MIXED = ("complaint_id", "state", "product", "issue")
+
+
+@query("csv_mixed_headers")
+def csv_mixed_headers(spark, sf_dir):
+    """One folder of CSV files with different headers, read back by column name."""
+    path = fresh_path(configure(spark), "mixed")
+    for part in _odd_and_even(spark, sf_dir):
+        part.write.mode("append").option("header", True).csv(path)
+    return cleaning.standardize(read_csv(spark, path)).select(*_MIXED)
+
+
+@query("parquet_mixed_columns")
+def parquet_mixed_columns(spark, sf_dir):
+    """One folder of Parquet files with different columns, NA texts among them."""
+    path = fresh_path(configure(spark), "mixed")
+    for part in _odd_and_even(spark, sf_dir):
+        part.toDF(*[c.replace(" ", "_") for c in part.columns]).write.mode("append").parquet(path)
+    return cleaning.standardize(read_parquet(spark, path)).select(*_MIXED)
+
+
 @query("api_hits")
 def api_hits(spark, sf_dir):
     """Documents as search replies in three envelopes, read back as records."""
-    path = f"{scratch_dir(configure(spark))}/redressa-hits-{uuid.uuid4().hex}"
+    path = fresh_path(configure(spark), "hits")
     record = F.struct(F.col("doc_id").alias("complaint_id"), F.col("lang").alias("state"), "text")
     wrapped = F.array(F.struct(record.alias("_source")))
     reply = (
@@ -217,12 +250,18 @@ def alias_coalesce(spark, sf_dir):
 def parse_dates(spark, sf_dir):
     day, key = F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey")
     written = (
-        F.when(key % 7 == 0, F.date_format(day, "yyyy-MM-dd"))
-        .when(key % 7 == 1, F.date_format(day, "MM/dd/yyyy"))
-        .when(key % 7 == 2, F.date_format(day, "yyyy-MM-dd HH:mm:ss"))
-        .when(key % 7 == 3, F.concat(F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")))
-        .when(key % 7 == 4, F.date_format(day, "MMMM d, yyyy"))
-        .when(key % 7 == 5, F.concat(F.lit("on "), F.date_format(day, "yyyy-MM-dd")))
+        F.when(key % 13 == 0, F.date_format(day, "yyyy-MM-dd"))
+        .when(key % 13 == 1, F.date_format(day, "MM/dd/yyyy"))
+        .when(key % 13 == 2, F.date_format(day, "yyyy-MM-dd HH:mm:ss"))
+        .when(key % 13 == 3, F.concat(F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")))
+        .when(key % 13 == 4, F.date_format(day, "MMMM d, yyyy"))
+        .when(key % 13 == 5, F.concat(F.lit("on "), F.date_format(day, "yyyy-MM-dd")))
+        .when(key % 13 == 6, F.concat(F.lit("  "), F.date_format(day, "yyyy-M-d"), F.lit(" ")))
+        .when(key % 13 == 7, F.concat(F.date_format(day, "EEE, d MMM yyyy"), F.lit(" 10:15 PM")))
+        .when(key % 13 == 8, F.date_format(day, "dd-MMM-yyyy"))
+        .when(key % 13 == 9, F.concat(F.date_format(day, "MMM'.' d, yyyy")))
+        .when(key % 13 == 10, F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T01:02:03.1234567+0000")))
+        .when(key % 13 == 11, F.date_format(day, "yyyy-MM"))
     )
     return table(spark, sf_dir, "orders").select(
         "o_orderkey", stamp(fields.parse_date(written)).alias("parsed")
@@ -410,13 +449,13 @@ def ngram_counts(spark, sf_dir):
 
 @query("vocabulary")
 def vocabulary(spark, sf_dir):
-    return rounded(vectors.fit_vocabulary(_terms(spark, sf_dir), size=2000))
+    return rounded(vectors.fit_vocabulary(_terms(spark, sf_dir)))
 
 
 @query("tfidf_weights")
 def tfidf_weights(spark, sf_dir):
     terms = vectors.with_terms(materialize(_stopped(spark, sf_dir), "words"))
-    fitted = vectors.Vocabulary.of(vectors.fit_vocabulary(terms, size=2000))
+    fitted = vectors.Vocabulary.of(vectors.fit_vocabulary(terms))
     weights = vectors.with_tfidf(terms, fitted)
     return rounded(vectors.long_weights(weights, "complaint_id", "tfidf", fitted))
 
@@ -511,17 +550,22 @@ def class_counts(spark, sf_dir):
     timely = splitting.class_counts(rows, "timely_binary").withColumn(
         "target", F.lit("timely_binary")
     )
-    per_target = Window.partitionBy("target")
-    return (
-        relief.unionByName(timely)
-        .withColumn(
-            "status",
-            F.when(
-                (F.count(F.lit(1)).over(per_target) >= 2) & (F.min("n").over(per_target) >= 30),
-                "fit",
-            ).otherwise("skipped"),
-        )
-        .select("target", "class", "n", "status")
+    return splitting.gate_columns(relief.unionByName(timely), "target").select(
+        "target", "class", "n", "status"
+    )
+
+
+@query("class_gate_many")
+def class_gate_many(spark, sf_dir):
+    """The gate on targets of one, two and many classes."""
+    docs = table(spark, sf_dir, "documents")
+    targets = {"one": F.lit(1), "two": F.col("doc_id") % 2, "ten": F.col("doc_id") % 10}
+    counts = [
+        splitting.class_counts(docs.select(value.alias(name)), name).withColumn("target", F.lit(name))
+        for name, value in targets.items()
+    ]
+    return splitting.gate_columns(counts[0].union(counts[1]).union(counts[2]), "target", 5).select(
+        "target", "class", "n", "status"
     )
 
 

@@ -83,10 +83,20 @@ def release(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, place = _file_system(spark, path)
+    return files.exists(place)
+
+
+def _file_system(spark: SparkSession, path: str):
+    """The store behind ``path`` as Spark sees it, and the path in it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    files, place = _file_system(spark, path)
+    files.delete(place, True)
     _written.remove(path)
 
 

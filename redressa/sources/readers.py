@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from redressa.functions.fields import null_if_na
-
 INGEST = "ingest_seq"
+HEADERS_AT_ONCE = 16
 
 
 def _with_ingest_order(df: DataFrame, source_no: int) -> DataFrame:
@@ -29,34 +30,53 @@ def _with_ingest_order(df: DataFrame, source_no: int) -> DataFrame:
     )
 
 
-def nulls_from_na(df: DataFrame) -> DataFrame:
-    """Turn the NA texts of a CSV file into nulls, in all string columns."""
-    return df.select(
-        *[
-            null_if_na(F.col(f"`{f.name}`")).alias(f.name)
-            if isinstance(f.dataType, T.StringType)
-            else F.col(f"`{f.name}`")
-            for f in df.schema.fields
-        ]
-    )
-
-
-def read_csv(spark: SparkSession, path: str | Sequence[str], source_no: int = 0) -> DataFrame:
-    """CSV with a header row; quotes are doubled inside quoted multi-line text."""
-    raw = (
+def _csv(spark: SparkSession) -> DataFrameReader:
+    return (
         spark.read.option("header", True)
         .option("multiLine", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("encoding", "UTF-8")
-        .csv(path if isinstance(path, str) else list(path))
     )
-    return nulls_from_na(_with_ingest_order(raw, source_no))
+
+
+def _files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """Names of the files behind ``paths``; their contents are not read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
+    return sorted(r["path"] for r in listed.filter("length > 0").select("path").collect())
+
+
+def read_csv(spark: SparkSession, path: str | Sequence[str], source_no: int = 0) -> DataFrame:
+    """CSV with header rows; quotes are doubled inside quoted multi-line text.
+
+    Files with the same header are read together, and the groups are united by column
+    name: Spark alone would take the first file's header for all. Only headers are
+    looked at for this, one small read a file.
+    """
+    files = _files(spark, [path] if isinstance(path, str) else list(path))
+    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+        headers = list(pool.map(lambda f: tuple(_csv(spark).csv(f).columns), files))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for header, file in zip(headers, files, strict=True):
+        groups.setdefault(header, []).append(file)
+    parts = [
+        _with_ingest_order(
+            _csv(spark)
+            .schema(T.StructType([T.StructField(c, T.StringType()) for c in header]))
+            .csv(same),
+            source_no,
+        )
+        for header, same in groups.items()
+    ]
+    if not parts:
+        raise ValueError(f"no CSV file with a header in {path!r}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_parquet(spark: SparkSession, path: str | Sequence[str], source_no: int = 0) -> DataFrame:
+    """Parquet files or folders, whose columns may differ: united by name."""
     paths = [path] if isinstance(path, str) else list(path)
-    return _with_ingest_order(spark.read.parquet(*paths), source_no)
+    return _with_ingest_order(spark.read.option("mergeSchema", True).parquet(*paths), source_no)
 
 
 def read_table(

@@ -6,6 +6,8 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
+from redressa.session import path_exists
+
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: str | None = None):
     """Overwrite ``path`` with ``df`` as parquet, csv or json.
@@ -35,8 +37,13 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: st
 
 
 def write_once(df: DataFrame, path: str, force: bool = False) -> DataFrame:
-    """Keep an existing copy of a source unless ``force``; return the copy."""
-    df.write.mode("overwrite" if force else "ignore").parquet(path)
+    """Keep a finished copy of a source unless ``force``; return the copy.
+
+    A copy is finished when its success marker is there; what an interrupted run left
+    is written anew.
+    """
+    if force or not path_exists(df.sparkSession, f"{path}/_SUCCESS"):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from redressa.functions import fields
@@ -212,3 +213,31 @@ def test_clean_complaints(spark):
 def test_empty_input(spark):
     out = cleaning.clean_complaints(raw_rows(spark, []))
     assert out.count() == 0
+
+
+def test_dates_equal_pandas(spark):
+    rows = [
+        " 2022-11-30 ",
+        "Nov. 30, 2022",
+        "2022-11-30 10:00:00 AM",
+        "30-Nov-2022",
+        "2022-1-5",
+        "Wed, 30 Nov 2022",
+        "2022-11",
+        "2022-11-30 10:00:00.1234567",
+        "2022-11-30T10:00:00+0000",
+        "2022-11-30 12:00:00 AM",
+        "November 30 2022 5:06 pm",
+        "1/2/68",
+        "1/2/76",
+        "30/11/2022",
+        "13/13/2022",
+        "Foo 3, 2022",
+        "2022-02-30",
+        "9 pm",
+    ]
+    got = values(spark, lambda c: F.unix_micros(fields.parse_date(c)), rows)
+    want = pd.to_datetime(pd.Series(rows), format="mixed", errors="coerce", utc=True)
+    readable = rows[:14]
+    assert got[: len(readable)] == [t.value // 1000 for t in want[: len(readable)]]
+    assert got[len(readable) :] == [None] * (len(rows) - len(readable))

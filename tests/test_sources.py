@@ -93,3 +93,27 @@ def test_records(spark, tmp_path):
     writers.write_record(spark, {"a": 1, "b": None}, path)
     text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
     assert json.loads(text) == {"a": 1, "b": None}
+
+
+def test_csv_files_with_other_headers_are_united_by_name(spark, tmp_path):
+    write(tmp_path / "a.csv", "Complaint ID,State,Product\n1,FL,Loan\n")
+    write(tmp_path / "b.csv", "State,Complaint ID,Issue,Product\nNY,2,Fees,\n")
+    write(tmp_path / "empty.csv", "")
+    df = cleaning.standardize(readers.read_csv(spark, str(tmp_path)))
+    got = df.select("complaint_id", "state", "product", "issue").orderBy("complaint_id").collect()
+    assert [tuple(r) for r in got] == [("1", "FL", "Loan", None), ("2", "NY", None, "Fees")]
+
+
+def test_an_unfinished_copy_is_written_anew(spark, tmp_path):
+    df, path = spark.range(9).toDF("id"), str(tmp_path / "copy")
+    df.filter("id < 2").write.parquet(path)
+    assert writers.write_once(df, path).count() == 2
+    (tmp_path / "copy" / "_SUCCESS").unlink()
+    assert writers.write_once(df, path).count() == 9
+    assert writers.write_once(df.limit(1), path).count() == 9
+    assert writers.write_once(df.limit(1), path, force=True).count() == 1
+
+
+def test_na_texts_are_null_in_any_source(spark):
+    df = spark.createDataFrame([("1", "None", "N/A")], "complaint_id string, state string, product string")
+    assert cleaning.standardize(df).select("state", "product").first() == (None, None)
