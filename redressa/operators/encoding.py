@@ -7,14 +7,14 @@ from dataclasses import dataclass
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, VectorAssembler
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redressa.operators.vectors import Vocabulary, with_tfidf
+from redressa.session import materialize
 
 CATEGORICAL_FEATURES = ("product_group", "submitted_via", "state")
 RARE = "infrequent"
-MAX_LEVELS = 10_000
 
 
 def fill_inputs(df: DataFrame, categories: Sequence[str], numbers: Sequence[str]) -> DataFrame:
@@ -63,13 +63,15 @@ def scale_by_sd(df: DataFrame, train: DataFrame, numbers: Sequence[str]) -> Data
 class Encoder:
     """Fitted on train rows; the names follow the order of the vector entries.
 
-    Categories are encoded as words ``column=level`` of a binary vocabulary:
-    a level not seen in training is an unknown word and leaves zeros.
+    Categories are encoded as words ``column=level`` of a binary vocabulary. ``seen`` is
+    a written table of every level in training and its encoded name, joined to the rows:
+    rare levels are never listed, and a level not seen in training has no name, is an
+    unknown word, and leaves zeros.
     """
 
     vocabulary: Vocabulary | None
     levels: tuple[str, ...]
-    rare: dict[str, tuple[str, ...]]
+    seen: DataFrame
     categories: tuple[str, ...]
     numbers: tuple[str, ...]
     sds: tuple[float, ...]
@@ -88,30 +90,30 @@ class Encoder:
         numbers: Sequence[str],
         min_freq: int = 10,
     ) -> Encoder:
-        counted = rare_levels(train, categories, min_freq)
-        names = counted.select("variable", "encoded").distinct().limit(MAX_LEVELS + 1).collect()
-        rare_rows = counted.filter(F.col("n") < min_freq).limit(MAX_LEVELS + 1).collect()
-        if max(len(names), len(rare_rows)) > MAX_LEVELS:
-            raise ValueError(f"the categories have over {MAX_LEVELS} levels; use fewer columns")
-        rare = {
-            c: tuple(sorted(r["level"] for r in rare_rows if r["variable"] == c))
-            for c in categories
-        }
+        seen = materialize(rare_levels(train, categories, min_freq), "levels")
+        # The names of the model's own entries: frequent levels and one pool a column.
+        names = seen.select("variable", "encoded").distinct().collect()
         sds = population_sd(train, numbers).first()
         return cls(
             vocabulary,
             tuple(sorted(f"{r['variable']}={r['encoded']}" for r in names)),
-            rare,
+            seen.select("variable", "level", "encoded"),
             tuple(categories),
             tuple(numbers),
             tuple(sds[c] for c in numbers),
         )
 
-    def _level(self, column: str) -> Column:
-        value = F.col(column)
-        if self.rare[column]:
-            value = F.when(value.isin(*self.rare[column]), F.lit(RARE)).otherwise(value)
-        return F.concat(F.lit(f"{column}="), value)
+    def _named(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``_levels``, the words of its categories."""
+        words = []
+        for i, column in enumerate(self.categories):
+            own = self.seen.filter(F.col("variable") == column).select(
+                F.col("level").alias(f"_level{i}"), F.col("encoded").alias(f"_name{i}")
+            )
+            df = df.join(own, F.col(column) == F.col(f"_level{i}"), "left")
+            words.append(F.concat(F.lit(f"{column}="), F.col(f"_name{i}")))
+        helpers = [f"_{kind}{i}" for i in range(len(words)) for kind in ("level", "name")]
+        return df.withColumn("_levels", F.array_compact(F.array(*words))).drop(*helpers)
 
     def transform(self, df: DataFrame, terms: str = "terms", output: str = "features") -> DataFrame:
         parts = []
@@ -119,7 +121,7 @@ class Encoder:
         if self.vocabulary:
             out = with_tfidf(out, self.vocabulary, terms, "_text")
             parts.append("_text")
-        out = out.withColumn("_levels", F.array(*[self._level(c) for c in self.categories]))
+        out = self._named(out)
         out = CountVectorizerModel.from_vocabulary(
             list(self.levels), inputCol="_levels", outputCol="_cats"
         ).transform(out)

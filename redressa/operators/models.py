@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -19,10 +19,7 @@ from redressa.operators.encoding import CATEGORICAL_FEATURES, Encoder, fill_inpu
 from redressa.operators.profile import NUMERIC_FEATURES
 from redressa.operators.splitting import balanced_weights, class_gate, cv_folds, stratified_split
 from redressa.operators.vectors import Vocabulary, fit_vocabulary, narrative_words, vector_entries, with_terms
-from redressa.session import materialize
-
-
-ROWS_PER_TASK = 10_000
+from redressa.session import discard, materialize
 
 
 def with_class_weights(train: DataFrame, target: str) -> DataFrame:
@@ -37,16 +34,20 @@ def fit_logistic(
     features: str = "features",
     c: float = 1.0,
     max_iter: int = 1200,
+    tol: float = 1e-4,
+    tasks: int | None = None,
 ):
     """L2 logistic regression with balanced class weights.
 
     ``c`` weighs the summed loss against half the squared coefficients. The
     balanced weights add up to the row count, hence the penalty 1 / (c n).
-    The intercept is not penalized. A small train set is read in few tasks:
-    each of the many rounds costs a task launch per partition.
+    The intercept is not penalized. Rounds end when the loss moves by less than
+    ``tol`` of itself. ``tasks`` reads the train rows in that many tasks, where the scan
+    has more than the rounds are worth; by default the scan's own splits stay.
     """
     n = train.count()
-    weighted = with_class_weights(train, target).coalesce(n // ROWS_PER_TASK + 1)
+    weighted = with_class_weights(train, target)
+    weighted = weighted.coalesce(tasks) if tasks else weighted
     return LogisticRegression(
         featuresCol=features,
         labelCol=target,
@@ -55,7 +56,7 @@ def fit_logistic(
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iter,
-        tol=1e-6,
+        tol=tol,
     ).fit(weighted)
 
 
@@ -100,8 +101,7 @@ class ResponseModel:
             F.avg(F.col("label").cast("double")).alias("positive_rate_train"),
         )
         sized = sizes.select(F.struct("*")).scalar()
-        auc = metrics.roc_auc(self.scored).scalar()
-        precision = metrics.average_precision(self.scored).scalar()
+        ranked = metrics.rank_metrics(self.scored).select(F.struct("*")).scalar()
         return metrics.binary_metrics(self.scored).select(
             F.lit(self.target).alias("target"),
             F.lit("fit").alias("status"),
@@ -112,8 +112,8 @@ class ResponseModel:
             "accuracy",
             "balanced_accuracy",
             "f1",
-            auc.alias("roc_auc"),
-            precision.alias("average_precision"),
+            ranked["roc_auc"].alias("roc_auc"),
+            ranked["average_precision"].alias("average_precision"),
         )
 
     def class_report(self) -> DataFrame:
@@ -134,20 +134,25 @@ def prepare_split(
     min_df: int = 5,
     max_df: float = 0.9,
     seed: int = 42,
+    split: Callable[[DataFrame], DataFrame] | None = None,
+    keep: Sequence[str] = (),
 ) -> tuple[Encoder, DataFrame, DataFrame]:
     """Split, fit the encoder on train rows only, and encode both parts.
 
-    The words are written once: vocabulary counting and encoding both read
-    them. The returned train and test frames read a written table too.
+    The words are written once, and so is the labelled split: vocabulary, levels,
+    scales and encoding all read it. The returned train and test frames read a written
+    table too. ``split`` makes the parts; by default it is the stratified one.
     """
     usable = fill_inputs(df.filter(F.col(target).isNotNull()), categories, numbers)
-    columns = [key, F.col(target).cast("int").alias("label"), *categories, *numbers]
+    columns = [key, F.col(target).cast("int").alias("label"), *categories, *numbers, *keep]
     if text:
         usable = narrative_words(usable, text)
         columns.append("kept_words")
     base = materialize(usable.select(*columns), f"inputs-{target}")
-    parted = stratified_split(base, "label", key, seed=seed)
-    train = parted.filter("part = 'train'")
+    parted = split(base) if split else stratified_split(base, "label", key, seed=seed)
+    labelled = materialize(parted.filter("part IS NOT NULL"), f"split-{target}")
+    discard(base)
+    parted, train = labelled, labelled.filter("part = 'train'")
     vocabulary = None
     if text:
         parted, train = with_terms(parted), with_terms(train)
@@ -155,6 +160,7 @@ def prepare_split(
     encoder = Encoder.fit(train, vocabulary, categories, numbers)
     encoded = encoder.transform(parted).select(key, "label", "part", "features")
     written = materialize(encoded, f"encoded-{target}")
+    discard(labelled)
     return encoder, written.filter("part = 'train'"), written.filter("part = 'test'")
 
 

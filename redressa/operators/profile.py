@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from redressa.session import materialize
 from redressa.functions.text import TEXT_MEASURES
 
 NUMERIC_FEATURES = TEXT_MEASURES + ("post_cutoff",)
@@ -60,6 +61,21 @@ def _mean(name: str) -> Column:
     return F.avg(F.col(name).cast("double"))
 
 
+PROFILED = (
+    "product",
+    "issue",
+    "company",
+    "state",
+    "date_received",
+    "post_cutoff",
+    "any_relief",
+    "monetary_relief",
+    "non_monetary_relief",
+    "timely_binary",
+    "n_words",
+)
+
+
 def dataset_profile(df: DataFrame, n_columns: int | None = None) -> DataFrame:
     """One row of fifteen figures about the modeling rows.
 
@@ -67,6 +83,9 @@ def dataset_profile(df: DataFrame, n_columns: int | None = None) -> DataFrame:
     columns, reduced to distinct values map-side. Next to the median they would
     multiply the rows of the wide pass and leave its one-group aggregation.
     """
+    total = n_columns or len(df.columns)
+    # Both passes read the narrow rows, which are made and written once.
+    df = materialize(df.select(*PROFILED), "profile")
     distinct = count_distincts(df, ("product", "issue", "company", "state")).scalar()
     wide = df.agg(
         F.count(F.lit(1)).alias("rows"),
@@ -86,7 +105,7 @@ def dataset_profile(df: DataFrame, n_columns: int | None = None) -> DataFrame:
         F.col("_distinct.issue").alias("unique_issues"),
         F.col("_distinct.company").alias("unique_companies"),
         F.col("_distinct.state").alias("unique_states"),
-        F.lit(n_columns or len(df.columns)).cast("bigint").alias("columns"),
+        F.lit(total).cast("bigint").alias("columns"),
     )
 
 

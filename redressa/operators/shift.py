@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from redressa.session import materialize
 
-INDEX_DIMENSIONS = (
-    "legal_term_count",
-    "evidence_term_count",
-    "avg_sentence_len",
-    "template_phrase_count",
-)
+# Hits per word, so that a long text does not score high by its length.
+DENSITIES = {
+    "legal_density": "legal_term_count",
+    "evidence_density": "evidence_term_count",
+    "template_density": "template_phrase_count",
+}
+INDEX_DIMENSIONS = (*DENSITIES, "avg_sentence_len")
 SHIFT_MEASURES = {
     "words": "n_words",
     "legal_terms": "legal_term_count",
@@ -145,12 +146,20 @@ def _with_standardized(df: DataFrame, dims: Sequence[str]) -> tuple[DataFrame, l
     return df.withColumn("_moments", moments.scalar()), scores
 
 
+def with_densities(df: DataFrame) -> DataFrame:
+    """Append the hits per word of the index; a text without words has none."""
+    words = F.greatest(F.col("n_words"), F.lit(1))
+    return df.withColumns({d: F.col(c).cast("double") / words for d, c in DENSITIES.items()})
+
+
 def expression_index(
     df: DataFrame, dims: Sequence[str] = INDEX_DIMENSIONS, output: str = "expression_index"
 ) -> DataFrame:
     """Append the mean of the standardized dimensions; a constant one adds 0."""
-    measured, scores = _with_standardized(df, dims)
-    return measured.withColumn(output, sum(scores, F.lit(0.0)) / len(dims)).drop("_moments")
+    missing = [d for d in dims if d in DENSITIES and d not in df.columns]
+    measured, scores = _with_standardized(with_densities(df) if missing else df, dims)
+    index = measured.withColumn(output, sum(scores, F.lit(0.0)) / len(dims))
+    return index.drop("_moments", *missing)
 
 
 def pca_index(
@@ -285,10 +294,12 @@ def matched_neighbours(
 ) -> DataFrame:
     """key, neighbour_id, matches, rank: the k nearest earlier complaints.
 
-    The match columns are written once, as they are read three times.
+    The match columns are written once, as they are read three times. The answers per
+    cell are written too: both sides of the last join are then plain exchanges, which
+    can be split at run time where one cell holds many of the rows.
     """
     df = materialize(df.select(key, block, *keys, flag), "match-values")
-    nearest = cell_neighbours(df, block, keys, k, flag, key)
+    nearest = materialize(cell_neighbours(df, block, keys, k, flag, key), "nearest")
     targets = df.filter(F.col(flag) == 1).select(key, _cell(block, keys).alias("_cell"))
     return targets.join(nearest, "_cell").select(key, "neighbour_id", "matches", "rank")
 
@@ -301,13 +312,17 @@ def local_shift(
     k: int = 5,
     flag: str = "post_cutoff",
     key: str = "complaint_id",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Rows after the cutoff with their value minus the mean of their neighbours'.
 
-    Columns key, the value, neighbours, neighbour_mean, local_shift. The
-    neighbours' mean is taken once per cell and then joined to the rows.
+    Columns key, the value, the kept ones, neighbours, neighbour_mean, local_shift. A
+    row without any neighbour has 0 of them and no shift. The neighbours' mean is taken
+    once per cell and written, then joined to the rows by plain exchanges, which can be
+    split at run time where one cell holds many of the rows.
     """
-    df = materialize(df.select(key, block, *keys, flag, value), "match-values")
+    columns = dict.fromkeys([key, block, *keys, flag, value, *keep])
+    df = materialize(df.select(*columns), "match-values")
     means = (
         cell_neighbours(df, block, keys, k, flag, key, carry=[value])
         .groupBy("_cell")
@@ -315,8 +330,9 @@ def local_shift(
     )
     return (
         df.filter(F.col(flag) == 1)
-        .select(key, value, _cell(block, keys).alias("_cell"))
-        .join(means, "_cell")
+        .select(key, value, *keep, _cell(block, keys).alias("_cell"))
+        .join(materialize(means, "means"), "_cell", "left")
+        .withColumn("neighbours", F.coalesce("neighbours", F.lit(0).cast("long")))
         .withColumn("local_shift", F.col(value) - F.col("neighbour_mean"))
         .drop("_cell")
     )

@@ -12,7 +12,8 @@ SHOWN_CLASSES = 100
 
 
 def seeded_hash(key: str, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
+    """Hex digest of the key with a seed; a null key hashes like an empty one."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
 
 
 def class_counts(df: DataFrame, target: str) -> DataFrame:

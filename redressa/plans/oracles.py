@@ -698,14 +698,18 @@ ORACLES["normalize_text"] = _sql(
     '[' || {_BLANKS} || ']+', ' ', 'g'), {_BLANKS}) AS normalized
 FROM docs""",
 )
-_DIMS = ("legal_term_count", "evidence_term_count", "avg_sentence_len", "template_phrase_count")
-_INDEX = f"""{BASE}, stats AS (
-  SELECT {', '.join(f'avg({d}) AS {d}_m, stddev_pop({d}) AS {d}_s' for d in _DIMS)} FROM modeling),
+_DIMS = ("legal_density", "evidence_density", "template_density", "avg_sentence_len")
+_INDEX = f"""{BASE}, dense AS (
+  SELECT *, legal_term_count::DOUBLE / greatest(n_words, 1) AS legal_density,
+    evidence_term_count::DOUBLE / greatest(n_words, 1) AS evidence_density,
+    template_phrase_count::DOUBLE / greatest(n_words, 1) AS template_density FROM modeling),
+stats AS (
+  SELECT {', '.join(f'avg({d}) AS {d}_m, stddev_pop({d}) AS {d}_s' for d in _DIMS)} FROM dense),
 indexed AS (
-  SELECT modeling.*, ({' + '.join(
+  SELECT dense.*, ({' + '.join(
       f'CASE WHEN {d}_s > 0 THEN ({d} - {d}_m) / {d}_s ELSE 0.0 END' for d in _DIMS)}) / 4.0
     AS expression_index
-  FROM modeling, stats)"""
+  FROM dense, stats)"""
 ORACLES["expression_index"] = _sql(
     _INDEX, "SELECT complaint_id, round(expression_index, 6) AS expression_index FROM indexed"
 )
@@ -725,11 +729,17 @@ nearest AS (
 ORACLES["matched_neighbours"] = _sql(
     _INDEX + _PAIRS, "SELECT complaint_id, neighbour_id, matches, rank FROM nearest"
 )
+_SHIFTED = """, means AS (
+  SELECT complaint_id, count(*) AS neighbours, avg(theirs) AS neighbour_mean
+  FROM nearest GROUP BY complaint_id),
+shifted AS (
+  SELECT i.*, coalesce(neighbours, 0) AS neighbours, neighbour_mean,
+    expression_index - neighbour_mean AS local_shift
+  FROM indexed i LEFT JOIN means m ON i.complaint_id = m.complaint_id WHERE post_cutoff = 1)"""
 ORACLES["local_shift"] = _sql(
-    _INDEX + _PAIRS,
-    """SELECT complaint_id, count(*) AS neighbours, round(avg(theirs), 6) AS neighbour_mean,
-  round(any_value(mine) - avg(theirs), 6) AS local_shift
-FROM nearest GROUP BY complaint_id""",
+    _INDEX + _PAIRS + _SHIFTED,
+    """SELECT complaint_id, neighbours, round(neighbour_mean, 6) AS neighbour_mean,
+  round(local_shift, 6) AS local_shift FROM shifted""",
 )
 ORACLES["time_split"] = _sql(
     _CLEAN,
@@ -739,13 +749,6 @@ ORACLES["time_split"] = _sql(
 FROM modeling0""",
 )
 ORACLES["cv_folds"] = _sql(_CLEAN, f"SELECT complaint_id, {_fold(5)} AS fold FROM modeling0")
-ORACLES["slope_by_group"] = _sql(
-    _INDEX,
-    """SELECT product_group, count(*) AS n,
-  CASE WHEN var_pop(expression_index) > 0
-    THEN round(covar_pop(any_relief, expression_index) / var_pop(expression_index), 6) END AS slope
-FROM indexed GROUP BY product_group""",
-)
 ORACLES["event_study"] = _sql(
     _INDEX,
     """SELECT CAST((year(date_received) - 1998) * 12 + month(date_received) - 6 AS INTEGER)
@@ -761,23 +764,52 @@ FROM (SELECT CASE WHEN stddev_pop({f}) > 0 THEN corr({f}, any_relief) ELSE 0.0 E
         for f in NUMERIC_FEATURES
     ),
 )
+_CONTROLS = ("n_words", "n_sentences", "lexical_diversity", "uppercase_ratio")
+
+
+def _residuals() -> str:
+    """Outcome and treatment after the controls, cross-fitted over two folds.
+
+    Each control in turn is taken out of what is left, with sums over the fold's
+    training rows; after the last one the residuals are those of the joint regression.
+    """
+    names = ["y", "t", *(f"x{i}" for i in range(len(_CONTROLS)))]
+    centred = ", ".join(f"{n} - avg({n}) FILTER (train) OVER w AS {n}" for n in names)
+    steps = f""", folded AS (
+  SELECT product_group, state, {_fold(2)} AS fold, CAST(any_relief AS DOUBLE) AS y, local_shift AS t,
+    {', '.join(f'{c}::DOUBLE AS x{i}' for i, c in enumerate(_CONTROLS))}
+  FROM shifted WHERE local_shift IS NOT NULL),
+roles AS (SELECT f.*, part, fold <> part AS train FROM folded f, (VALUES (0), (1)) parts(part)),
+step0 AS (SELECT product_group, state, part, train, {centred} FROM roles WINDOW w AS (PARTITION BY part))"""
+    for i in range(len(_CONTROLS)):
+        left = ["y", "t", *(f"x{j}" for j in range(i + 1, len(_CONTROLS)))]
+        taken = ", ".join(
+            f"{n} - x{i} * (sum({n} * x{i}) FILTER (train) OVER w / sum(x{i} * x{i}) FILTER (train) OVER w)"
+            f" AS {n}"
+            for n in left
+        )
+        steps += f""",
+step{i + 1} AS (SELECT product_group, state, part, train, {taken} FROM step{i} WINDOW w AS (PARTITION BY part))"""
+    return steps + f""",
+residuals AS (SELECT product_group, state, y AS ry, t AS rt FROM step{len(_CONTROLS)} WHERE NOT train)"""
+
+
+_RESIDUALS = _INDEX + _PAIRS + _SHIFTED + _residuals()
 ORACLES["partial_linear"] = _sql(
-    _INDEX,
-    f""", folded AS (
-  SELECT {_fold(2)} AS fold, CAST(any_relief AS DOUBLE) AS y, expression_index AS t,
-    lexical_diversity AS x FROM indexed),
-lines AS (
-  SELECT 1 - fold AS fold, regr_slope(y, x) AS sy, regr_intercept(y, x) AS iy,
-    regr_slope(t, x) AS st, regr_intercept(t, x) AS it
-  FROM folded GROUP BY fold),
-residuals AS (
-  SELECT y - (iy + sy * x) AS ry, t - (it + st * x) AS rt FROM folded JOIN lines USING (fold)),
-slopes AS (SELECT count(*) AS n, sum(rt * ry) / sum(rt * rt) AS slope, sum(rt * rt) AS tt
+    _RESIDUALS,
+    """, slopes AS (SELECT count(*) AS n, sum(rt * ry) / sum(rt * rt) AS slope, sum(rt * rt) AS tt
   FROM residuals)
 SELECT any_value(n) AS n, round(any_value(slope), 6) AS slope,
   round(sqrt(sum((rt * (ry - slope * rt)) ** 2)) / any_value(tt), 6) AS std_error
 FROM residuals, slopes""",
 )
+for _name, _by in (("slope_by_group", "product_group"), ("partial_linear_groups", "state")):
+    ORACLES[_name] = _sql(
+        _RESIDUALS,
+        f"""SELECT {_by}, count(*) AS n,
+  CASE WHEN var_pop(rt) > 0 THEN round(covar_pop(rt, ry) / var_pop(rt), 6) END AS slope
+FROM residuals WHERE {_by} IS NOT NULL GROUP BY {_by}""",
+    )
 ORACLES["top_features_given"] = _sql(
     BASE,
     ", found AS ("

@@ -463,11 +463,11 @@ def tfidf_weights(spark, sf_dir):
 def topic_model(
     spark: SparkSession, sf_dir: str, needs: Sequence[str] = (), keep: Sequence[str] = (), **options
 ) -> tuple[DataFrame, DataFrame, topics.TopicModel]:
-    """Modeling rows (the kept columns, written once), sparse vectors, fitted topics."""
+    """Modeling rows (words and kept columns, written once), sparse vectors, fitted topics."""
     rows = vectors.narrative_words(modeling(spark, sf_dir, "consumer_narrative", *needs))
     rows = materialize(rows.select("complaint_id", "kept_words", *keep), "topic-rows")
     sparse, model = topics.fit_topics(rows, "complaint_id", **options)
-    return rows.drop("kept_words"), sparse, model
+    return rows, sparse, model
 
 
 @query("nmf_topics")
@@ -484,16 +484,11 @@ def topic_keywords(spark, sf_dir):
     return model.keywords(sparse)
 
 
-def with_dominant_topic(rows: DataFrame, sparse: DataFrame, model: topics.TopicModel) -> DataFrame:
-    found = topics.dominant_topic(model.weights(sparse, "complaint_id"))
-    return rows.join(found, "complaint_id")
-
-
 @query("dominant_topic")
 def dominant_topic(spark, sf_dir):
     measures = list(profile.TOPIC_MEASURES.values())
-    rows, sparse, model = topic_model(spark, sf_dir, ["timely_response", *measures], measures)
-    return profile.topic_profile(with_dominant_topic(rows, sparse, model))
+    rows, _, model = topic_model(spark, sf_dir, ["timely_response", *measures], measures)
+    return profile.topic_profile(model.label(rows))
 
 
 def _with_given_topic(spark, sf_dir, *columns: str) -> DataFrame:
@@ -743,12 +738,7 @@ def calibration(spark, sf_dir):
 
 @query("slope_by_group")
 def slope_by_group(spark, sf_dir):
-    rows = _indexed(spark, sf_dir, "product").select(
-        "product_group",
-        F.col("any_relief").cast("double").alias("outcome_residual"),
-        F.col("expression_index").alias("treatment_residual"),
-    )
-    return rounded(models.slope_by_group(rows, "product_group"))
+    return rounded(models.slope_by_group(effect_residuals(spark, sf_dir), "product_group"))
 
 
 @query("event_study")
@@ -765,23 +755,51 @@ def embedding_clusters(spark, sf_dir):
 @query("pca_index")
 def pca_index(spark, sf_dir):
     rows = materialize(
-        modeling(spark, sf_dir, "n_words").select("complaint_id", *shift.INDEX_DIMENSIONS), "dims"
+        shift.with_densities(modeling(spark, sf_dir, "n_words")).select(
+            "complaint_id", *shift.INDEX_DIMENSIONS
+        ),
+        "dims",
     )
     return shift.pca_index(rows, "complaint_id")[0]
 
 
 @query("gbt_model")
 def gbt_model(spark, sf_dir):
-    rows = modeling(spark, sf_dir, *MODEL_COLUMNS)
-    _, train, test = models.prepare_split(rows, "any_relief", text=None)
+    """Trees on text vector, structured fields, topic and local shift; trained on the past."""
+    rows = modeling(spark, sf_dir, "consumer_narrative", "issue", "sub_issue", *MODEL_COLUMNS, "company")
+    rows = rows.withColumn("topic", F.col("sub_issue"))
+    shifted = _shifted(spark, sf_dir).select("complaint_id", "local_shift")
+    _, train, test = models.prepare_split(
+        rows.join(shifted, "complaint_id", "left"),
+        "any_relief",
+        categories=(*encoding.CATEGORICAL_FEATURES, "topic"),
+        numbers=(*profile.NUMERIC_FEATURES, "local_shift"),
+        split=lambda df: splitting.time_split(df, "date_received"),
+        keep=("date_received",),
+    )
     scored = materialize(models.score(models.fit_gbt(train), test, "complaint_id"), "gbt")
-    return metrics.binary_metrics(scored).withColumn("roc_auc", metrics.roc_auc(scored).scalar())
+    ranked = metrics.rank_metrics(scored).select(F.struct("*")).scalar()
+    return metrics.binary_metrics(scored).withColumn("roc_auc", ranked["roc_auc"])
+
+
+@query("cross_validation")
+def cross_validation(spark, sf_dir):
+    """Penalties compared by folds inside the earlier rows."""
+    rows = modeling(spark, sf_dir, *MODEL_COLUMNS)
+    _, train, _ = models.prepare_split(
+        rows,
+        "any_relief",
+        text=None,
+        split=lambda df: splitting.time_split(df, "date_received"),
+        keep=("date_received",),
+    )
+    return models.cross_validate(train, "complaint_id", (0.001, 0.1), k=3)
 
 
 @query("response_attribution")
 def response_attribution(spark, sf_dir):
-    rows = modeling(spark, sf_dir, *MODEL_COLUMNS)
-    encoder, train, test = models.prepare_split(rows, "any_relief", text=None)
+    rows = modeling(spark, sf_dir, "consumer_narrative", *MODEL_COLUMNS)
+    encoder, train, test = models.prepare_split(rows, "any_relief")
     fitted = models.fit_logistic(train)
     return models.linear_attribution(
         test, "features", encoder.names, fitted.coefficients.toArray().tolist()
@@ -804,24 +822,29 @@ def linear_attribution(spark, sf_dir):
     )
 
 
-def effect_residuals(spark: SparkSession, sf_dir: str, controls: Sequence[str]) -> DataFrame:
-    rows = _indexed(spark, sf_dir, "product").select(
-        "complaint_id",
-        "product_group",
-        F.col("any_relief").cast("double").alias("any_relief"),
-        "expression_index",
-        *controls,
+EFFECT_CONTROLS = ("n_words", "n_sentences", "lexical_diversity", "uppercase_ratio")
+
+
+def _shifted(spark: SparkSession, sf_dir: str, keep: Sequence[str] = ()) -> DataFrame:
+    return shift.local_shift(_indexed(spark, sf_dir, "product", *MATCHED), keep=keep)
+
+
+def effect_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residuals of relief and local shift after the controls."""
+    rows = _shifted(spark, sf_dir, ("product_group", "state", "any_relief", *EFFECT_CONTROLS))
+    rows = rows.filter("local_shift IS NOT NULL").withColumn(
+        "any_relief", F.col("any_relief").cast("double")
+    )
+    return models.partial_linear(
+        rows, "any_relief", "local_shift", EFFECT_CONTROLS, "complaint_id"
     )
-    return models.partial_linear(rows, "any_relief", "expression_index", controls, "complaint_id")
 
 
 @query("partial_linear")
 def partial_linear(spark, sf_dir):
-    residuals = effect_residuals(spark, sf_dir, ["lexical_diversity"])
-    return rounded(models.residual_slope(residuals))
+    return rounded(models.residual_slope(effect_residuals(spark, sf_dir)))
 
 
 @query("partial_linear_groups")
 def partial_linear_groups(spark, sf_dir):
-    controls = ["n_words", "lexical_diversity", "uppercase_ratio", "post_cutoff"]
-    return models.slope_by_group(effect_residuals(spark, sf_dir, controls), "product_group")
+    return rounded(models.slope_by_group(effect_residuals(spark, sf_dir), "state"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from redressa.functions.fields import DEFAULT_CUTOFF
 from redressa.operators import cleaning, models, profile, topics, vectors
-from redressa.session import configure, materialize
+from redressa.session import configure, discard, materialize
 from redressa.sources.readers import INGEST, read_table
 from redressa.sources.writers import write_once, write_record, write_table
 
@@ -88,12 +88,13 @@ def profile_tables(df: DataFrame, table_dir: str) -> dict:
 
 def topic_tables(df: DataFrame, table_dir: str, out_dir: str, **options) -> DataFrame:
     """Fit topics; write keywords, topic profile and the table with topics; return it."""
-    words = vectors.narrative_words(df).select("complaint_id", "kept_words")
-    sparse, model = topics.fit_topics(materialize(words, "words"), "complaint_id", **options)
+    worded = vectors.narrative_words(df)
+    words = materialize(worded.select("complaint_id", "kept_words"), "words")
+    sparse, model = topics.fit_topics(words, "complaint_id", **options)
     write_table(model.keywords(df), f"{table_dir}/topic_keywords", "csv")
-    found = topics.dominant_topic(model.weights(sparse, "complaint_id"))
     path = f"{out_dir}/complaints_with_topics"
-    write_table(df.join(found, "complaint_id"), path)
+    write_table(model.label(worded).drop("kept_words"), path)
+    discard(words, sparse)
     written = df.sparkSession.read.parquet(path)
     write_table(profile.topic_profile(written), f"{table_dir}/topic_response_rates", "csv")
     return written

@@ -2,14 +2,20 @@
 
 import re
 
+import numpy as np
 import pytest
 
-import __spark_entry__ as entry
+from redressa.operators import shift, topics, vectors
+from redressa.plans.queries import MATCHED, QUERIES, modeling
 
 SF_DIR = "/root/testdata/sf0.001"
 # These start jobs or run Python batches by nature; the rest is planned only.
 EAGER = {
     "api_hits",
+    "cross_validation",
+    "csv_mixed_headers",
+    "parquet_mixed_columns",
+    "slope_by_group",
     "average_precision",
     "csv_scan",
     "dominant_topic",
@@ -32,11 +38,14 @@ EAGER = {
 
 
 def plan(spark, name):
-    df = entry.queries()[name](spark, SF_DIR)
+    return executed(QUERIES[name](spark, SF_DIR))
+
+
+def executed(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - EAGER))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
 def test_no_cross_join_and_no_python(spark, name):
     text = plan(spark, name)
     assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin", text)
@@ -58,13 +67,33 @@ def test_text_is_not_shuffled_for_its_measures(spark):
     assert "regexp_extract_all" in dedup
 
 
-@pytest.mark.parametrize("name", ["dedup_first", "matched_neighbours", "freq_company"])
+@pytest.mark.parametrize("name", ["dedup_first", "freq_company"])
 def test_groups_are_trimmed_before_the_shuffle(spark, name):
     text = plan(spark, name)
-    wanted = {"dedup_first": "complaint_id", "matched_neighbours": "_group", "freq_company": "variable"}
+    wanted = {"dedup_first": "complaint_id", "freq_company": "variable"}
     assert re.search(rf"WindowGroupLimit \[{wanted[name]}#.*Partial", text)
 
 
+def test_neighbour_lists_are_trimmed_before_the_shuffle(spark):
+    rows = shift.with_month_of_year(modeling(spark, SF_DIR, "product", *MATCHED))
+    text = executed(shift.cell_neighbours(rows, "product_group", shift.MATCH_KEYS, 5))
+    assert re.search(r"WindowGroupLimit \[_group#.*Partial", text)
+
+
+def test_a_hot_cell_can_be_split(spark):
+    """Both sides of the join by cell are plain exchanges of a scan, or one is broadcast."""
+    text = plan(spark, "matched_neighbours")
+    join = text[text.index("Join") :]
+    assert "Window" not in join and "Aggregate" not in join
+
+
+def test_topics_are_labelled_without_an_exchange(spark):
+    rows = spark.createDataFrame([(None, ["late", "fee"], "long text")], "id string, kept_words array<string>, t string")
+    model = topics.TopicModel(np.ones((2, 1)), [], vectors.Vocabulary(["fee"], [1.0]))
+    text = executed(model.label(rows))
+    assert "Exchange" not in text and model.label(rows).first()["t"] == "long text"
+
+
 def test_filters_reach_the_scan(spark):
     text = plan(spark, "source_manifest")
     assert "EqualTo(toxic,1)" in text
