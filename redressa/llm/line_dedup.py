@@ -6,10 +6,10 @@ their text's hash). Round k holds, for each line position, the class of the bloc
 never across the end of a document. A class with two or more members is an interval
 of the suffix array whose longest common prefix is at least ``2^k`` lines; positions
 alone in their class have no longer match and leave the work, so rounds shrink and end
-after log2 of the longest repeated run. In each interval the first position stays, and
-the later ones mark their lines as copies if the block has ``min_words`` words or more.
-Two blocks of the largest power of two cover any longer run from both ends, so the
-marks of all rounds join up to the maximal runs, and those are deleted.
+after log2 of the longest repeated run. In each interval the first position stays and the
+later ones are copies of it. Copies that follow each other as their first places do, in one
+document, are one repeated run (blocks of the largest power of two cover any longer
+run); a run of ``min_words`` words or more is deleted.
 
 Everything is DataFrame functions. A class is named by its first position, found by a
 group-by with map-side combine; the named classes are written, and joined back by plain
@@ -44,7 +44,7 @@ def _lines(docs: DataFrame) -> DataFrame:
             "doc",
             "at",
             F.unhex(F.md5("text")).alias("line"),
-            F.size(words_of(F.col("text"))).alias("words"),
+            F.size(words_of(F.col("text"))).cast("long").alias("words"),
         )
     )
 
@@ -67,34 +67,52 @@ def _after(column: str, lines: Column | int, until: Column | int) -> Column:
     return F.first(column).over(ahead)
 
 
+def _stretches(active: DataFrame, size: int, min_words: int) -> DataFrame:
+    """``doc``, ``at``, ``end`` of the runs that copies of ``size`` lines make up."""
+    copies = active.filter(F.col("class") != _position()).withColumns(
+        {"source": F.col("class.doc"), "shift": F.col("at") - F.col("class.at")}
+    )
+    aligned = Window.partitionBy("doc", "source", "shift").orderBy("at")
+    numbered = copies.withColumn("run", F.col("at") - F.row_number().over(aligned))
+    runs = numbered.groupBy("doc", "source", "shift", "run").agg(
+        F.min("at").alias("at"),
+        (F.max("at") + size).alias("end"),
+        # The words of the first block, and of the one line that each further block adds.
+        (F.sum("last") + F.min_by(F.col("words") - F.col("last"), "at")).alias("words"),
+    )
+    return runs.filter(F.col("words") >= min_words).select("doc", "at", "end")
+
+
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc``, ``at``, ``end``: blocks of lines that are later copies.
+    """``doc``, ``at``, ``end``: runs of lines that are later copies.
 
-    Every repeated line is there, with ``end = at`` where no block starts at it.
+    Every repeated line is there too, with ``end = at``.
     """
     lines = materialize(_lines(docs), "lines")
     named = _intervals(lines, "line")
     active = materialize(
-        lines.join(named, "line").select("doc", "at", "words", F.col("first").alias("class")), "active"
+        lines.join(named, "line").select(
+            "doc", "at", "words", F.col("words").alias("last"), F.col("first").alias("class")
+        ),
+        "active",
     )
     discard(named, lines)
-    size, marks = 1, []
+    size, marks = 1, [active.select("doc", "at", F.col("at").alias("end"))]
     while True:
-        copy = (F.col("class") != _position()) & (F.col("words") >= min_words)
-        end = F.when(copy, F.col("at") + size).otherwise(F.col("at"))
-        marks.append(active.filter(F.lit(size == 1) | copy).select("doc", "at", end.alias("end")))
+        marks.append(_stretches(active, size, min_words))
         paired = active.select(
             "doc",
             "at",
             F.col("class").alias("head"),
             _after("class", size, size).alias("tail"),
             (F.col("words") + _after("words", size, size)).alias("words"),
+            _after("last", size, size).alias("last"),
         ).filter("tail IS NOT NULL")
         paired = materialize(paired, "pairs")
         named = _intervals(paired, "head", "tail")
         following = materialize(
             paired.join(named, ["head", "tail"]).select(
-                "doc", "at", "words", F.col("first").alias("class")
+                "doc", "at", "words", "last", F.col("first").alias("class")
             ),
             "active",
         )

@@ -8,16 +8,24 @@ from redressa.llm import line_dedup
 def plain(rows, min_words):
     """Kept text of each (doc_id, text) row; rows in reading order."""
     order = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
-    seen, gone = set(), {}
+    seen, gone = {}, {}
     size = 1
     while size <= max((t.count("\n") + 1 for _, t in order), default=0):
-        for doc_id, text in order:
-            lines = text.split("\n")
+        for row in order:
+            lines, runs = row[1].split("\n"), []
             for at in range(len(lines) - size + 1):
-                block = tuple(lines[at : at + size])
-                if (size, block) in seen and sum(len(x.split()) for x in block) >= min_words:
-                    gone.setdefault((doc_id, text), set()).update(range(at, at + size))
-                seen.add((size, block))
+                first = seen.setdefault((size, tuple(lines[at : at + size])), (row, at))
+                if first != (row, at):
+                    source = (first[0], at - first[1])
+                    for run in runs:
+                        if run[0] == source and run[2] == at + size - 1:
+                            run[2] += 1
+                            break
+                    else:
+                        runs.append([source, at, at + size])
+            for _, start, end in runs:
+                if sum(len(x.split()) for x in lines[start:end]) >= min_words:
+                    gone.setdefault(row, set()).update(range(start, end))
         size *= 2
     return {
         r: "\n".join(x for k, x in enumerate(r[1].split("\n")) if k not in gone.get(r, ()))
@@ -51,6 +59,13 @@ def test_odd_rows_and_clashing_names(spark):
     assert line_dedup.line_dedup(docs.limit(0)).count() == 0
 
 
+def test_a_copy_goes_whole_with_its_short_lines(spark):
+    text = "a line of more than ten words is here for the run\nshort\nend"
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "short\nother")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs, 10).collect()}
+    assert got == {1: text, 2: "", 3: "short\nother"}
+
+
 def test_long_repeats_need_log_rounds_and_a_common_line_is_fine(spark):
     run = "\n".join(f"line number {i}" for i in range(300))
     rows = [(i, "the same old line here\n" * 5 + f"own {i}") for i in range(400)] + [(900, run), (901, "x\n" + run + "\ny")]
