@@ -316,6 +316,12 @@ FROM both_sources""",
 )
 _CLEAN = f"{RAW}, {CLEAN}"
 ORACLES["product_group"] = _sql(_CLEAN, "SELECT complaint_id, product, product_group FROM clean")
+ORACLES["sink_round_trip"] = _sql(
+    _CLEAN,
+    """SELECT fmt, complaint_id, product_group, complaint_year, response_outcome
+FROM clean, (VALUES ('parquet'), ('csv'), ('json')) formats(fmt)""",
+)
+ORACLES["source_copy"] = "SELECT doc_id, source FROM documents"
 ORACLES["response_outcome"] = _sql(
     _CLEAN,
     """SELECT complaint_id, company_response, response_outcome, monetary_relief,

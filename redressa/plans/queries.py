@@ -25,7 +25,7 @@ from redressa.operators import (
 from redressa.session import configure, fresh_path, materialize, spread
 from redressa.sources.complaint_view import CUTOFF, complaint_rows, narratives
 from redressa.sources.readers import read_csv, read_hits, read_parquet
-from redressa.sources.writers import write_table
+from redressa.sources.writers import write_once, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -206,6 +206,33 @@ def parquet_mixed_columns(spark, sf_dir):
     return cleaning.standardize(read_parquet(spark, path)).select(*_MIXED)
 
 
+@query("sink_round_trip")
+def sink_round_trip(spark, sf_dir):
+    """The cleaned rows written in each format and read back, tagged with it."""
+    rows = cleaned(spark, sf_dir, "product").select(
+        "complaint_id", "product_group", "complaint_year", "response_outcome"
+    )
+    rows = materialize(rows, "sinks")
+    parts = []
+    for fmt in ("parquet", "csv", "json"):
+        path = fresh_path(spark, "sink")
+        by = "complaint_year" if fmt == "parquet" else None
+        write_table(rows, path, fmt, by)
+        reader = spark.read.schema(rows.schema)
+        back = reader.option("header", True).csv(path) if fmt == "csv" else getattr(reader, fmt)(path)
+        parts.append(back.select(F.lit(fmt).alias("fmt"), *rows.columns))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("source_copy")
+def source_copy(spark, sf_dir):
+    """A finished copy is kept when other rows come for it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    path = fresh_path(spark, "copy")
+    write_once(docs, path)
+    return write_once(docs.filter("doc_id < 0"), path)
+
+
 @query("api_hits")
 def api_hits(spark, sf_dir):
     """Documents as search replies in three envelopes, read back as records."""

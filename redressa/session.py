@@ -14,15 +14,15 @@ _RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
 
-# Below this many input bytes per core a scan is too coarse to feed all cores.
-SMALL_INPUT_BYTES_PER_CORE = 32 * 1024 * 1024
+SOURCE_TASKS = "redressa.source.tasks"
 
 _written: list[str] = []
 _local_scratch: tempfile.TemporaryDirectory | None = None
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings the operators rely on (UTC days, AQE)."""
+    """Apply the run-time settings the operators rely on, for the whole session: days in
+    UTC and adaptive execution with skew joins. Registered queries call this first."""
     for name, value in _RUNTIME_SETTINGS.items():
         spark.conf.set(name, value)
     return spark
@@ -101,14 +101,11 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash ``df`` over all cores when its input is too small for that already.
+    """Hash ``df`` over as many tasks as the setting ``redressa.source.tasks`` asks for.
 
-    Text measures are CPU-bound, and a small table often sits in one row group,
-    hence in one task. A big table has enough splits and is returned as it is,
-    so its text is never shuffled.
+    Text measures are CPU-bound, and a small table often sits in one row group, hence in
+    one task; a session that works on such tables names a number. Without the setting
+    the scan's own splits stay, and the text is never shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= cores * SMALL_INPUT_BYTES_PER_CORE:
-        return df
-    return df.repartition(cores, *keys)
+    tasks = df.sparkSession.conf.get(SOURCE_TASKS, None)
+    return df.repartition(int(tasks), *keys) if tasks else df

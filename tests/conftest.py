@@ -19,6 +19,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("redressa.source.tasks", "8")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -15,7 +15,9 @@ EAGER = {
     "cross_validation",
     "csv_mixed_headers",
     "parquet_mixed_columns",
+    "sink_round_trip",
     "slope_by_group",
+    "source_copy",
     "average_precision",
     "csv_scan",
     "dominant_topic",

@@ -91,8 +91,21 @@ def test_materialized_frames_are_read_from_the_scratch_folder(spark):
     assert all(f"{session.scratch_dir(spark)}/redressa-t-" in f for f in df.inputFiles())
 
 
-def test_small_inputs_are_spread_and_big_ones_are_not(spark, monkeypatch):
-    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    assert session.spread(df, "doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    monkeypatch.setattr(session, "SMALL_INPUT_BYTES_PER_CORE", 1)
-    assert session.spread(df, "doc_id") is df
+def test_small_inputs_are_spread_on_request(spark):
+    df, before = spark.range(100).toDF("doc_id"), spark.conf.get(session.SOURCE_TASKS)
+    try:
+        spark.conf.set(session.SOURCE_TASKS, "5")
+        assert session.spread(df, "doc_id").rdd.getNumPartitions() == 5
+        spark.conf.unset(session.SOURCE_TASKS)
+        assert session.spread(df, "doc_id") is df
+    finally:
+        spark.conf.set(session.SOURCE_TASKS, before)
+
+
+def test_scratch_is_removed(spark, tmp_path):
+    df = spark.range(3).toDF("id")
+    one, two = session.materialize(df, "one"), session.materialize(df, "two")
+    session.discard(one)
+    assert not session.path_exists(spark, one._scratch) and two.count() == 3
+    session.release(spark)
+    assert not session.path_exists(spark, two._scratch)
