@@ -719,6 +719,32 @@ indexed AS (
 ORACLES["expression_index"] = _sql(
     _INDEX, "SELECT complaint_id, round(expression_index, 6) AS expression_index FROM indexed"
 )
+
+
+def _pca_index() -> str:
+    """Scores on the leading eigenvector of the correlations, by power iteration."""
+    dims = range(len(_DIMS))
+    scores = ", ".join(
+        f"CASE WHEN {d}_s > 0 THEN ({d} - {d}_m) / {d}_s ELSE 0.0 END AS z{i}" for i, d in enumerate(_DIMS)
+    )
+    products = ", ".join(f"avg(z{i} * z{j}) AS c{i}{j}" for i in dims for j in dims)
+    turned = ", ".join(" + ".join(f"c{i}{j} * v{j}" for j in dims) + f" AS u{i}" for i in dims)
+    length = "sqrt(" + " + ".join(f"u{i} * u{i}" for i in dims) + ")"
+    steps = _INDEX + f""", standard AS (SELECT complaint_id, {scores} FROM dense, stats),
+correlations AS (SELECT {products} FROM standard),
+power AS (
+  SELECT 0 AS step, {', '.join(f'{1.0 + 0.1 * i}::DOUBLE AS v{i}' for i in dims)}
+  UNION ALL
+  SELECT step + 1, {', '.join(f'u{i} / {length}' for i in dims)}
+  FROM (SELECT step, {turned} FROM power, correlations WHERE step < 400)),
+first_axis AS (SELECT *, CASE WHEN {' + '.join(f'v{i}' for i in dims)} >= 0 THEN 1.0 ELSE -1.0 END AS sign
+  FROM power WHERE step = 400)"""
+    score = " + ".join(f"z{i} * v{i}" for i in dims)
+    select = f"SELECT complaint_id, round(({score}) * sign, 6) AS pca_index FROM standard, first_axis"
+    return _sql(steps, select).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+ORACLES["pca_index"] = _pca_index()
 _PAIRS = """, pairs AS (
   SELECT a.complaint_id, b.complaint_id AS neighbour_id, a.expression_index AS mine,
     b.expression_index AS theirs,

@@ -787,7 +787,7 @@ def pca_index(spark, sf_dir):
         ),
         "dims",
     )
-    return shift.pca_index(rows, "complaint_id")[0]
+    return rounded(shift.pca_index(rows, "complaint_id")[0])
 
 
 @query("gbt_model")
