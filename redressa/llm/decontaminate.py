@@ -16,8 +16,8 @@ do not hide an item. An item of under five words is one shingle of all its words
 documents are read with that length too.
 
 Scale: documents are one scan, hashed in place; only shingles whose hash is in a sketch
-leave it. The sketch table is broadcast when it has at most ``BROADCAST_ROWS`` rows, which is counted,
-else it is an ordinary shuffled join. Shingles of candidates only are shuffled, and sums by
+leave it. Item hashes are broadcast when the items have at most ``BROADCAST_ROWS`` shingles,
+which are counted, else the joins are ordinary shuffled ones. Shingles of candidates only are shuffled, and sums by
 (document, item) combine on the map side.
 
 Defined results: null, empty and wordless texts and items contain and match nothing.
@@ -105,7 +105,7 @@ def _class_bounds(n: Column) -> tuple[Column, Column]:
 def find_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id``, ``item_id``, ``n_shingles``, ``n_shared``, ``containment`` of each find."""
     shingles = materialize(item_shingles(items), "items")
-    counts = {r["size"]: r["n"] for r in shingles.filter("sketch").groupBy("size").agg(F.count("*").alias("n")).collect()}
+    counts = {r["size"]: r["n"] for r in shingles.groupBy("size").agg(F.count("*").alias("n")).collect()}
     worded = docs.select("doc_id", _words(F.col("text")).alias("words"))
     named = worded.withColumn("doc", F.xxhash64("words"))
     found = None
