@@ -32,9 +32,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redressa.llm.common import map_rows
+from redressa.session import materialize
 
 UNKNOWN = "und"
 SAMPLE = 1000
+SALTS = 50
+BROADCAST_ROWS = 1_000_000
 BUCKETS = 1 << 15
 LONGEST = 4
 SMOOTHING = 0.1
@@ -103,15 +106,22 @@ def fold(doc_id: Column) -> Column:
 
 
 def _sample(docs: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` documents of each language: the smallest hashes of each of
+    ``SALTS`` equal parts, so that a language with most of the rows is not one group."""
     usable = docs.filter(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 1))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    salts = min(SALTS, most)
+    salt = F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.lit(salts))
+    order = Window.partitionBy("lang", "salt").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = (
-        usable.select("doc_id", "lang")
+        usable.select("doc_id", "lang", salt.alias("salt"))
         .withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= most)
+        .filter(F.col("place") <= most // salts)
         .select("doc_id")
         .distinct()
     )
+    ids = materialize(ids, "sample")
+    # Then no text is shuffled for the sample; with very many languages it is.
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     return usable.select("doc_id", "lang", "text").join(ids, "doc_id", "left_semi")
 
 
