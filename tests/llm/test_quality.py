@@ -95,7 +95,7 @@ def test_keeps_columns_and_takes_empty_tables(spark):
     text = " ".join(f"word{i}" for i in range(80))
     docs = spark.createDataFrame([(1, text, 5), (None, text, 6), (2, "short", 7)], "doc_id long, text string, kept int")
     labels = spark.createDataFrame([(1, 1), (None, 1)], "doc_id long, quality int")
-    got = quality.keep_good(docs, labels)
+    got = quality.keep_good(docs, labels, threshold=-1.0)
     assert got.columns == docs.columns
     assert sorted(r.kept for r in got.collect()) == [5, 6]
     assert quality.keep_good(docs.limit(0), labels).count() == 0
