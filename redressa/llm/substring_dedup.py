@@ -36,7 +36,7 @@ CUT_BITS = 4
 MIN_CHUNK = 12
 MAX_CHUNK = 512
 MIN_RUN = 128
-ROWS_AT_ONCE = 500_000
+ROWS_AT_ONCE = 150_000
 SLICE = 1 << 22
 
 _GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) & 0xFFFF for b in range(256)], dtype=np.uint16)
