@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from redressa.llm.common import words_of
 
 BUCKETS = 10_000
-SMOOTHING = 1.0
+PRIOR = 50_000.0
 TRUSTED_SAMPLE = 20_000
-THRESHOLD = -0.1
+THRESHOLD = -0.15
 MIN_WORDS = 50
 MAX_REPEAT_SHARE = 0.5
 SYMBOLS = "[#*$%&|<>]"
@@ -63,8 +63,12 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED_SAMPLE) -> DataFrame:
     )
 
 
-def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
-    """``ln(p_trusted / p_corpus)`` of each bucket, counted over all of ``docs``."""
+def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> list[float]:
+    """``ln(p_trusted / p_corpus)`` of each bucket, counted over all of ``docs``.
+
+    The trusted multinomial starts from ``prior`` n-grams spread like the corpus, so that
+    few trusted texts move it little and many decide.
+    """
     marked = docs.select("doc_id", words_of(F.col("text")).alias("word")).join(
         F.broadcast(trusted.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left"
     )
@@ -81,9 +85,9 @@ def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing:
         everything[row.bucket], good[row.bucket] = row.n_all, row.n_good
     if not any(good):
         return [0.0] * buckets
-    n_all, n_good = sum(everything) + smoothing * buckets, sum(good) + smoothing * buckets
+    n_all, n_good = sum(everything), sum(good)
     return [
-        math.log((g + smoothing) / n_good) - math.log((a + smoothing) / n_all)
+        math.log((g * n_all / a + prior) / (n_good + prior)) if a else 0.0
         for g, a in zip(good, everything, strict=True)
     ]
 

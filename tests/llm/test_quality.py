@@ -76,8 +76,12 @@ def test_scores_and_verdicts_of_a_whole_table(spark):
         for g in grams(r.text):
             every[g] += 1
             trusted[g] += r.doc_id in good
-    a, t = sum(every) + quality.BUCKETS, sum(trusted) + quality.BUCKETS
-    ratio = [math.log((x + 1) / t) - math.log((y + 1) / a) for x, y in zip(trusted, every, strict=True)]
+    a, t = sum(every), sum(trusted)
+    prior = quality.PRIOR
+    ratio = [
+        math.log(((x + prior * y / a) / (t + prior)) / (y / a)) if y else 0.0
+        for x, y in zip(trusted, every, strict=True)
+    ]
     got = {r.doc_id: r for r in QUERIES["op7_quality_rules"](spark, SF).collect()}
     assert len(got) == len(rows)
     for r in rows:
