@@ -227,17 +227,22 @@ def components(edges: DataFrame) -> DataFrame:
     neighbour, then its smaller ones (large star, small star), until nothing moves. Rows never
     exceed the links, and both stars pre-aggregate their minimum.
     """
-    current = materialize(edges.select("a", "b").filter("a > b"), "links")
+    current = materialize(edges.select("a", "b").filter("a > b").distinct(), "links")
+    mark = _mark(current)
     while True:
         following = materialize(_small_star(_large_star(current)), "links")
-        moved = following.exceptAll(current).limit(1).count() + current.exceptAll(following).limit(1).count()
         discard(current)
-        current = following
-        if not moved:
+        current, before, mark = following, mark, _mark(following)
+        if mark == before:
             break
     return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _mark(edges: DataFrame) -> tuple[int, int | None]:
+    """Count and 64-bit digest of a set of links, to see whether a round changed it."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+
 def _with_least(near: DataFrame, with_self: bool) -> DataFrame:
     """Each (x, y) with ``m``, the smallest y of its x (or x itself). The minima are
     written first, so that both sides of the join are plain exchanges and a hub with
