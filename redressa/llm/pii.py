@@ -205,9 +205,10 @@ _NAME_BEFORE = re.compile(rf"(?:[A-Za-z0-9._%+-]+(?:{_BRACKET_DOT}|{_PLAIN_DOT})
 _DOT_PART = re.compile(rf"{_BRACKET_DOT}|{_PLAIN_DOT}", re.IGNORECASE)
 _MAY_BE_ADDRESS = re.compile(rf"@\s*{_LABEL}{_DOT_PART.pattern}|{_BRACKET_AT}|{_PLAIN_DOT}(?:{_TLDS})\b", re.IGNORECASE)
 _NAME_REACH = 160
-# Cheap tests that let most texts pass by the patterns above.
-_CUE_WORDS = frozenset(w + end for w in [*_VALUE, *_TIMES] for end in ("", ",", ";", "."))
-_CUE_DOTS = frozenset(_DOT_WORDS)
+# Cheap tests that let texts pass by which cannot hold a match of the patterns above: in a run that
+# is rewritten, each word stands apart from other letters and digits.
+_CUE = re.compile(rf"\b(?:{_any([*_VALUE, *_TIMES, *_DOT_WORDS, *_PLUS_WORDS])})\b", re.IGNORECASE)
+_CUE_DOT = re.compile(_any(_DOT_WORDS), re.IGNORECASE)
 _BRACKETS = re.compile(r"[\[({<]")
 
 
@@ -252,11 +253,9 @@ def _has_bracket(text: str) -> bool:
 
 def _disguises(text: str) -> Tape | None:
     edits = []
-    words = text.lower().split()
-    if "-" in text or sum(map(_CUE_WORDS.__contains__, words)) > 1:
-        for m in _DIGIT_RUN.finditer(text):
-            if any(c.isalpha() for c in m[0]):
-                edits += _spelled_run(text, *m.span())
+    for m in _DIGIT_RUN.finditer(text) if _CUE.search(text) else ():
+        if any(c.isalpha() for c in m[0]):
+            edits += _spelled_run(text, *m.span())
     if _DIGIT.search(text):
         for m in _LETTERED.finditer(text):
             digits = sum(map(str.isdigit, m[0]))
@@ -264,7 +263,7 @@ def _disguises(text: str) -> Tape | None:
             if 0 < letters <= digits and digits >= 4:
                 new = m[0].translate(_DIGIT_LETTERS)
                 edits += [(m.start() + k, m.start() + k + 1, c) for k, c in enumerate(new) if m[0][k] != c]
-    if any(map(_CUE_DOTS.__contains__, words)) or _BRACKETS.search(text):
+    if _CUE_DOT.search(text) or _BRACKETS.search(text):
         if _MAY_BE_ADDRESS.search(text):
             edits += _addresses(text)
     apart, done = [], 0

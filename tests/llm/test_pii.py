@@ -97,3 +97,26 @@ def test_odd_rows(spark):
     assert {r.base_sha256 for r in got if r.doc_id in (1, 2)} == {empty}
     assert {r.spans for r in got if r.doc_id == 3} == {"email:0:6"}
     assert pii.personal_data(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("kind", "hidden"),
+    [
+        ("ip", "192 dot 168 dot 0 dot 1"),
+        ("ip", "192.168.one.5"),
+        ("phone", "+1 415 555 26 seven 1"),
+        ("phone", "plus 1 415 555 2671"),
+        ("phone", "+four,one,five,five,five,one,two,three,four,five"),
+    ],
+)
+def test_digit_runs_do_not_hang_on_other_words(kind, hidden):
+    for text in (hidden, f"call {hidden} now", f"a-b {hidden} or else one"):
+        at = text.index(hidden)
+        assert pii.hidden_spans(text, pii.plain_spans(text)) == [(kind, at, at + len(hidden))]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(["one", "Dot", "plus", "double", "7", "19", " ", ",", "-", ".", "+", "x", "é", "ſix"]), max_size=14).map("".join))
+def test_the_cue_is_in_every_run_that_is_rewritten(text):
+    for m in pii._DIGIT_RUN.finditer(text):
+        assert pii._CUE.search(text) or not any(c.isalpha() for c in m[0])
