@@ -201,9 +201,17 @@ _LABEL = r"[A-Za-z0-9-]+"
 _ANY_DOT = rf"(?:\.|{_BRACKET_DOT}|{_PLAIN_DOT})"
 _AT_SIGN = re.compile(rf"@|{_BRACKET_AT}|\s+(?:at|arroba)\s+", re.IGNORECASE)
 _HOST = re.compile(rf"{_LABEL}(?:{_ANY_DOT}{_LABEL})*?{_ANY_DOT}(?:{_TLDS})(?![\w-])", re.IGNORECASE)
-_NAME_BEFORE = re.compile(rf"(?:[A-Za-z0-9._%+-]+(?:{_BRACKET_DOT}|{_PLAIN_DOT}))?[A-Za-z0-9._%+-]+$", re.IGNORECASE)
+# Where the sign leaves no doubt, any domain whose last label has two letters or more.
+_ANY_HOST = re.compile(rf"{_LABEL}(?:{_ANY_DOT}{_LABEL})*{_ANY_DOT}[A-Za-z]{{2,}}(?![\w-])", re.IGNORECASE)
+_ENDS_HOST = re.compile(rf"(?:{_TLDS}|[a-z]{{2}})", re.IGNORECASE)
+_NAME_BEFORE = re.compile(rf"(?:[A-Za-z0-9._%+-]+(?:{_BRACKET_DOT}|{_PLAIN_DOT}))*[A-Za-z0-9._%+-]+$", re.IGNORECASE)
+_HOST_DOT = re.compile(_ANY_DOT, re.IGNORECASE)
+_LABEL_ONLY = re.compile(_LABEL)
 _DOT_PART = re.compile(rf"{_BRACKET_DOT}|{_PLAIN_DOT}", re.IGNORECASE)
-_MAY_BE_ADDRESS = re.compile(rf"@\s*{_LABEL}{_DOT_PART.pattern}|{_BRACKET_AT}|{_PLAIN_DOT}(?:{_TLDS})\b", re.IGNORECASE)
+_MAY_BE_ADDRESS = re.compile(
+    rf"@\s*{_LABEL}(?:\.{_LABEL})*(?:{_DOT_PART.pattern})|{_BRACKET_AT}|{_BRACKET_DOT}|{_PLAIN_DOT}(?:{_TLDS})\b", re.IGNORECASE
+)
+_TLD_LABEL = re.compile(rf"(?:{_TLDS})", re.IGNORECASE)
 _NAME_REACH = 160
 # Cheap tests that let texts pass by which cannot hold a match of the patterns above: in a run that
 # is rewritten, each word stands apart from other letters and digits.
@@ -225,17 +233,37 @@ def _spelled_run(text: str, start: int, end: int) -> Iterator[tuple[int, int, st
         times, done = 1, m.end()
 
 
+def _host_end(text: str, sign: re.Match) -> int:
+    """Where the host after an at sign or its disguise ends; 0 if there is none."""
+    sure = sign[0] == "@" or _has_bracket(sign[0])
+    host = _ANY_HOST.match(text, sign.end())
+    if host:
+        # A dot word after a whole host is prose ("host dot com. Point taken"), unless a known end follows.
+        low = host.start()
+        for n, dot in enumerate(_HOST_DOT.finditer(text, host.start(), host.end())):
+            after = _LABEL_ONLY.match(text, dot.end())
+            spoken = dot[0] != "." and not _has_bracket(dot[0])
+            if n and spoken and _ENDS_HOST.fullmatch(text, low, dot.start()) and not _TLD_LABEL.fullmatch(after[0]):
+                host = _ANY_HOST.fullmatch(text, sign.end(), dot.start())
+                break
+            low = dot.end()
+    if host and (sure or _has_bracket(host[0])):
+        return host.end()
+    host = None if sure else _HOST.match(text, sign.end())
+    return host.end() if host else 0
+
+
 def _addresses(text: str) -> Iterator[tuple[int, int, str]]:
     done = 0
     for sign in _AT_SIGN.finditer(text):
         if sign.start() < done:
             continue
-        host = _HOST.match(text, sign.end())
-        if not host:
+        end = _host_end(text, sign)
+        if not end:
             continue
         low = max(done, sign.start() - _NAME_REACH)
         name = _NAME_BEFORE.search(text[low : sign.start()])
-        dots = list(_DOT_PART.finditer(text, host.start(), host.end()))
+        dots = list(_DOT_PART.finditer(text, sign.end(), end))
         if not name or (sign[0][:1].isspace() and not _has_bracket(sign[0]) and not dots):
             continue  # "look at host.org" is plain prose
         for dot in _DOT_PART.finditer(text, low + name.start(), sign.start()):
@@ -244,7 +272,7 @@ def _addresses(text: str) -> Iterator[tuple[int, int, str]]:
             yield *sign.span(), "@"
         for dot in dots:
             yield *dot.span(), "."
-        done = host.end()
+        done = end
 
 
 def _has_bracket(text: str) -> bool:

@@ -120,3 +120,22 @@ def test_digit_runs_do_not_hang_on_other_words(kind, hidden):
 def test_the_cue_is_in_every_run_that_is_rewritten(text):
     for m in pii._DIGIT_RUN.finditer(text):
         assert pii._CUE.search(text) or not any(c.isalpha() for c in m[0])
+
+
+@pytest.mark.parametrize(
+    ("text", "hidden"),
+    [
+        ("user [at] mail [dot] ru", "user [at] mail [dot] ru"),
+        ("user (at) firma (dot) it now", "user (at) firma (dot) it"),
+        ("user at mail [dot] nl", "user at mail [dot] nl"),
+        ("x@ab dot xyz", "x@ab dot xyz"),
+        ("bob [at] mail dot co dot uk", "bob [at] mail dot co dot uk"),
+        ("bob (at) host.ai point taken", "bob (at) host.ai"),
+        ("john dot q dot public at host dot com", "john dot q dot public at host dot com"),
+        ("meet at the dot cafe", None),
+        ("look at firma.it now", None),
+    ],
+)
+def test_addresses_of_any_domain_and_name(text, hidden):
+    spans = pii.hidden_spans(text, pii.plain_spans(text))
+    assert [text[a:b] for _, a, b in spans] == ([hidden] if hidden else [])
