@@ -16,8 +16,9 @@ before it deals them, and a shard orders its pieces, so a task that runs again g
 the same bins.
 
 Tokens are made by tiktoken from the ranks of the same vocabulary, which gives the ids of
-the ``tokenizers`` file at over four times the speed (tests compare them). Strings of special
-tokens in a text are ordinary text.
+the ``tokenizers`` file at over four times the speed (tests compare them). With ``added``, a string of a
+special token in a text becomes its id, as the file does at its defaults; without it, it is
+ordinary text. The queries set ``added``.
 
 Defined results: a null or empty text is the end id alone; repeated rows and null ids are
 packed like others; an empty table gives no row. Other columns are not read.
@@ -28,7 +29,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -44,15 +45,16 @@ TOKENS = 1024
 END = 2
 SHARD = 16_384
 PIECE = "piece int, start long, length long, ids_crc32 long"
+ADDED = (("<|endoftext|>", 50_256),)
 WEIGHTS = (1.0, 0.001, 0.001)
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> tiktoken.Encoding:
+def encoder(path: str, added: tuple[tuple[str, int], ...] = ()) -> tiktoken.Encoding:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     return tiktoken.Encoding(
-        path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(added)
     )
 
 
@@ -62,11 +64,13 @@ def cut(n: int, most: int) -> list[tuple[int, int]]:
     return [(0, min(first, n)), *((at, most) for at in range(first, n, most))]
 
 
-def pieces(docs: DataFrame, path: str, tokens: int = TOKENS, end: int = END) -> DataFrame:
+def pieces(
+    docs: DataFrame, path: str, tokens: int = TOKENS, end: int = END, added: tuple[tuple[str, int], ...] = ()
+) -> DataFrame:
     """``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` of every piece."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path).encode_ordinary
+        encode = partial(encoder(path, added).encode, allowed_special="all")
         for batch in batches:
             rows = []
             for at, text in enumerate(batch["text"]):
@@ -156,7 +160,9 @@ def pack(
     return map_rows(found.repartition(shards), "doc_id", run, f"{PIECE}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, path: str | None = None, added: tuple[tuple[str, int], ...] = (), **options
+) -> DataFrame:
     """Pieces of all ``docs`` with their places, by the tokenizer ranks at ``path``."""
     path = path or str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return pack(pieces(docs, path, options.get("tokens", TOKENS)), **options)
+    return pack(pieces(docs, path, options.get("tokens", TOKENS), added=added), **options)

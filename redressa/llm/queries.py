@@ -98,4 +98,4 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), added=packing.ADDED)

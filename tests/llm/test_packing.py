@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from redressa.llm import packing
+from redressa.llm.queries import QUERIES
 
 RANKS = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -89,3 +90,23 @@ def test_few_bins():
 def test_cut():
     assert packing.cut(5, 10) == [(0, 5)] and packing.cut(10, 10) == [(0, 10)]
     assert packing.cut(25, 10) == [(0, 5), (5, 10), (15, 10)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=8), st.just("<|endoftext|>"))).map("".join))
+def test_added_tokens_are_those_of_the_tokenizers_file_at_its_defaults(text):
+    file = plain_tokenizer().encode(text, add_special_tokens=False).ids
+    assert packing.encoder(RANKS, packing.ADDED).encode(text, allowed_special="all") == file
+
+
+@lru_cache(maxsize=1)
+def plain_tokenizer():
+    return Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def test_the_query_packs_added_tokens(spark, tmp_path):
+    text = "a <|endoftext|> b"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ids = np.array([*plain_tokenizer().encode(text, add_special_tokens=False).ids, packing.END], dtype="<u4")
+    got = QUERIES["op10_best_fit_packing"](spark, str(tmp_path)).collect()
+    assert [(r.length, r.ids_crc32) for r in got] == [(len(ids), zlib.crc32(ids.tobytes()))]
