@@ -62,11 +62,11 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that repeat an earlier passage, without it."""
+    """Every document, without the passages that an earlier one has."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = substring_dedup.substring_dedup(docs, changed_only=True)
+    found = substring_dedup.substring_dedup(docs)
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
-    return found.select("doc_id", "first_doc_ids", spans.alias("spans"), "n_removed", "text")
+    return found.select("doc_id", "first_doc_ids", F.coalesce(spans, F.lit("")).alias("spans"), "n_removed", "text")
 
 
 @query

@@ -3,6 +3,7 @@
 import random
 
 from redressa.llm import substring_dedup as chunked
+from redressa.llm.queries import QUERIES
 
 
 def prose(rng, n):
@@ -80,3 +81,12 @@ def test_odd_rows(spark):
     assert texts[1] is None and texts[2] == "" and texts[3] == texts[4] == "short"
     assert texts[None] == long and texts[5] == texts[6] == ""
     assert chunked.substring_dedup(docs.limit(0)).count() == 0
+
+
+def test_the_query_returns_every_document(spark, tmp_path):
+    long = prose(random.Random(6), 300)
+    rows = [(1, long), (2, "own words"), (3, long), (4, None), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op6_substring_dedup"](spark, str(tmp_path)).collect()}
+    assert {d: r.n_removed for d, r in got.items()} == {1: 0, 2: 0, 3: len(long), 4: 0, 5: 0}
+    assert got[1].text == long and got[3].text == "" and got[4].text is None and got[2].spans == ""
