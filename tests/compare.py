@@ -15,6 +15,7 @@ _KINDS = {
     "bigint": "BIGINT",
     "double": "DOUBLE",
     "string": "VARCHAR",
+    "boolean": "BOOLEAN",
 }
 
 
