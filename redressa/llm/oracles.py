@@ -72,3 +72,74 @@ FROM held JOIN wanted USING (size, shingle) JOIN totals USING (item_id)
 GROUP BY doc_id, item_id, n_shingles
 HAVING 100 * count(*) >= 80 * n_shingles
 """
+
+
+def _merkle(levels: int, upper: int) -> str:
+    """The manifest for trees of up to ``8 ** levels`` leaves and ``8 ** upper`` languages."""
+    fields = ["doc_id", "source", "lang", "n_chars"]
+
+    def leaf(text: str) -> str:
+        parts = [f"coalesce(strlen({f}::VARCHAR) || ':' || {f}, '-')" for f in (*fields, text)]
+        return f"sha256({' || '.join(parts)})"
+
+    checksum = """xor(list_reduce(list_prepend(4294967295::BIGINT,
+        [ord(c)::BIGINT FOR c IN string_split(doc_id::VARCHAR, '')]),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+            lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295)"""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [
+        f"""chosen AS (
+    SELECT *, coalesce({checksum} % 3 = 0, false) AS tampered FROM documents
+), leaves AS (
+    SELECT doc_id, coalesce('=' || lang, '') AS tree, {leaf("text")} AS digest,
+        CASE WHEN tampered THEN {leaf(lower)} ELSE {leaf("text")} END AS changed
+    FROM chosen
+), nodes0 AS (
+    SELECT *, digest AS own, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos,
+        count(*) OVER (PARTITION BY tree) AS n
+    FROM leaves
+), fold0 AS (
+    SELECT doc_id, tree, digest AS leaf, changed AS node, pos, n, '' AS siblings FROM nodes0
+)"""
+    ]
+
+    def climb(at: int) -> None:
+        steps.append(f"""runs{at} AS (
+    SELECT tree, pos // 8 AS pos, string_agg(digest, '' ORDER BY pos) AS run, max(n) AS n FROM nodes{at}
+    GROUP BY tree, pos // 8
+), nodes{at + 1} AS (
+    SELECT tree, pos, CASE WHEN n = 1 THEN run ELSE sha256(run) END AS digest, (n + 7) // 8 AS n FROM runs{at}
+), cut{at} AS (
+    SELECT f.*, CASE WHEN f.n > 1 THEN left(run, 64 * (f.pos % 8)) ELSE '' END AS before,
+        CASE WHEN f.n > 1 THEN substr(run, 64 * (f.pos % 8) + 65) ELSE '' END AS after
+    FROM fold{at} f JOIN runs{at} r ON f.tree = r.tree AND f.pos // 8 = r.pos
+), fold{at + 1} AS (
+    SELECT * EXCLUDE (before, after, node, siblings, pos, n), pos // 8 AS pos, (n + 7) // 8 AS n,
+        siblings || before || after AS siblings,
+        CASE WHEN n > 1 THEN sha256(before || node || after) ELSE node END AS node
+    FROM cut{at}
+)""")
+
+    for at in range(levels):
+        climb(at)
+    top = levels + 1
+    steps.append(f"""subroots AS (
+    SELECT tree, digest AS subroot FROM nodes{levels}
+), nodes{top} AS (
+    SELECT '' AS tree, tree AS language, subroot AS digest, row_number() OVER (ORDER BY tree) - 1 AS pos,
+        count(*) OVER () AS n
+    FROM subroots
+), fold{top} AS (
+    SELECT f.* EXCLUDE (tree, pos, n), '' AS tree, t.pos, t.n, t.digest AS subroot
+    FROM fold{levels} f JOIN nodes{top} t ON f.tree = t.language
+)""")
+    for at in range(top, top + upper):
+        climb(at)
+    last = top + upper
+    return f"""WITH {", ".join(steps)}
+SELECT f.doc_id, leaf, subroot, r.digest AS root, sha256(siblings) AS proof_sha256, node AS folded_root,
+    node = r.digest AS verified
+FROM fold{last} f, nodes{last} r"""
+
+
+ORACLES["op11_merkle_manifest"] = _merkle(levels=8, upper=3)
