@@ -143,3 +143,44 @@ FROM fold{last} f, nodes{last} r"""
 
 
 ORACLES["op11_merkle_manifest"] = _merkle(levels=8, upper=3)
+
+ORACLES["op12_source_divergence"] = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents
+), used AS (
+    SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), counts AS (
+    SELECT lang, source, term, count(*) AS n, count(DISTINCT id) AS docs FROM used GROUP BY ALL
+), kept AS (
+    SELECT lang, term, sum(n) AS n FROM counts GROUP BY ALL HAVING sum(docs) >= 30
+), groups AS (
+    SELECT DISTINCT lang, source FROM docs
+), cells AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS lang_n
+    FROM groups g JOIN kept k ON g.lang = k.lang
+    LEFT JOIN counts c ON g.lang = c.lang AND g.source = c.source AND k.term = c.term
+), totalled AS (
+    SELECT *, sum(n) OVER g AS total, count(*) OVER g AS v, sum(lang_n) OVER g AS lang_total
+    FROM cells WINDOW g AS (PARTITION BY lang, source)
+), shares AS (
+    SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v)::HUGEINT AS p,
+        1 + (1000000000::HUGEINT * (lang_n + 5)) // (lang_total + 5 * v)::HUGEINT AS q
+    FROM totalled
+), apart AS (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+    GROUP BY ALL
+), parts AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
