@@ -12,6 +12,7 @@ from redressa.llm import (
     language,
     line_dedup,
     merkle,
+    neighbours,
     packing,
     pii,
     quality,
@@ -112,3 +113,8 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
