@@ -14,14 +14,18 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redressa.operators import metrics
+from redressa.operators import logistic, metrics
 from redressa.operators.encoding import CATEGORICAL_FEATURES, Encoder, fill_inputs
+from redressa.operators.logistic import Logistic
 from redressa.operators.profile import NUMERIC_FEATURES
 from redressa.operators.splitting import balanced_weights, class_gate, cv_folds, stratified_split
 from redressa.operators.vectors import Vocabulary, fit_vocabulary, narrative_words, vector_entries, with_terms
 from redressa.session import discard, materialize
 
 
+INTERCEPT = "(intercept)"
+
+
 def with_class_weights(train: DataFrame, target: str) -> DataFrame:
     """Append ``weight``, so that both classes weigh the same in total."""
     weights = F.broadcast(balanced_weights(train, target).select("class", "weight"))
@@ -29,35 +33,13 @@ def with_class_weights(train: DataFrame, target: str) -> DataFrame:
 
 
 def fit_logistic(
-    train: DataFrame,
-    target: str = "label",
-    features: str = "features",
-    c: float = 1.0,
-    max_iter: int = 1200,
-    tol: float = 1e-4,
-    tasks: int | None = None,
-):
+    train: DataFrame, target: str = "label", features: str = "features", c: float = 1.0, **options
+) -> Logistic:
     """L2 logistic regression with balanced class weights.
 
-    ``c`` weighs the summed loss against half the squared coefficients. The
-    balanced weights add up to the row count, hence the penalty 1 / (c n).
-    The intercept is not penalized. Rounds end when the loss moves by less than
-    ``tol`` of itself. ``tasks`` reads the train rows in that many tasks, where the scan
-    has more than the rounds are worth; by default the scan's own splits stay.
+    ``c`` weighs the summed loss against half the squared coefficients, the intercept among them.
     """
-    n = train.count()
-    weighted = with_class_weights(train, target)
-    weighted = weighted.coalesce(tasks) if tasks else weighted
-    return LogisticRegression(
-        featuresCol=features,
-        labelCol=target,
-        weightCol="weight",
-        regParam=1.0 / (c * n),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=max_iter,
-        tol=tol,
-    ).fit(weighted)
+    return logistic.fit(with_class_weights(train, target), target, features=features, c=c, **options)
 
 
 def score(model, df: DataFrame, key: str, label: str = "label") -> DataFrame:
@@ -88,8 +70,7 @@ class ResponseModel:
 
     target: str
     names: list[str]
-    coefficients: list[float]
-    intercept: float
+    model: Logistic
     train: DataFrame
     test: DataFrame
     scored: DataFrame
@@ -120,46 +101,77 @@ class ResponseModel:
         return metrics.class_report(self.scored)
 
     def top_features(self, n: int = 40) -> DataFrame:
-        return top_features(self.names, self.coefficients, self.test, n)
+        return top_features(self.names, self.model.coefficients, self.test, n)
+
+    def gradient(self) -> DataFrame:
+        """feature, and the slope of the loss at its coefficient, summed over the train rows' scores.
+
+        It says how far the fit is from the optimum, without a step of the fit itself.
+        """
+        key = self.train.columns[0]
+        scored = self.model.score(self.train, key).select(key, "score")
+        off = F.col("weight") * (F.col("score") - F.col("label"))
+        indices, values = vector_entries(F.col("features"))
+        rows = with_class_weights(self.train.join(scored, key), "label").select(off.alias("off"), indices.alias("i"), values.alias("v"))
+        # The intercept is the coefficient of a constant 1 at the end.
+        last = len(self.names)
+        entries = F.arrays_zip(F.concat("i", F.array(F.lit(last))).alias("i"), F.concat("v", F.array(F.lit(1.0))).alias("v"))
+        sums = rows.select("off", F.inline(entries)).groupBy("i").agg(F.sum(F.col("off") * F.col("v")).alias("slope"))
+        coefficients = [*self.model.coefficients, self.model.intercept]
+        table = self.train.sparkSession.createDataFrame(
+            [(i, n, float(c)) for i, (n, c) in enumerate(zip([*self.names, INTERCEPT], coefficients, strict=True))],
+            "i int, feature string, coef double",
+        )
+        gradient = F.col("coef") + F.coalesce("slope", F.lit(0.0))
+        return table.join(sums, "i", "left").select("feature", gradient.alias("gradient"))
 
 
-def prepare_split(
+def write_inputs(
     df: DataFrame,
     target: str,
     key: str = "complaint_id",
     text: str | None = "consumer_narrative",
     categories: Sequence[str] = CATEGORICAL_FEATURES,
     numbers: Sequence[str] = NUMERIC_FEATURES,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """The rows with a target, written: key, ``label``, filled inputs, ``kept_words`` of the text, and ``keep``."""
+    usable = fill_inputs(df.filter(F.col(target).isNotNull()), categories, numbers)
+    columns = [key, F.col(target).cast("int").alias("label"), *categories, *numbers, *keep]
+    if text:
+        usable = narrative_words(usable, text)
+        columns.append("kept_words")
+    return materialize(usable.select(*columns), f"inputs-{target}")
+
+
+def prepare_split(
+    base: DataFrame,
+    key: str = "complaint_id",
+    categories: Sequence[str] = CATEGORICAL_FEATURES,
+    numbers: Sequence[str] = NUMERIC_FEATURES,
     size: int = 6000,
     min_df: int = 5,
     max_df: float = 0.9,
     seed: int = 42,
     split: Callable[[DataFrame], DataFrame] | None = None,
-    keep: Sequence[str] = (),
 ) -> tuple[Encoder, DataFrame, DataFrame]:
-    """Split, fit the encoder on train rows only, and encode both parts.
+    """Split the rows of :func:`write_inputs`, fit the encoder on train rows only, and encode both parts.
 
-    The words are written once, and so is the labelled split: vocabulary, levels,
-    scales and encoding all read it. The returned train and test frames read a written
-    table too. ``split`` makes the parts; by default it is the stratified one.
+    The labelled split is written once: vocabulary, levels, scales and encoding all read it.
+    The returned train and test frames read a written table too. ``split`` makes the parts; by default it
+    is the stratified one. ``base`` is used up.
     """
-    usable = fill_inputs(df.filter(F.col(target).isNotNull()), categories, numbers)
-    columns = [key, F.col(target).cast("int").alias("label"), *categories, *numbers, *keep]
-    if text:
-        usable = narrative_words(usable, text)
-        columns.append("kept_words")
-    base = materialize(usable.select(*columns), f"inputs-{target}")
     parted = split(base) if split else stratified_split(base, "label", key, seed=seed)
-    labelled = materialize(parted.filter("part IS NOT NULL"), f"split-{target}")
+    labelled = materialize(parted.filter("part IS NOT NULL"), "split")
     discard(base)
     parted, train = labelled, labelled.filter("part = 'train'")
     vocabulary = None
-    if text:
+    if "kept_words" in base.columns:
         parted, train = with_terms(parted), with_terms(train)
         vocabulary = Vocabulary.of(fit_vocabulary(train, "terms", min_df, max_df, size))
     encoder = Encoder.fit(train, vocabulary, categories, numbers)
     encoded = encoder.transform(parted).select(key, "label", "part", "features")
-    written = materialize(encoded, f"encoded-{target}")
+    written = materialize(encoded, "encoded")
     discard(labelled)
     return encoder, written.filter("part = 'train'"), written.filter("part = 'test'")
 
@@ -172,21 +184,17 @@ def fit_response_model(
     **options,
 ) -> ResponseModel | dict:
     """The logistic response model, or the class gate's record if it was skipped."""
-    gate = class_gate(df, target, min_class)
+    columns = {n: options.pop(n) for n in ("text", "categories", "numbers") if n in options}
+    base = write_inputs(df, target, key, **columns)
+    gate = class_gate(base.withColumnRenamed("label", target), target, min_class)
     if gate["status"] == "skipped":
+        discard(base)
         return gate
-    encoder, train, test = prepare_split(df, target, key, **options)
+    columns.pop("text", None)
+    encoder, train, test = prepare_split(base, key, **columns, **options)
     model = fit_logistic(train)
-    scored = materialize(score(model, test, key), f"scored-{target}")
-    return ResponseModel(
-        target,
-        encoder.names,
-        model.coefficients.toArray().tolist(),
-        model.intercept,
-        train,
-        test,
-        scored,
-    )
+    scored = materialize(model.score(test, key), f"scored-{target}")
+    return ResponseModel(target, encoder.names, model, train, test, scored)
 
 
 def cross_validate(

@@ -183,8 +183,7 @@ def _measures(source: str, name: str) -> str:
 BASE = f"{RAW}, {CLEAN}, {_measures('modeling0', 'modeling')}"
 STOP_WORDS = _quoted(sorted({*ENGLISH_STOP_WORDS, *DOMAIN_STOP_WORDS}))
 DOCS = "docs AS (SELECT complaint_id, coalesce(consumer_narrative, '') AS consumer_narrative FROM narr)"
-WORDS = rf"""
-{DOCS},
+VOCABULARY = rf"""
 kept AS (
   SELECT complaint_id, list_filter(
     regexp_extract_all(lower(consumer_narrative), '[\p{{L}}\p{{N}}_]+'),
@@ -205,6 +204,7 @@ chosen AS (
   FROM term_counts, n_docs WHERE df >= 5 AND df <= 0.9 * n
   ORDER BY cf DESC, term LIMIT 8000)
 """
+WORDS = f"{DOCS}, {VOCABULARY}"
 
 
 def _sql(steps: str, select: str) -> str:
@@ -535,9 +535,7 @@ ORACLES["model_inputs"] = _sql(
   {', '.join(f'round(CAST({c} AS DOUBLE), 6) AS {c}' for c in NUMERIC_FEATURES)}
 FROM modeling""",
 )
-ORACLES["stratified_split"] = _sql(
-    _CLEAN,
-    """, sizes AS (
+_SPLIT = """, sizes AS (
   SELECT any_relief, n, n * (total - ceil(total * 0.25::DOUBLE)) / total AS exact,
     total - ceil(total * 0.25::DOUBLE) AS n_train
   FROM (SELECT any_relief, count(*)::DOUBLE AS n, (SELECT count(*) FROM modeling0)::DOUBLE AS total
@@ -546,12 +544,13 @@ quotas AS (
   SELECT any_relief, n - floor(exact) - CASE WHEN
     row_number() OVER (ORDER BY exact - floor(exact) DESC, any_relief)
       <= n_train - sum(floor(exact)) OVER () THEN 1 ELSE 0 END AS quota
-  FROM sizes)
-SELECT m.complaint_id, m.any_relief, CASE WHEN row_number() OVER (
-    PARTITION BY m.any_relief ORDER BY md5('42|' || m.complaint_id), m.complaint_id)
-  <= q.quota THEN 'test' ELSE 'train' END AS part
-FROM modeling0 m JOIN quotas q ON q.any_relief = m.any_relief""",
-)
+  FROM sizes),
+parted AS (
+  SELECT m.complaint_id, m.any_relief, CASE WHEN row_number() OVER (
+      PARTITION BY m.any_relief ORDER BY md5('42|' || m.complaint_id), m.complaint_id)
+    <= q.quota THEN 'test' ELSE 'train' END AS part
+  FROM modeling0 m JOIN quotas q ON q.any_relief = m.any_relief)"""
+ORACLES["stratified_split"] = _sql(_CLEAN, f"{_SPLIT} SELECT complaint_id, any_relief, part FROM parted")
 
 
 def _fold(k: int) -> str:
@@ -856,3 +855,44 @@ SELECT feature, round(coef, 6) AS coef, round(abs(coef), 6) AS abs_coef, directi
   UNION ALL
   SELECT *, 'negative' FROM (SELECT * FROM found ORDER BY coef, feature LIMIT 6))""",
 )
+
+# --- the logistic solver -----------------------------------------------------
+_TERMS = VOCABULARY.strip().replace("LIMIT 8000", "LIMIT 6000")
+ORACLES["response_gradient"] = _sql(
+    _CLEAN,
+    f"""{_SPLIT}, train AS (
+  SELECT m.complaint_id, m.consumer_narrative, {_FILLED} FROM modeling0 m
+  JOIN parted USING (complaint_id) WHERE part = 'train'),
+docs AS (SELECT complaint_id, consumer_narrative FROM train), {_TERMS},
+levels AS (
+  SELECT 'product_group=' AS variable, product_group AS level FROM train
+  UNION ALL SELECT 'submitted_via=', submitted_via FROM train
+  UNION ALL SELECT 'state=', state FROM train),
+encoded AS (
+  SELECT variable || CASE WHEN count(*) >= 10 THEN level ELSE 'infrequent' END AS feature
+  FROM levels GROUP BY variable, level)
+SELECT term AS feature, TRUE AS settled FROM chosen
+UNION ALL SELECT DISTINCT feature, TRUE FROM encoded
+UNION ALL SELECT unnest([{_quoted(NUMERIC_FEATURES)}, '(intercept)']), TRUE""",
+)
+
+_MARGIN = "1 / (1 + exp(-(a * x + b)))"
+ORACLES["logistic_scores"] = _sql(
+    BASE,
+    f""", sizes AS (SELECT any_relief, count(*) AS of_class, sum(count(*)) OVER () AS total
+  FROM modeling GROUP BY any_relief),
+inputs AS (
+  SELECT complaint_id, any_relief AS y, n_words / 100.0::DOUBLE AS x, total::DOUBLE / (2 * of_class) AS w
+  FROM modeling JOIN sizes USING (any_relief)),
+newton AS (
+  SELECT 0 AS step, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b
+  UNION ALL
+  SELECT step + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab),
+    b - (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+  FROM (SELECT step, a, b, a + sum(w * (p - y) * x) AS ga, b + sum(w * (p - y)) AS gb,
+      1 + sum(w * p * (1 - p) * x * x) AS haa, sum(w * p * (1 - p) * x) AS hab, 1 + sum(w * p * (1 - p)) AS hbb
+    FROM (SELECT step, a, b, w, y, x, {_MARGIN} AS p FROM newton, inputs) GROUP BY step, a, b)
+  WHERE step < 30)
+SELECT complaint_id, y AS label, round({_MARGIN}, 6) AS score, round(a, 6) AS coef, round(b, 6) AS intercept
+FROM inputs, newton WHERE step = 30""",
+).replace("WITH", "WITH RECURSIVE", 1)

@@ -675,6 +675,28 @@ def timely_model_metrics(spark, sf_dir):
     return fitted.metrics()
 
 
+@query("response_gradient")
+def response_gradient(spark, sf_dir):
+    """Is the loss flat at the fitted coefficients? One row per feature."""
+    fitted = response_model(spark, sf_dir)
+    flat = F.abs("gradient") <= fitted.model.scale * 1e-4
+    return fitted.gradient().select("feature", flat.alias("settled"))
+
+
+@query("logistic_scores")
+def logistic_scores(spark, sf_dir):
+    """The logistic solver on one number, which SQL can solve too."""
+    rows = modeling(spark, sf_dir, "n_words").select(
+        "complaint_id", F.col("any_relief").alias("label"), (F.col("n_words") / 100.0).alias("x")
+    )
+    rows = materialize(VectorAssembler(inputCols=["x"], outputCol="features").transform(rows), "one-number")
+    fitted = models.fit_logistic(rows, tol=1e-9)
+    scored = fitted.score(rows, "complaint_id").withColumns(
+        {"coef": F.lit(float(fitted.coefficients[0])), "intercept": F.lit(fitted.intercept)}
+    )
+    return rounded(scored)
+
+
 @query("top_features")
 def top_features(spark, sf_dir):
     return response_model(spark, sf_dir).top_features()
@@ -796,13 +818,14 @@ def gbt_model(spark, sf_dir):
     rows = modeling(spark, sf_dir, "consumer_narrative", "issue", "sub_issue", *MODEL_COLUMNS, "company")
     rows = rows.withColumn("topic", F.col("sub_issue"))
     shifted = _shifted(spark, sf_dir).select("complaint_id", "local_shift")
+    inputs = {
+        "categories": (*encoding.CATEGORICAL_FEATURES, "topic"),
+        "numbers": (*profile.NUMERIC_FEATURES, "local_shift"),
+    }
+    rows = rows.join(shifted, "complaint_id", "left")
+    base = models.write_inputs(rows, "any_relief", keep=("date_received",), **inputs)
     _, train, test = models.prepare_split(
-        rows.join(shifted, "complaint_id", "left"),
-        "any_relief",
-        categories=(*encoding.CATEGORICAL_FEATURES, "topic"),
-        numbers=(*profile.NUMERIC_FEATURES, "local_shift"),
-        split=lambda df: splitting.time_split(df, "date_received"),
-        keep=("date_received",),
+        base, split=lambda df: splitting.time_split(df, "date_received"), **inputs
     )
     scored = materialize(models.score(models.fit_gbt(train), test, "complaint_id"), "gbt")
     ranked = metrics.rank_metrics(scored).select(F.struct("*")).scalar()
@@ -813,12 +836,9 @@ def gbt_model(spark, sf_dir):
 def cross_validation(spark, sf_dir):
     """Penalties compared by folds inside the earlier rows."""
     rows = modeling(spark, sf_dir, *MODEL_COLUMNS)
+    base = models.write_inputs(rows, "any_relief", text=None, keep=("date_received",))
     _, train, _ = models.prepare_split(
-        rows,
-        "any_relief",
-        text=None,
-        split=lambda df: splitting.time_split(df, "date_received"),
-        keep=("date_received",),
+        base, split=lambda df: splitting.time_split(df, "date_received")
     )
     return models.cross_validate(train, "complaint_id", (0.001, 0.1), k=3)
 
@@ -826,11 +846,9 @@ def cross_validation(spark, sf_dir):
 @query("response_attribution")
 def response_attribution(spark, sf_dir):
     rows = modeling(spark, sf_dir, "consumer_narrative", *MODEL_COLUMNS)
-    encoder, train, test = models.prepare_split(rows, "any_relief")
+    encoder, train, test = models.prepare_split(models.write_inputs(rows, "any_relief"))
     fitted = models.fit_logistic(train)
-    return models.linear_attribution(
-        test, "features", encoder.names, fitted.coefficients.toArray().tolist()
-    )
+    return models.linear_attribution(test, "features", encoder.names, fitted.coefficients)
 
 
 @query("linear_attribution")
