@@ -5,20 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redressa.operators import logistic, metrics
+from redressa.operators import logistic, metrics, trees
 from redressa.operators.encoding import CATEGORICAL_FEATURES, Encoder, fill_inputs
 from redressa.operators.logistic import Logistic
 from redressa.operators.profile import NUMERIC_FEATURES
 from redressa.operators.splitting import balanced_weights, class_gate, cv_folds, stratified_split
+from redressa.operators.trees import Boosted
 from redressa.operators.vectors import Vocabulary, fit_vocabulary, narrative_words, vector_entries, with_terms
 from redressa.session import discard, materialize
 
@@ -42,13 +42,6 @@ def fit_logistic(
     return logistic.fit(with_class_weights(train, target), target, features=features, c=c, **options)
 
 
-def score(model, df: DataFrame, key: str, label: str = "label") -> DataFrame:
-    """key, label and the probability of class 1 as ``score``."""
-    return model.transform(df).select(
-        key, F.col(label).cast("int").alias("label"), vector_to_array("probability")[1].alias("score")
-    )
-
-
 def top_features(
     names: Sequence[str], coefficients: Sequence[float], like: DataFrame, n: int = 40
 ) -> DataFrame:
@@ -154,16 +147,21 @@ def prepare_split(
     max_df: float = 0.9,
     seed: int = 42,
     split: Callable[[DataFrame], DataFrame] | None = None,
+    derive: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[Encoder, DataFrame, DataFrame]:
     """Split the rows of :func:`write_inputs`, fit the encoder on train rows only, and encode both parts.
 
     The labelled split is written once: vocabulary, levels, scales and encoding all read it.
     The returned train and test frames read a written table too. ``split`` makes the parts; by default it
-    is the stratified one. ``base`` is used up.
+    is the stratified one. ``derive`` may add columns to the split rows, from what it fits on those with ``part`` 'train';
+    ``categories`` and ``numbers`` may name them. ``base`` is used up.
     """
     parted = split(base) if split else stratified_split(base, "label", key, seed=seed)
     labelled = materialize(parted.filter("part IS NOT NULL"), "split")
     discard(base)
+    if derive:
+        before, labelled = labelled, materialize(derive(labelled), "derived")
+        discard(before)
     parted, train = labelled, labelled.filter("part = 'train'")
     vocabulary = None
     if "kept_words" in base.columns:
@@ -218,11 +216,9 @@ def cross_validate(
     )
 
 
-def fit_gbt(train: DataFrame, max_iter: int = 20, max_depth: int = 4, seed: int = 42):
+def fit_gbt(train: DataFrame, **options) -> Boosted:
     """Gradient-boosted trees on the encoded rows, balanced by class weight."""
-    return GBTClassifier(
-        labelCol="label", weightCol="weight", maxIter=max_iter, maxDepth=max_depth, seed=seed
-    ).fit(with_class_weights(train, "label"))
+    return trees.fit(with_class_weights(train, "label"), **options)
 
 
 def linear_attribution(

@@ -896,3 +896,62 @@ newton AS (
 SELECT complaint_id, y AS label, round({_MARGIN}, 6) AS score, round(a, 6) AS coef, round(b, 6) AS intercept
 FROM inputs, newton WHERE step = 30""",
 ).replace("WITH", "WITH RECURSIVE", 1)
+
+
+def _first_tree(features: Iterable[str], rate: float = 0.3) -> str:
+    """The best splits of one tree of depth two, every value a threshold: sums over sorted values."""
+    long = " UNION ALL ".join(
+        f"SELECT complaint_id, {i} AS f, '{c}' AS feature, {c}::DOUBLE AS x FROM nodes0" for i, c in enumerate(features)
+    )
+
+    def best(source: str, name: str) -> str:
+        """Best split of each node in ``source`` (complaint_id, node, g, h)."""
+        return f"""
+{name}_total AS (SELECT node, sum(g) AS g, sum(h) AS h FROM {source} GROUP BY node),
+{name}_values AS (
+  SELECT s.node, e.f, e.feature, e.x, sum(s.g) AS g, sum(s.h) AS h
+  FROM {source} s JOIN entries e USING (complaint_id) WHERE e.x <> 0 GROUP BY ALL),
+{name}_upto AS (
+  SELECT *, sum(g) OVER up AS ug, sum(h) OVER up AS uh, sum(g) OVER (PARTITION BY node, f) AS wg,
+    sum(h) OVER (PARTITION BY node, f) AS wh
+  FROM {name}_values WINDOW up AS (PARTITION BY node, f ORDER BY x)),
+{name}_sides AS (
+  SELECT u.node, f, feature, x, z, ug + z * (t.g - wg) AS lg, uh + z * (t.h - wh) AS lh, t.g, t.h
+  FROM {name}_upto u JOIN {name}_total t ON u.node = t.node, (VALUES (0), (1)) zero(z)),
+{name}_best AS (
+  SELECT *, lg * lg / (lh + 1) + (g - lg) * (g - lg) / (h - lh + 1) - g * g / (h + 1) AS gain FROM {name}_sides
+  WHERE lh >= 1 AND h - lh >= 1
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(gain, 9) DESC, f, x, z) = 1 AND round(gain, 9) > 0),
+{name}_edge AS (
+  SELECT b.*, CASE WHEN b.x < m.most THEN b.x END AS threshold
+  FROM {name}_best b JOIN (SELECT f, max(x) AS most FROM entries WHERE x <> 0 GROUP BY f) m ON m.f = b.f),
+{name}_next AS (
+  SELECT s.complaint_id, CASE WHEN CASE WHEN e.x = 0 THEN b.z = 1 ELSE e.x <= b.x END
+    THEN 2 * s.node + 1 ELSE 2 * s.node + 2 END AS node, s.g, s.h
+  FROM {source} s JOIN {name}_edge b ON s.node = b.node JOIN entries e ON e.complaint_id = s.complaint_id AND e.f = b.f)"""
+
+    return _sql(
+        BASE,
+        f""", sizes AS (SELECT any_relief, count(*) AS of_class, sum(count(*)) OVER () AS total
+  FROM modeling GROUP BY any_relief),
+nodes0 AS (
+  SELECT m.*, 0 AS node, total::DOUBLE / (2 * of_class) * (0.5 - any_relief) AS g,
+    total::DOUBLE / (2 * of_class) * 0.25 AS h
+  FROM modeling m JOIN sizes USING (any_relief)),
+entries AS ({long}),
+root AS (SELECT complaint_id, node, g, h FROM nodes0),
+{best("root", "one").strip()},
+{best("one_next", "two").strip()},
+splits AS (SELECT * FROM one_edge UNION ALL SELECT * FROM two_edge),
+rest AS (
+  SELECT node, g, h FROM one_next WHERE node NOT IN (SELECT node FROM two_edge)
+  UNION ALL SELECT node, g, h FROM two_next)
+SELECT CAST(node AS INTEGER) AS node, feature, round(threshold, 6) AS threshold, z = 1 AS zero_left,
+  round(gain, 6) AS gain, NULL::DOUBLE AS value FROM splits
+UNION ALL
+SELECT CAST(node AS INTEGER), NULL, NULL, NULL, NULL, round(-{rate}::DOUBLE * sum(g) / (sum(h) + 1), 6) FROM rest
+GROUP BY node""",
+    )
+
+
+ORACLES["gbt_first_tree"] = _first_tree(("n_sentences", "question_count", "exclamation_count", "digit_count"))

@@ -22,7 +22,7 @@ from redressa.operators import (
     topics,
     vectors,
 )
-from redressa.session import configure, fresh_path, materialize, spread
+from redressa.session import configure, discard, fresh_path, materialize, spread
 from redressa.sources.complaint_view import CUTOFF, complaint_rows, narratives
 from redressa.sources.readers import read_csv, read_hits, read_parquet
 from redressa.sources.writers import write_once, write_table
@@ -812,26 +812,53 @@ def pca_index(spark, sf_dir):
     return rounded(shift.pca_index(rows, "complaint_id")[0])
 
 
+def with_train_topics(labelled: DataFrame) -> DataFrame:
+    """``labelled`` with the dominant topic of a factorization of its train rows."""
+    words, model = topics.fit_topics(
+        labelled.filter("part = 'train'").select("complaint_id", "kept_words"), "complaint_id", **TOPIC_FIT
+    )
+    found = model.label(labelled).drop("dominant_topic_weight")
+    discard(words)
+    return found.withColumn("dominant_topic", F.col("dominant_topic").cast("string"))
+
+
+# Topics that are a model's input need not be settled to the last digit.
+TOPIC_FIT = {"iters": 20, "tol": 1e-2}
+
+
 @query("gbt_model")
 def gbt_model(spark, sf_dir):
-    """Trees on text vector, structured fields, topic and local shift; trained on the past."""
-    rows = modeling(spark, sf_dir, "consumer_narrative", "issue", "sub_issue", *MODEL_COLUMNS, "company")
-    rows = rows.withColumn("topic", F.col("sub_issue"))
+    """Trees on text vector, structured fields, fitted topic and local shift; trained on the past."""
+    rows = modeling(spark, sf_dir, "consumer_narrative", *MODEL_COLUMNS, "company")
     shifted = _shifted(spark, sf_dir).select("complaint_id", "local_shift")
-    inputs = {
-        "categories": (*encoding.CATEGORICAL_FEATURES, "topic"),
-        "numbers": (*profile.NUMERIC_FEATURES, "local_shift"),
-    }
+    numbers = (*profile.NUMERIC_FEATURES, "local_shift")
     rows = rows.join(shifted, "complaint_id", "left")
-    base = models.write_inputs(rows, "any_relief", keep=("date_received",), **inputs)
+    base = models.write_inputs(rows, "any_relief", numbers=numbers, keep=("date_received",))
     _, train, test = models.prepare_split(
-        base, split=lambda df: splitting.time_split(df, "date_received"), **inputs
+        base,
+        categories=(*encoding.CATEGORICAL_FEATURES, "dominant_topic"),
+        numbers=numbers,
+        split=lambda df: splitting.time_split(df, "date_received"),
+        derive=with_train_topics,
     )
-    scored = materialize(models.score(models.fit_gbt(train), test, "complaint_id"), "gbt")
+    scored = materialize(models.fit_gbt(train).score(test, "complaint_id"), "gbt")
     ranked = metrics.rank_metrics(scored).select(F.struct("*")).scalar()
     return metrics.binary_metrics(scored).withColumn("roc_auc", ranked["roc_auc"])
 
 
+TREE_FEATURES = ("n_sentences", "question_count", "exclamation_count", "digit_count")
+
+
+@query("gbt_first_tree")
+def gbt_first_tree(spark, sf_dir):
+    """Splits, gains and values of one tree on four counts, each value its own bin."""
+    rows = modeling(spark, sf_dir, *TREE_FEATURES).withColumn("label", F.col("any_relief"))
+    vector = VectorAssembler(inputCols=list(TREE_FEATURES), outputCol="features")
+    rows = materialize(vector.transform(rows).select("complaint_id", "label", "features"), "counts")
+    boosted = models.fit_gbt(rows, trees=1, depth=2, bins=4096)
+    return rounded(boosted.nodes(rows, TREE_FEATURES).drop("tree"))
+
+
 @query("cross_validation")
 def cross_validation(spark, sf_dir):
     """Penalties compared by folds inside the earlier rows."""

@@ -145,5 +145,5 @@ def test_cross_validation_and_trees(spark):
     scores = models.cross_validate(df, "complaint_id", [0.01, 1.0], k=3).collect()
     assert [r["penalty"] for r in scores] == [0.01, 1.0]
     assert all(0.5 < r["roc_auc"] <= 1.0 for r in scores)
-    model = models.fit_gbt(df, max_iter=3, max_depth=2)
-    assert models.score(model, df, "complaint_id").count() == 400
+    model = models.fit_gbt(df, trees=3, depth=2)
+    assert model.score(df, "complaint_id").count() == 400
