@@ -823,7 +823,7 @@ def with_train_topics(labelled: DataFrame) -> DataFrame:
 
 
 # Topics that are a model's input need not be settled to the last digit.
-TOPIC_FIT = {"iters": 20, "tol": 1e-2}
+TOPIC_FIT = {"iters": 20, "tol": 1e-3}
 
 
 @query("gbt_model")
