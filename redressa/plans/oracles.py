@@ -269,6 +269,7 @@ ORACLES["csv_scan"] = _sql(
     """SELECT complaint_id, consumer_narrative,
   CASE WHEN doc_id % 5 <> 0 THEN raw_source END AS state FROM narr""",
 )
+ORACLES["csv_blocks"] = ORACLES["csv_scan"]
 ORACLES["api_hits"] = """
 SELECT CAST(doc_id AS VARCHAR) AS complaint_id, lang AS state, text FROM documents"""
 

@@ -172,6 +172,22 @@ def csv_scan(spark, sf_dir):
     )
 
 
+@query("csv_blocks")
+def csv_blocks(spark, sf_dir):
+    """Narratives in one large CSV file, whose records many tasks cut out."""
+    path = fresh_path(configure(spark), "csv")
+    rows = narratives(spark, sf_dir).select(
+        F.col("complaint_id").alias("Complaint ID"),
+        F.col("consumer_narrative").alias("Consumer complaint narrative"),
+        F.when(F.col("doc_id") % 5 == 0, "N/A").otherwise(F.col("raw_source")).alias("State"),
+    )
+    # One file is the point here: it stands for one large download.
+    write_table(rows.coalesce(1), path, "csv")
+    return cleaning.standardize(read_csv(spark, path, whole_bytes=0)).select(
+        "complaint_id", "consumer_narrative", "state"
+    )
+
+
 def _odd_and_even(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Documents as two sources with other columns, in another order, and NA texts."""
     docs = table(spark, sf_dir, "documents").withColumn("id", F.col("doc_id").cast("string"))

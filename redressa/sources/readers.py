@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from redressa.sources import records
+
 INGEST = "ingest_seq"
 HEADERS_AT_ONCE = 16
 
@@ -40,34 +42,65 @@ def _csv(spark: SparkSession) -> DataFrameReader:
     )
 
 
-def _files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
-    """Names of the files behind ``paths``; their contents are not read."""
+def _files(spark: SparkSession, paths: Sequence[str]) -> dict[str, int]:
+    """Names and lengths of the files behind ``paths``; their contents are not read."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
-    return sorted(r["path"] for r in listed.filter("length > 0").select("path").collect())
-
-
-def read_csv(spark: SparkSession, path: str | Sequence[str], source_no: int = 0) -> DataFrame:
+    rows = listed.filter("length > 0").select("path", "length").collect()
+    return {r["path"]: r["length"] for r in sorted(rows)}
+
+
+def _in_blocks(spark: SparkSession, files: Sequence[str], header: Sequence[str], source_no: int) -> list[DataFrame]:
+    """Rows of files that many tasks read each, block by block; files with irregular quotes as a whole."""
+    lines = records.file_lines(spark, files)
+    known = records.block_parities(lines)
+    if known is None:
+        return [_whole(spark, files, header, source_no)]
+    inside, irregular = known
+    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in header)
+    if irregular:
+        regular = F.col("file").isin(sorted(set(inside) - irregular))
+        lines = lines.filter(regular)
+    found = records.file_records(lines, inside)
+    row = F.from_csv("record", schema, {"quote": '"', "escape": '"', "multiLine": "true"})
+    place = F.struct(F.lit(source_no).alias("source_no"), "file", "block", "row").alias(INGEST)
+    parts = [found.select(row.alias("_row"), place).select("_row.*", INGEST)]
+    return parts + ([_whole(spark, sorted(irregular), header, source_no)] if irregular else [])
+
+
+def _whole(spark: SparkSession, files: Sequence[str], header: Sequence[str], source_no: int) -> DataFrame:
+    """Rows of files that one task reads each."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    return _with_ingest_order(_csv(spark).schema(schema).csv(list(files)), source_no)
+
+
+def read_csv(
+    spark: SparkSession, path: str | Sequence[str], source_no: int = 0, whole_bytes: int | None = None
+) -> DataFrame:
     """CSV with header rows; quotes are doubled inside quoted multi-line text.
 
     Files with the same header are read together, and the groups are united by column
     name: Spark alone would take the first file's header for all. Only headers are
     looked at for this, one small read a file.
+
+    A file longer than ``whole_bytes`` (by default what one task scans) is cut into records by many tasks, at the
+    price of a second scan that counts quotes; shorter ones are read by a task each. The rows are the same, but for carriage returns
+    inside texts of files whose own lines end with them: Spark's scan of a whole file drops those.
     """
-    files = _files(spark, [path] if isinstance(path, str) else list(path))
+    sizes = _files(spark, [path] if isinstance(path, str) else list(path))
+    files = list(sizes)
+    if whole_bytes is None:
+        whole_bytes = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
         headers = list(pool.map(lambda f: tuple(_csv(spark).csv(f).columns), files))
     groups: dict[tuple[str, ...], list[str]] = {}
     for header, file in zip(headers, files, strict=True):
         groups.setdefault(header, []).append(file)
-    parts = [
-        _with_ingest_order(
-            _csv(spark)
-            .schema(T.StructType([T.StructField(c, T.StringType()) for c in header]))
-            .csv(same),
-            source_no,
-        )
-        for header, same in groups.items()
-    ]
+    parts = []
+    for header, same in groups.items():
+        short = [f for f in same if sizes[f] <= whole_bytes]
+        parts += [_whole(spark, short, header, source_no)] if short else []
+        if len(short) < len(same):
+            parts += _in_blocks(spark, [f for f in same if sizes[f] > whole_bytes], header, source_no)
     if not parts:
         raise ValueError(f"no CSV file with a header in {path!r}")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
