@@ -12,29 +12,16 @@ WITH docs AS (
     SELECT doc_id, list(line ORDER BY pos) AS lines,
         list(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) ORDER BY pos) AS words
     FROM each_line GROUP BY doc_id
-), sizes AS (
-    SELECT unnest(range(0, 31)) AS k
-), starts AS (
-    SELECT doc_id, lines, words, 1 << k AS size, unnest(range(0, len(lines) - (1 << k) + 1)) AS pos
-    FROM counted JOIN sizes ON (1 << k) <= len(lines)
 ), blocks AS (
-    SELECT doc_id, pos, size, md5(array_to_string(lines[pos + 1 : pos + size], chr(10))) AS block
-    FROM starts
-), numbered AS (
-    SELECT *, row_number() OVER same AS copy, first_value(doc_id) OVER same AS first_doc,
-        first_value(pos) OVER same AS first_pos
-    FROM blocks WINDOW same AS (PARTITION BY size, block ORDER BY doc_id, pos)
-), placed AS (
-    SELECT *, pos - row_number() OVER (
-        PARTITION BY size, doc_id, first_doc, pos - first_pos ORDER BY pos) AS run
-    FROM numbered WHERE copy > 1
-), runs AS (
-    SELECT doc_id, min(pos) AS pos, max(pos) + size AS until
-    FROM placed GROUP BY size, doc_id, first_doc, pos - first_pos, run
+    SELECT doc_id, pos, until, md5(array_to_string(lines[pos + 1 : until], chr(10))) AS block,
+        list_sum(words[pos + 1 : until]) AS n_words
+    FROM (SELECT *, unnest(range(pos + 1, len(lines) + 1)) AS until
+        FROM (SELECT *, unnest(range(0, len(lines))) AS pos FROM counted))
+), copies AS (
+    SELECT * FROM blocks WHERE n_words >= 10
+    QUALIFY row_number() OVER (PARTITION BY block, until - pos ORDER BY doc_id, pos) > 1
 ), gone AS (
-    SELECT DISTINCT r.doc_id, unnest(range(r.pos, r.until)) AS pos
-    FROM runs r JOIN counted c ON r.doc_id = c.doc_id
-    WHERE list_sum(c.words[r.pos + 1 : r.until]) >= 10
+    SELECT DISTINCT doc_id, unnest(range(pos, until)) AS pos FROM copies
 ), kept AS (
     SELECT e.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
         coalesce(string_agg(line, chr(10) ORDER BY e.pos) FILTER (g.pos IS NULL), '') AS text

@@ -8,31 +8,38 @@ from redressa.llm import line_dedup
 def plain(rows, min_words):
     """Kept text of each (doc_id, text) row; rows in reading order."""
     order = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
-    seen, gone = {}, {}
-    size = 1
-    while size <= max((t.count("\n") + 1 for _, t in order), default=0):
-        for row in order:
-            lines, runs = row[1].split("\n"), []
-            for at in range(len(lines) - size + 1):
-                first = seen.setdefault((size, tuple(lines[at : at + size])), (row, at))
-                if first != (row, at):
-                    source = (first[0], at - first[1])
-                    for run in runs:
-                        if run[0] == source and run[2] == at + size - 1:
-                            run[2] += 1
-                            break
-                    else:
-                        runs.append([source, at, at + size])
-            for _, start, end in runs:
-                if sum(len(x.split()) for x in lines[start:end]) >= min_words:
-                    gone.setdefault(row, set()).update(range(start, end))
-        size *= 2
+    seen, gone = set(), {}
+    for row in order:
+        lines = row[1].split("\n")
+        for at in range(len(lines)):
+            # All earlier starts are in ``seen`` with every length.
+            for end in range(at + 1, len(lines) + 1):
+                if tuple(lines[at:end]) in seen and sum(len(x.split()) for x in lines[at:end]) >= min_words:
+                    gone.setdefault(row, set()).update(range(at, end))
+            seen.update(tuple(lines[at:end]) for end in range(at + 1, len(lines) + 1))
     return {
         r: "\n".join(x for k, x in enumerate(r[1].split("\n")) if k not in gone.get(r, ()))
         for r in order
     }
 
 
+def test_maximal_runs_whose_halves_come_from_different_documents(spark):
+    a, b, c = ("one two three four", "five six seven eight", "nine ten eleven twelve")
+    texts = [f"{a}\n{b}", f"{b}\n{c}", f"{a}\n{b}\n{c}", f"{a}\n{b}\n{c}", f"x\n{a}\n{b}\n{c}\n\ny", f"{c}\n\ny\n{a}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.line_dedup(docs, 10).collect()}
+    assert [got[i].n_removed for i in range(6)] == [0, 0, 0, 3, 3, 0]
+    assert got[3].text == "" and got[4].text == "x\n\ny"
+
+
+def test_many_blank_lines(spark):
+    blank = "\n" * 700
+    texts = [f"a b c{blank}d e f", f"a b c{blank}d e f", f"z{blank}", blank]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs, 5).collect()}
+    assert got == {0: texts[0], 1: "", 2: texts[2], 3: texts[3]}
+
+
 def test_random_lines_equal_plain_marks(spark):
     rng = random.Random(5)
     rows = [(i, "\n".join(rng.choice(["a", "b b", "c c c", "", "d"]) for _ in range(rng.randint(1, 14)))) for i in range(60)]

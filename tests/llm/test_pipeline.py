@@ -33,4 +33,4 @@ def test_stages_take_empty_documents(spark):
 
 def test_one_query_for_each_operator():
     numbers = sorted(int(q[2:].split("_")[0]) for q in entry.queries() if q.startswith("op") and q[2].isdigit())
-    assert numbers == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in entry.queries()
