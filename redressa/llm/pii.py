@@ -25,6 +25,7 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from string import ascii_letters, digits
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -173,6 +174,7 @@ _DIGIT_WORDS = {
 _VALUE = {w: str(d) for d, ws in _DIGIT_WORDS.items() for w in ws.split()}
 _TIMES = {"double": 2, "triple": 3}
 _DOT_WORDS = ("dot", "punkt", "punto", "point")
+_LONGEST_DOT = max(map(len, _DOT_WORDS))
 _PLUS_WORDS = ("plus",)
 
 
@@ -204,15 +206,24 @@ _HOST = re.compile(rf"{_LABEL}(?:{_ANY_DOT}{_LABEL})*?{_ANY_DOT}(?:{_TLDS})(?![\
 # Where the sign leaves no doubt, any domain whose last label has two letters or more.
 _ANY_HOST = re.compile(rf"{_LABEL}(?:{_ANY_DOT}{_LABEL})*{_ANY_DOT}[A-Za-z]{{2,}}(?![\w-])", re.IGNORECASE)
 _ENDS_HOST = re.compile(rf"(?:{_TLDS}|[a-z]{{2}})", re.IGNORECASE)
-_NAME_BEFORE = re.compile(rf"(?:[A-Za-z0-9._%+-]+(?:{_BRACKET_DOT}|{_PLAIN_DOT}))*[A-Za-z0-9._%+-]+$", re.IGNORECASE)
+_NAME_CHARACTERS = frozenset(ascii_letters + digits + "._%+-")
+# "bob at example dot ru": any short ending, unless it is a word of prose and the disguise is not in capitals.
+_SPOKEN_HOST = re.compile(rf"{_LABEL}(?:\s+dot\s+{_LABEL})*?\s+(dot)\s+([A-Za-z]{{2,3}})(?![\w-])", re.IGNORECASE)
+# Short words of prose.
+_PROSE_ENDS = frozenset(
+    """a ago all am an and any are as at au be big but by can day de der des did die do du each el en end es et far few for
+    get go had has he her him his how if il in is it its la le les lo los man may me men my new no nor not now of off old
+    on one or our out own pas per que red run saw say see set she sie so son sur ten the to too top try two um un una und une
+    up us use was way we who why yes yet you""".split()
+)
 _HOST_DOT = re.compile(_ANY_DOT, re.IGNORECASE)
 _LABEL_ONLY = re.compile(_LABEL)
 _DOT_PART = re.compile(rf"{_BRACKET_DOT}|{_PLAIN_DOT}", re.IGNORECASE)
 _MAY_BE_ADDRESS = re.compile(
-    rf"@\s*{_LABEL}(?:\.{_LABEL})*(?:{_DOT_PART.pattern})|{_BRACKET_AT}|{_BRACKET_DOT}|{_PLAIN_DOT}(?:{_TLDS})\b", re.IGNORECASE
+    rf"@\s*{_LABEL}(?:\.{_LABEL})*(?:{_DOT_PART.pattern})|{_BRACKET_AT}|{_BRACKET_DOT}|{_PLAIN_DOT}(?:{_TLDS})\b|\s+dot\s+[A-Za-z]{{2,3}}\b",
+    re.IGNORECASE,
 )
 _TLD_LABEL = re.compile(rf"(?:{_TLDS})", re.IGNORECASE)
-_NAME_REACH = 160
 # Cheap tests that let texts pass by which cannot hold a match of the patterns above: in a run that
 # is rewritten, each word stands apart from other letters and digits.
 _CUE = re.compile(rf"\b(?:{_any([*_VALUE, *_TIMES, *_DOT_WORDS, *_PLUS_WORDS])})\b", re.IGNORECASE)
@@ -250,9 +261,50 @@ def _host_end(text: str, sign: re.Match) -> int:
     if host and (sure or _has_bracket(host[0])):
         return host.end()
     host = None if sure else _HOST.match(text, sign.end())
+    if not host and not sure:
+        host = _SPOKEN_HOST.match(text, sign.end())
+        capitals = sign[0].isupper() and host and host[1].isupper()
+        if host and not capitals and host[2].lower() in _PROSE_ENDS:
+            host = None
     return host.end() if host else 0
 
 
+def _dot_before(text: str, end: int, low: int) -> int:
+    """Where a disguised dot that ends at ``end`` begins; -1 if there is none."""
+
+    def back(at: int) -> int:
+        while at > low and text[at - 1].isspace():
+            at -= 1
+        return at
+
+    at = back(end)
+    bracket = at > low and text[at - 1] in "])}>"
+    if not bracket and at == end:
+        return -1
+    at = back(at - 1) if bracket else at
+    before = text[max(low, at - _LONGEST_DOT) : at].lower()
+    word = next((w for w in (*_DOT_WORDS, ".") if before.endswith(w) and (bracket or w != ".")), None)
+    if word is None:
+        return -1
+    start = back(at - len(word))
+    if not bracket:
+        return start if start < at - len(word) else -1
+    return back(start - 1) if start > low and text[start - 1] in "[({<" else -1
+
+
+def _name_start(text: str, end: int, low: int) -> int:
+    """Where the name that ends at ``end`` begins, disguised dots inside it included; -1 if there is none."""
+    start, at = -1, end
+    while at >= 0:
+        part = at
+        while part > low and text[part - 1] in _NAME_CHARACTERS:
+            part -= 1
+        if part == at:
+            break
+        start, at = part, _dot_before(text, part, low)
+    return start
+
+
 def _addresses(text: str) -> Iterator[tuple[int, int, str]]:
     done = 0
     for sign in _AT_SIGN.finditer(text):
@@ -261,12 +313,11 @@ def _addresses(text: str) -> Iterator[tuple[int, int, str]]:
         end = _host_end(text, sign)
         if not end:
             continue
-        low = max(done, sign.start() - _NAME_REACH)
-        name = _NAME_BEFORE.search(text[low : sign.start()])
+        name = _name_start(text, sign.start(), done)
         dots = list(_DOT_PART.finditer(text, sign.end(), end))
-        if not name or (sign[0][:1].isspace() and not _has_bracket(sign[0]) and not dots):
+        if name < 0 or (sign[0][:1].isspace() and not _has_bracket(sign[0]) and not dots):
             continue  # "look at host.org" is plain prose
-        for dot in _DOT_PART.finditer(text, low + name.start(), sign.start()):
+        for dot in _DOT_PART.finditer(text, name, sign.start()):
             yield *dot.span(), "."
         if sign[0] != "@":
             yield *sign.span(), "@"

@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -139,3 +141,35 @@ def test_the_cue_is_in_every_run_that_is_rewritten(text):
 def test_addresses_of_any_domain_and_name(text, hidden):
     spans = pii.hidden_spans(text, pii.plain_spans(text))
     assert [text[a:b] for _, a, b in spans] == ([hidden] if hidden else [])
+
+
+@pytest.mark.parametrize("dot", [" dot ", " [dot] ", "(.)", "."])
+def test_long_names_are_read_back_to_their_beginning(dot):
+    name = dot.join(["part"] * 400)
+    text = f"write to {name} at host dot com today"
+    (span,) = pii.hidden_spans(text, [])
+    assert span == ("email", 9, len(text) - len(" today"))
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("bob AT firma DOT it", "bob AT firma DOT it"),
+        ("user at example dot ru", "user at example dot ru"),
+        ("user at mail dot example dot nl", "user at mail dot example dot nl"),
+        ("look at this dot it is red", None),
+        ("aim at each dot in the row", None),
+        ("we met at noon dot and left", None),
+        ("a point at this point it ends", None),
+    ],
+)
+def test_spoken_addresses_of_any_ending(text, found):
+    spans = [text[a:b] for kind, a, b in pii.hidden_spans(text, []) if kind == "email"]
+    assert spans == ([found] if found else [])
+
+
+def test_long_hostile_texts_take_linear_time():
+    for part in ("a at ", "a dot ", "x [dot] ", "a   ", "at dot "):
+        started = time.perf_counter()
+        pii.hidden_spans(part * (400_000 // len(part)), [])
+        assert time.perf_counter() - started < 20
