@@ -71,6 +71,12 @@ class Model:
     writes: np.ndarray  # scripts x languages, bool
 
 
+def _words(text: str) -> list[str]:
+    """Lower-case words; one of number characters only (½, Ⅷ) is none."""
+    found = _WORD.findall(text.lower())
+    return [w for w in found if w.isalpha() or any(map(str.isalpha, w))]
+
+
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points of the words with a mark at both ends; word of each; first letters."""
     joined = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le"), dtype="<u4")
@@ -176,7 +182,7 @@ def _slices(text: str) -> Iterator[list[str]]:
         if end < len(text):
             cut = _WORD.search(text, end - 1)
             end = cut.end() if cut and cut.start() <= end - 1 else end
-        words = _WORD.findall(text[at:end].lower())
+        words = _words(text[at:end])
         if words:
             yield words
         at = end
@@ -188,6 +194,8 @@ def _word_scores(words: list[str], model: Model) -> np.ndarray:
     codes, word, first = _codes(list(distinct))
     scores = np.zeros((len(distinct), len(model.languages)), dtype=np.float32)
     for bucket, owner in _grams(codes, word):
+        if len(owner) == 0:
+            continue  # all words are shorter
         values = model.scores[bucket.astype(np.int64)]
         starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         scores[owner[starts]] += np.add.reduceat(values, starts, axis=0)
@@ -265,7 +273,7 @@ def _label_many(texts: list[str | None], model: Model) -> Iterator[tuple]:
             group, size = [], 0
             yield label_text(text, model)
             continue
-        group.append(_WORD.findall(text.lower()) if text and model.languages else [])
+        group.append(_words(text) if text and model.languages else [])
         size += len(group[-1])
         if size > SLICE // 4:
             yield from settle()

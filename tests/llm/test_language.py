@@ -78,3 +78,11 @@ def test_scripts_narrow_the_candidates(spark):
     assert trained.languages == ["el", "en", "ru"]
     assert language.label_text("good мир добрый день добрый день добрый", trained)[0] == "ru"
     assert trained.writes.sum(axis=1)[language.SCRIPT_NAMES.index("greek")] == 1
+
+
+def test_one_letter_words_and_texts_without_letters(spark):
+    rows = [(i, t, "en") for i, t in enumerate(["x y z", "b", "a b", "d e f g", "h", "i j"] * 4)]
+    rows += [(100, "½½½½", None), (101, "ⅧⅧ 12", None), (102, "a " * 700_000, None), (103, "²³", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.languages(docs, language.learn(docs)).collect()}
+    assert [got[i] for i in (0, 1, 2, 100, 101, 102, 103)] == ["en", "en", "en", "und", "und", "en", "und"]
