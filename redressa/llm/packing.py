@@ -29,11 +29,12 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -47,6 +48,9 @@ SHARD = 16_384
 PIECE = "piece int, start long, length long, ids_crc32 long"
 ADDED = (("<|endoftext|>", 50_256),)
 WEIGHTS = (1.0, 0.001, 0.001)
+# Blanks in a row that the pattern would need too deep a stack for.
+LONG_BLANKS = 20_000
+_BLANKS = regex.compile(rf"\p{{White_Space}}{{{LONG_BLANKS},}}")
 
 
 @lru_cache(maxsize=2)
@@ -58,6 +62,23 @@ def encoder(path: str, added: tuple[tuple[str, int], ...] = ()) -> tiktoken.Enco
     )
 
 
+def token_ids(encoding: tiktoken.Encoding, text: str) -> list[int]:
+    """Ids of a text, special tokens as themselves.
+
+    The pattern makes one part of a run of blanks, less the last one if a character follows; very long runs
+    are cut out the same way here and encoded by themselves.
+    """
+    ids, done = [], 0
+    for run in _BLANKS.finditer(text) if len(text) >= LONG_BLANKS else ():
+        end = run.end()
+        if end < len(text) and not text.startswith(tuple(encoding.special_tokens_set), end):
+            end -= 1
+        ids += encoding.encode(text[done : run.start()], allowed_special="all")
+        ids += encoding._encode_single_piece(text[run.start() : end].encode())
+        done = end
+    return ids + encoding.encode(text[done:], allowed_special="all")
+
+
 def cut(n: int, most: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` ids; only the first may be short."""
     first = n % most or most
@@ -70,11 +91,11 @@ def pieces(
     """``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` of every piece."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = partial(encoder(path, added).encode, allowed_special="all")
+        encoding = encoder(path, added)
         for batch in batches:
             rows = []
             for at, text in enumerate(batch["text"]):
-                ids = np.array([*encode(text or ""), end], dtype="<u4")
+                ids = np.array([*token_ids(encoding, text or ""), end], dtype="<u4")
                 for number, (start, length) in enumerate(cut(len(ids), tokens)):
                     crc = zlib.crc32(ids[start : start + length].tobytes())
                     rows.append((at, number, start, length, crc))

@@ -110,3 +110,16 @@ def test_the_query_packs_added_tokens(spark, tmp_path):
     ids = np.array([*plain_tokenizer().encode(text, add_special_tokens=False).ids, packing.END], dtype="<u4")
     got = QUERIES["op10_best_fit_packing"](spark, str(tmp_path)).collect()
     assert [(r.length, r.ids_crc32) for r in got] == [(len(ids), zlib.crc32(ids.tobytes()))]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        " " * 1_200_000, "\n" * 1_200_000, "a" + " \n" * 600_000 + "b", " " * 30_000 + "x", "x" + "\t" * 30_000 + " y z",
+        "x" + " " * 25_000 + "<|endoftext|>" + " " * 25_000 + "'s", "\u3000" * 30_000 + "\x1c" * 30_000 + "end", " a" * 30_000,
+    ],
+)
+def test_long_runs_of_blanks(text):
+    file = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoding = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), packing.ADDED)
+    assert packing.token_ids(encoding, text) == file.encode(text, add_special_tokens=False).ids
