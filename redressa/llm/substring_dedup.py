@@ -152,20 +152,23 @@ def substring_dedup(docs: DataFrame, min_run: int = MIN_RUN, changed_only: bool
     points of the old text) and ``first_doc_ids`` (where the text was first).
     """
     names = [free_name(docs.columns, c) for c in ("n_removed", "spans", "first_doc_ids")]
+    own_id, own_hash, own_cuts, own_first = (
+        free_name(docs.columns, c) for c in ("_id", "_hash", "_cuts", "_first")
+    )
     found = (
         repeated_spans(docs.select("doc_id", "text"), min_run)
-        .groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+        .groupBy(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash))
         .agg(
-            F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"),
-            F.array_distinct(F.flatten(F.collect_list("first_doc_ids"))).alias("_first"),
+            F.sort_array(F.collect_list(F.struct("start", "end"))).alias(own_cuts),
+            F.array_distinct(F.flatten(F.collect_list("first_doc_ids"))).alias(own_first),
         )
     )
-    same = docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_hash"])
+    same = docs["doc_id"].eqNullSafe(found[own_id]) & (F.xxhash64(docs["text"]) == found[own_hash])
     joined = docs.join(found, same, "inner" if changed_only else "left")
     # Under a name of its own: a lambda would take the new text for "text".
     old = free_name(docs.columns, "_old")
     joined = joined.withColumn(old, docs["text"])
-    cuts, data = F.col("_cuts"), F.col(old).cast("binary")
+    cuts, data = F.col(own_cuts), F.col(old).cast("binary")
 
     def piece(low, high):
         return F.substring(data, low + 1, high - low).cast("string")
@@ -193,5 +196,5 @@ def substring_dedup(docs: DataFrame, min_run: int = MIN_RUN, changed_only: bool
         *[text.alias(c) if c.lower() == "text" else docs[f"`{c}`"] for c in docs.columns],
         removed.alias(names[0]),
         spans.alias(names[1]),
-        F.col("_first").alias(names[2]),
+        F.col(own_first).alias(names[2]),
     )

@@ -90,3 +90,12 @@ def test_the_query_returns_every_document(spark, tmp_path):
     got = {r.doc_id: r for r in QUERIES["op6_substring_dedup"](spark, str(tmp_path)).collect()}
     assert {d: r.n_removed for d, r in got.items()} == {1: 0, 2: 0, 3: len(long), 4: 0, 5: 0}
     assert got[1].text == long and got[3].text == "" and got[4].text is None and got[2].spans == ""
+
+
+def test_clashing_names_of_helper_columns(spark):
+    passage = "a passage that is long enough to be found in two documents, word for word, and then some more of it " * 3
+    rows = [(i, f"{i} before. {passage} after {i}", "p", "q", "r", "s") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _cuts string, _first string, _id string, _hash string")
+    got = sorted(chunked.substring_dedup(docs).collect())
+    assert [tuple(r[2:6]) for r in got] == [("p", "q", "r", "s")] * 3
+    assert got[0].n_removed == 0 and all(r.n_removed > 100 for r in got[1:])
