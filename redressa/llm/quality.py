@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from redressa.llm.common import words_of
 
 BUCKETS = 10_000
-PRIOR = 50_000.0
+PRIOR_SHARE = 0.2
 TRUSTED_SAMPLE = 20_000
-THRESHOLD = -0.15
+THRESHOLD = -0.14
 MIN_WORDS = 50
 MAX_REPEAT_SHARE = 0.5
 SYMBOLS = "[#*$%&|<>]"
@@ -54,20 +54,19 @@ def _buckets(pair: Column, buckets: int) -> tuple[Column, Column]:
 
 def trusted_ids(labels: DataFrame, most: int = TRUSTED_SAMPLE) -> DataFrame:
     """``doc_id`` of at most ``most`` rows labelled as good, by smallest hash."""
-    return (
-        labels.filter("quality = 1 AND doc_id IS NOT NULL")
-        .select("doc_id")
-        .distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(most)
-    )
+    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id")
+    # A hash threshold first, so that the one task that picks does not get ``most`` rows from every other.
+    part = min(1.0, 1.5 * most / max(good.count(), 1))
+    below = F.pmod(F.xxhash64("doc_id", F.lit("trusted")), F.lit(1 << 24)) < int(part * (1 << 24)) + 1
+    return good.filter(below).distinct().orderBy(F.xxhash64("doc_id", F.lit("trusted")), "doc_id").limit(most)
 
 
-def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> list[float]:
+def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior_share: float = PRIOR_SHARE) -> list[float]:
     """``ln(p_trusted / p_corpus)`` of each bucket, counted over all of ``docs``.
 
-    The trusted multinomial starts from ``prior`` n-grams spread like the corpus, so that
-    few trusted texts move it little and many decide.
+    The trusted multinomial is mixed with ``prior_share`` as many n-grams spread like the corpus, so that
+    an n-gram that happens not to be in the trusted texts is no verdict by itself. It is a share, not a number, so
+    that a text is judged alike in a table and in any number of copies of it.
     """
     marked = docs.select("doc_id", words_of(F.col("text")).alias("word")).join(
         F.broadcast(trusted.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left"
@@ -86,6 +85,7 @@ def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: floa
     if not any(good):
         return [0.0] * buckets
     n_all, n_good = sum(everything), sum(good)
+    prior = prior_share * n_good
     return [
         math.log((g * n_all / a + prior) / (n_good + prior)) if a else 0.0
         for g, a in zip(good, everything, strict=True)

@@ -77,7 +77,7 @@ def test_scores_and_verdicts_of_a_whole_table(spark):
             every[g] += 1
             trusted[g] += r.doc_id in good
     a, t = sum(every), sum(trusted)
-    prior = quality.PRIOR
+    prior = quality.PRIOR_SHARE * t
     ratio = [
         math.log(((x + prior * y / a) / (t + prior)) / (y / a)) if y else 0.0
         for x, y in zip(trusted, every, strict=True)
@@ -111,3 +111,23 @@ def test_no_python_in_the_plan(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     plan = quality.quality_rules(docs, labels)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_copies_of_the_table_change_no_verdict(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    copies = spark.range(12).withColumnRenamed("id", "copy")
+    more_docs, more_labels = (
+        t.crossJoin(F.broadcast(copies)).withColumn("doc_id", F.col("doc_id") * 12 + F.col("copy")) for t in (docs, labels)
+    )
+    alone = {r.doc_id: (r.kept, r.score) for r in quality.quality_rules(docs, labels).collect()}
+    many = quality.quality_rules(more_docs, more_labels).collect()
+    assert len(many) == 12 * len(alone)
+    assert all(r.kept == alone[r.doc_id // 12][0] for r in many)
+    assert all(r.score == pytest.approx(alone[r.doc_id // 12][1], abs=1e-5) for r in many)
+
+
+def test_trusted_rows_are_bounded_and_cover_small_tables(spark):
+    labels = spark.range(5000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
+    assert quality.trusted_ids(labels, 3000).count() == 2500
+    chosen = {r.doc_id for r in quality.trusted_ids(labels, 1000).collect()}
+    assert 900 <= len(chosen) <= 1000 and all(i % 2 for i in chosen)
