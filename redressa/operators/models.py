@@ -5,16 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redressa.operators import logistic, metrics, trees
 from redressa.operators.encoding import CATEGORICAL_FEATURES, Encoder, fill_inputs
+from redressa.operators.folds import fold_encoders
 from redressa.operators.logistic import Logistic
 from redressa.operators.profile import NUMERIC_FEATURES
 from redressa.operators.splitting import balanced_weights, class_gate, cv_folds, stratified_split
@@ -196,24 +194,34 @@ def fit_response_model(
 
 
 def cross_validate(
-    train: DataFrame, key: str, penalties: Sequence[float], k: int = 5, seed: int = 42
+    base: DataFrame,
+    key: str,
+    penalties: Sequence[float],
+    k: int = 5,
+    seed: int = 42,
+    categories: Sequence[str] = CATEGORICAL_FEATURES,
+    numbers: Sequence[str] = NUMERIC_FEATURES,
+    **vocabulary,
 ) -> DataFrame:
-    """Mean area under the ROC curve per L2 penalty over hashed folds."""
-    folded = with_class_weights(cv_folds(train, key, k, seed), "label")
-    learner = LogisticRegression(weightCol="weight", standardization=False, maxIter=100)
-    grid = ParamGridBuilder().addGrid(learner.regParam, list(penalties)).build()
-    fitted = CrossValidator(
-        estimator=learner,
-        estimatorParamMaps=grid,
-        evaluator=BinaryClassificationEvaluator(),
-        numFolds=k,
-        foldCol="fold",
-        parallelism=2,
-    ).fit(folded)
-    return train.sparkSession.createDataFrame(
-        [(float(p), float(a)) for p, a in zip(penalties, fitted.avgMetrics, strict=True)],
-        "penalty double, roc_auc double",
-    )
+    """Area under the ROC curve per L2 penalty and hashed fold: penalty, fold, n_features, roc_auc.
+
+    ``base`` are rows of :func:`write_inputs`. Vocabulary, levels, scales and weights of a fold come from the other
+    folds only. A penalty is that of the mean loss, as a share of half the squared coefficients.
+    """
+    text = "kept_words" in base.columns
+    folded = cv_folds(base, key, k, seed)
+    folded = with_terms(folded) if text else folded
+    found = []
+    for fold, encoder in enumerate(fold_encoders(folded, k, categories, numbers, text, **vocabulary)):
+        encoded = materialize(encoder.transform(folded).select(key, "label", "fold", "features"), "fold")
+        train, own = encoded.filter(F.col("fold") != fold), encoded.filter(F.col("fold") == fold)
+        n = train.count()
+        for penalty in penalties:
+            model = fit_logistic(train, c=1.0 / (penalty * n))
+            area = metrics.roc_auc(model.score(own, key)).first()["roc_auc"]
+            found.append((float(penalty), fold, len(encoder.names), area))
+        discard(encoded)
+    return base.sparkSession.createDataFrame(found, "penalty double, fold int, n_features int, roc_auc double")
 
 
 def fit_gbt(train: DataFrame, **options) -> Boosted:

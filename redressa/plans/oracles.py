@@ -956,3 +956,48 @@ GROUP BY node""",
 
 
 ORACLES["gbt_first_tree"] = _first_tree(("n_sentences", "question_count", "exclamation_count", "digit_count"))
+
+
+# --- fits by fold --------------------------------------------------------------
+_EARLIER = """, days AS (
+  SELECT CAST(date_received AS DATE) AS day, count(*) AS n FROM modeling0 GROUP BY ALL),
+running AS (SELECT day, sum(n) OVER (ORDER BY day) AS upto, sum(n) OVER () AS total FROM days),
+last_day AS (SELECT min(day) AS day FROM running WHERE upto >= total * 0.75::DOUBLE),
+folds AS (SELECT unnest([0, 1, 2]) AS fold)"""
+_OTHERS = f"{_EARLIER}, others AS (SELECT f.fold, m.* FROM folds f, {{rows}} m, last_day WHERE CAST(date_received AS DATE) <= last_day.day AND {_fold(3)} <> f.fold)"
+
+ORACLES["fold_vocabulary"] = _sql(
+    _CLEAN,
+    _OTHERS.format(rows="modeling0")
+    + f""", docs AS (SELECT fold || '|' || complaint_id AS complaint_id, consumer_narrative FROM others),
+{VOCABULARY.strip().split("term_counts AS")[0].rstrip().rstrip(",")},
+counts AS (
+  SELECT CAST(split_part(complaint_id, '|', 1) AS INTEGER) AS fold, term, sum(tf) AS cf, count(*) AS df
+  FROM doc_terms GROUP BY ALL),
+sizes AS (SELECT fold, count(*) AS n FROM others GROUP BY fold),
+chosen AS (
+  SELECT fold, term, cf, df, ln((n + 1)::DOUBLE / (df + 1)) + 1.0 AS idf
+  FROM counts JOIN sizes USING (fold) WHERE df >= 5 AND df <= 0.9 * n
+  QUALIFY row_number() OVER (PARTITION BY fold ORDER BY cf DESC, term) <= 6000)
+SELECT fold, term, CAST(row_number() OVER (PARTITION BY fold ORDER BY term) - 1 AS INTEGER) AS term_id,
+  CAST(cf AS BIGINT) AS cf, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM chosen""",
+)
+ORACLES["fold_levels"] = _sql(
+    _CLEAN,
+    _OTHERS.format(rows="modeling0")
+    + f""", filled AS (SELECT fold, {_FILLED} FROM others),
+levels AS (
+  SELECT fold, 'product_group' AS variable, product_group AS level FROM filled
+  UNION ALL SELECT fold, 'submitted_via', submitted_via FROM filled
+  UNION ALL SELECT fold, 'state', state FROM filled)
+SELECT fold, variable, level, count(*) AS n, CASE WHEN count(*) >= 10 THEN level ELSE 'infrequent' END AS encoded
+FROM levels GROUP BY fold, variable, level""",
+)
+ORACLES["fold_scales"] = _sql(
+    BASE,
+    _OTHERS.format(rows="modeling")
+    + f""", sds AS (
+  SELECT fold, {', '.join(f'CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1.0 END::DOUBLE AS {c}' for c in NUMERIC_FEATURES)}
+  FROM others GROUP BY fold)
+SELECT fold, feature, round(sd, 6) AS sd FROM sds UNPIVOT (sd FOR feature IN ({', '.join(NUMERIC_FEATURES)}))""",
+)

@@ -14,6 +14,7 @@ from redressa.functions.lexicons import LEXICONS
 from redressa.operators import (
     cleaning,
     encoding,
+    folds,
     metrics,
     models,
     profile,
@@ -875,15 +876,37 @@ def gbt_first_tree(spark, sf_dir):
     return rounded(boosted.nodes(rows, TREE_FEATURES).drop("tree"))
 
 
+def _earlier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model inputs, narrative included, of the earlier rows."""
+    rows = modeling(spark, sf_dir, "consumer_narrative", *MODEL_COLUMNS)
+    base = models.write_inputs(rows, "any_relief", keep=("date_received",))
+    return splitting.time_split(base, "date_received").filter("part = 'train'")
+
+
 @query("cross_validation")
 def cross_validation(spark, sf_dir):
-    """Penalties compared by folds inside the earlier rows."""
-    rows = modeling(spark, sf_dir, *MODEL_COLUMNS)
-    base = models.write_inputs(rows, "any_relief", text=None, keep=("date_received",))
-    _, train, _ = models.prepare_split(
-        base, split=lambda df: splitting.time_split(df, "date_received")
-    )
-    return models.cross_validate(train, "complaint_id", (0.001, 0.1), k=3)
+    """Penalties compared by folds inside the earlier rows; each fold fits its own vocabulary, levels and scales."""
+    found = models.cross_validate(_earlier(spark, sf_dir), "complaint_id", (0.0001, 0.01), k=3)
+    return found.groupBy("penalty").agg(F.avg("roc_auc").alias("roc_auc"), F.min("n_features").alias("least_features"))
+
+
+@query("fold_vocabulary")
+def fold_vocabulary(spark, sf_dir):
+    """The vocabulary of each fold's train rows, by subtraction."""
+    rows = vectors.with_terms(splitting.cv_folds(_earlier(spark, sf_dir), "complaint_id", 3))
+    return rounded(folds.fold_vocabularies(rows, 3))
+
+
+@query("fold_levels")
+def fold_levels(spark, sf_dir):
+    rows = splitting.cv_folds(_earlier(spark, sf_dir), "complaint_id", 3)
+    return folds.fold_levels(rows, 3, encoding.CATEGORICAL_FEATURES)
+
+
+@query("fold_scales")
+def fold_scales(spark, sf_dir):
+    rows = splitting.cv_folds(_earlier(spark, sf_dir), "complaint_id", 3)
+    return rounded(folds.fold_scales(rows, 3, profile.NUMERIC_FEATURES))
 
 
 @query("response_attribution")

@@ -140,10 +140,24 @@ def test_skipped_target(spark):
     assert record["status"] == "skipped" and record["class_counts"] == {"0": 1, "1": 1}
 
 
-def test_cross_validation_and_trees(spark):
+def test_cross_validation_leaves_the_fold_out(spark):
+    """Words that tell the label only inside one fold are in no other fold's score."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(300):
+        x = rng.normal(size=2)
+        y = int(rng.random() < 1 / (1 + np.exp(-2 * x[0])))
+        words = [rng.choice(["alpha", "beta", "gamma"]) for _ in range(6)] + (["good"] if y and i % 2 else [])
+        rows.append((str(i), y, "ab"[i % 2], *(float(v) for v in x), words))
+    base = spark.createDataFrame(rows, "complaint_id string, label int, c string, a double, b double, kept_words array<string>")
+    found = models.cross_validate(base, "complaint_id", [0.001, 0.1], k=3, categories=["c"], numbers=["a", "b"]).collect()
+    assert [(r["penalty"], r["fold"]) for r in found] == [(p, f) for f in range(3) for p in (0.001, 0.1)]
+    assert all(0.6 < r["roc_auc"] <= 1.0 and r["n_features"] > 4 for r in found)
+    plain = models.cross_validate(base.drop("kept_words"), "complaint_id", [0.1], k=2, categories=["c"], numbers=["a", "b"])
+    assert {r["n_features"] for r in plain.collect()} == {4}
+
+
+def test_trees_on_encoded_rows(spark):
     _, _, df = frame(spark)
-    scores = models.cross_validate(df, "complaint_id", [0.01, 1.0], k=3).collect()
-    assert [r["penalty"] for r in scores] == [0.01, 1.0]
-    assert all(0.5 < r["roc_auc"] <= 1.0 for r in scores)
     model = models.fit_gbt(df, trees=3, depth=2)
     assert model.score(df, "complaint_id").count() == 400
