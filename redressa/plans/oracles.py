@@ -1001,3 +1001,13 @@ ORACLES["fold_scales"] = _sql(
   FROM others GROUP BY fold)
 SELECT fold, feature, round(sd, 6) AS sd FROM sds UNPIVOT (sd FOR feature IN ({', '.join(NUMERIC_FEATURES)}))""",
 )
+
+_ABSORBED = ("product_group", "company", "state", "complaint_month")
+ORACLES["absorbed_means"] = _sql(
+    _CLEAN,
+    " UNION ALL ".join(
+        f"""SELECT '{g}' AS variable, coalesce({g}, 'Missing') AS level, count(*) AS n,
+  0.0::DOUBLE AS relief, 0.0::DOUBLE AS length FROM modeling0 GROUP BY ALL"""
+        for g in _ABSORBED
+    ),
+)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from redressa.functions import fields, text
 from redressa.functions.lexicons import LEXICONS
 from redressa.operators import (
+    absorption,
     cleaning,
     encoding,
     folds,
@@ -956,6 +957,31 @@ def partial_linear(spark, sf_dir):
     return rounded(models.residual_slope(effect_residuals(spark, sf_dir)))
 
 
+ABSORBED = ("product_group", "company", "state", "complaint_month")
+
+
+@query("absorbed_means")
+def absorbed_means(spark, sf_dir):
+    """Means of the residuals of relief and length by level: none, once the levels are absorbed."""
+    rows = modeling(spark, sf_dir, "product", "company", "state", "n_words").select(
+        "complaint_id", *ABSORBED, F.col("any_relief").cast("double").alias("relief"), (F.col("n_words") / 100.0).alias("length")
+    )
+    left = absorption.absorb(materialize(rows, "effects-in"), ("relief", "length"), ABSORBED)
+    means = absorption.group_means(left, ("relief", "length"), ABSORBED)
+    return rounded(means.withColumns({c: F.abs(F.round(c, 5)) for c in ("relief", "length")}))
+
+
+@query("partial_linear_absorbed")
+def partial_linear_absorbed(spark, sf_dir):
+    """The effect of the local shift, product, company, state and month absorbed, the controls cross-fitted."""
+    columns = ("any_relief", "local_shift", *EFFECT_CONTROLS)
+    rows = _shifted(spark, sf_dir, ("any_relief", *ABSORBED, *EFFECT_CONTROLS)).filter("local_shift IS NOT NULL")
+    rows = rows.select("complaint_id", *ABSORBED, *[F.col(c).cast("double").alias(c) for c in columns])
+    left = absorption.absorb(materialize(rows, "effects-in"), columns, ABSORBED)
+    residuals = models.partial_linear(left, "any_relief", "local_shift", EFFECT_CONTROLS, "complaint_id")
+    return rounded(models.residual_slope(residuals))
+
+
 @query("partial_linear_groups")
 def partial_linear_groups(spark, sf_dir):
     return rounded(models.slope_by_group(effect_residuals(spark, sf_dir), "state"))
