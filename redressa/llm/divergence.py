@@ -8,7 +8,7 @@ the partial counts, partly before the exchange, so a word or source with a third
 Each language keeps the terms in at least ``MIN_DOCS`` of its documents. A group (language and source) gives a kept term the share
 ``p = 1 + floor(1e9 (count + 5) / (N + 5 V))``, whole numbers throughout. A pair of sources is as far apart as the
 sum of ``|p - q|`` over all kept terms; a source's own terms are those that it gives more than its language does, by ``p - q``.
-Kept counts are dealt by term into shards of at most about ``CELLS`` cells (terms times sources of the language); a task makes a
+Kept counts are dealt by term into shards of a bounded number of cells (terms times sources of the language); a task makes a
 dense table of one shard, adds up its pairs and picks its highest terms, and Spark merges shards. The work for pairs is that of the
 result: sources times sources times terms, spread over the shards.
 
@@ -40,7 +40,8 @@ SEPARATORS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
 SLICE = 4 << 20
 HELD = 400_000
-CELLS = 1 << 20
+# Cells of a shard: as many as the pairs it returns, within these bounds.
+LEAST_CELLS, CELLS = 1 << 16, 1 << 22
 
 # Workers need not have this package installed: its code travels with the tasks.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -189,7 +190,9 @@ def divergences(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> Da
         .na.fill(0, ["total", "kept"])
         .withColumn("sources", F.count("*").over(Window.partitionBy("lang")))
     )
-    shards = F.greatest(F.lit(1), F.ceil(F.col("kept") * F.col("sources") / CELLS))
+    pairs = F.col("sources") * F.col("sources")
+    cells = F.least(F.greatest(pairs, F.lit(LEAST_CELLS)), F.lit(CELLS))
+    shards = F.greatest(F.lit(1), F.ceil(F.col("kept") * F.col("sources") / cells))
     groups = materialize(groups.withColumn("shards", shards.cast("long")), "groups")
     discard(counts, vocabulary)
     dealt = kept.join(groups.select("lang", "shards").distinct(), "lang")
