@@ -96,6 +96,42 @@ LEXICONS = {
     "anger_term_count": ANGER,
 }
 
+# Words that join clauses and order a narrative; counted as whole words.
+CONNECTIVES = (
+    "additionally",
+    "afterwards",
+    "also",
+    "although",
+    "because",
+    "but",
+    "consequently",
+    "finally",
+    "first",
+    "firstly",
+    "furthermore",
+    "hence",
+    "however",
+    "if",
+    "instead",
+    "lastly",
+    "meanwhile",
+    "moreover",
+    "nevertheless",
+    "next",
+    "otherwise",
+    "second",
+    "secondly",
+    "since",
+    "so",
+    "subsequently",
+    "then",
+    "therefore",
+    "though",
+    "thus",
+    "unless",
+    "while",
+)
+
 # English stop words: Spark's list, without the entries (short words, words with
 # an apostrophe) that a topic word can never equal.
 ENGLISH_STOP_WORDS = tuple(

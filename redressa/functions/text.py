@@ -11,7 +11,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redressa.functions.lexicons import LEXICONS
+from redressa.functions.lexicons import CONNECTIVES, LEXICONS
 
 # Patterns that define the measures. Digits are Unicode digits.
 WORD_PATTERN = r"[A-Za-z]+(?:'[A-Za-z]+)?|\p{Nd}+(?:\.\p{Nd}+)?"
@@ -19,6 +19,8 @@ SENTENCE_END_PATTERN = r"[.!?]+"
 MONEY_PATTERN = r"\{\$[0-9,]+(?:\.[0-9]+)?\}|\$[0-9,]+"
 REDACTION_PATTERN = r"(?<![\p{L}\p{N}_])X{2,}(?![\p{L}\p{N}_])"
 TOPIC_WORD_PATTERN = r"(?<![\p{L}\p{N}_])[a-z]{3,}(?![\p{L}\p{N}_])"
+# The first character of a line that is not blank.
+PARAGRAPH_PATTERN = r"(?:^|[\r\n])[ \t]*+[^ \t\r\n]"
 
 # Every character that counts as blank at the ends of a text.
 BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
@@ -40,6 +42,8 @@ CHARACTER_MEASURES = (
     "exclamation_count",
 )
 TEXT_MEASURES = SHAPE_MEASURES + CHARACTER_MEASURES + tuple(LEXICONS)
+# Order of the narrative, for the expression index; no model input.
+STRUCTURE_MEASURES = ("connective_count", "n_paragraphs")
 
 
 def strip_blanks(text: Column) -> Column:
@@ -84,7 +88,7 @@ def with_text_measures(
     text: str = "consumer_narrative",
     lexicons: Mapping[str, Iterable[str]] = LEXICONS,
 ) -> DataFrame:
-    """Append the shape, character and lexicon measures of column ``text``.
+    """Append the shape, character, lexicon and structure measures of column ``text``.
 
     The lower-cased text and its words are computed once in narrow steps of
     their own; unused measures are pruned by the optimizer.
@@ -123,6 +127,8 @@ def with_text_measures(
     }
     for name, terms in lexicons.items():
         measures[name] = count_terms(low, terms)
+    measures["connective_count"] = F.size(F.filter(words, lambda w: w.isin(*CONNECTIVES)))
+    measures["n_paragraphs"] = count_matches(raw, PARAGRAPH_PATTERN)
     return staged.select(*kept, *[c.alias(n) for n, c in measures.items()])
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from redressa.functions import fields
-from redressa.functions.text import TEXT_MEASURES, with_text_measures
+from redressa.functions.text import STRUCTURE_MEASURES, TEXT_MEASURES, with_text_measures
 from redressa.sources.schema import ALIASES, DEFINITIONS
 
 DERIVED_COLUMNS = (
@@ -115,26 +115,32 @@ def _parsed_dates(df: DataFrame) -> DataFrame:
 
 
 def clean_complaints(
-    df: DataFrame, cutoff: str = fields.DEFAULT_CUTOFF, order: str = "ingest_seq"
+    df: DataFrame,
+    cutoff: str = fields.DEFAULT_CUTOFF,
+    order: str = "ingest_seq",
+    measures: Sequence[str] = TEXT_MEASURES,
 ) -> DataFrame:
     """Cleaned complaints: 19 canonical, 15 derived and 19 text columns.
 
+    The expression index also needs ``STRUCTURE_MEASURES``; name them in ``measures``.
+
     The text is measured before the dedup: a narrow row of numbers is then
     shuffled, and the narrative only when a later step reads it.
     """
+    measured = {*TEXT_MEASURES, *STRUCTURE_MEASURES}
     dated = _parsed_dates(df).withColumn(
         "consumer_narrative", F.coalesce("consumer_narrative", F.lit(""))
     )
     if "has_narrative" not in df.columns:
         dated = dated.withColumn("has_narrative", fields.has_text(F.col("consumer_narrative")))
-    if TEXT_MEASURES[0] not in df.columns:
-        dated = with_text_measures(dated)
+    if not set(measures) <= set(df.columns):
+        dated = with_text_measures(dated.drop(*measured))
     kept = first_per_key(dated, "complaint_id", order).drop(order)
     derived = with_derived_fields(kept, cutoff)
     canonical = [c for c in ALIASES]
-    middle = [c for c in derived.columns if c not in canonical and c not in TEXT_MEASURES]
+    middle = [c for c in derived.columns if c not in canonical and c not in measured]
     return derived.select(
-        *canonical, *middle, *[F.col(m).alias(m, metadata=_note(m)) for m in TEXT_MEASURES]
+        *canonical, *middle, *[F.col(m).alias(m, metadata=_note(m)) for m in measures]
     )
 
 

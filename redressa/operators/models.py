@@ -333,6 +333,102 @@ def residual_slope(residuals: DataFrame) -> DataFrame:
     )
 
 
+def clustered_slopes(
+    residuals: DataFrame, dimensions: Sequence[str], cluster: str, min_clusters: int = 5
+) -> DataFrame:
+    """Slope and cluster-robust error for each level of each dimension.
+
+    Columns dimension, level, n, clusters, slope, std_error. Only sums by (level, cluster) are
+    shuffled: a cluster's score sum((t - T)(y - Y - b(t - T))) is linear in its sums, so the
+    squares' total over the clusters is made of the sums' products and needs neither the rows again nor
+    a group in one task. The error is null below ``min_clusters`` clusters; a null cluster is
+    one of them.
+    """
+    y, t = F.col("outcome_residual"), F.col("treatment_residual")
+    levels = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("level")) for d in dimensions])
+    rows = residuals.select(F.col(cluster).alias("_cluster"), y.alias("y"), t.alias("t"), F.inline(levels))
+    names = ("ty", "t", "y", "c", "tt")
+    sums = (
+        rows.filter("level IS NOT NULL")
+        .groupBy("dimension", "level", "_cluster")
+        .agg(
+            F.sum(F.col("t") * F.col("y")).alias("ty"),
+            F.sum("t").alias("t"),
+            F.sum("y").alias("y"),
+            F.count(F.lit(1)).cast("double").alias("c"),
+            F.sum(F.col("t") * F.col("t")).alias("tt"),
+        )
+    )
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    grouped = sums.groupBy("dimension", "level").agg(
+        F.count(F.lit(1)).alias("clusters"),
+        *[F.sum(a).alias(f"s_{a}") for a in names],
+        *[F.sum(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for a, b in pairs],
+    )
+    n = F.col("s_c")
+    mean_t, mean_y = F.col("s_t") / n, F.col("s_y") / n
+    moments = grouped.select(
+        "*",
+        mean_t.alias("mt"),
+        mean_y.alias("my"),
+        (F.col("s_tt") - n * mean_t * mean_t).alias("spread"),
+        (F.col("s_ty") - n * mean_t * mean_y).alias("joint"),
+    ).withColumn("slope", F.when(F.col("spread") > 1e-12 * F.col("s_tt"), F.col("joint") / F.col("spread")))
+    mt, my, slope = F.col("mt"), F.col("my"), F.col("slope")
+    parts = {
+        "ty": F.lit(1.0),
+        "t": slope * mt * 2 - my,
+        "y": -mt,
+        "c": mt * my - slope * mt * mt,
+        "tt": -slope,
+    }
+    squares = sum(
+        (parts[a] * parts[b] * F.col(f"p_{a}_{b}") * (1 if a == b else 2) for a, b in pairs), F.lit(0.0)
+    )
+    clusters = F.col("clusters")
+    error = F.sqrt(F.greatest(squares, F.lit(0.0)) * clusters / (clusters - 1)) / F.col("spread")
+    return moments.select(
+        "dimension",
+        "level",
+        n.cast("long").alias("n"),
+        "clusters",
+        "slope",
+        F.when(clusters >= min_clusters, error).alias("std_error"),
+    )
+
+
+def shrunk_slopes(slopes: DataFrame) -> DataFrame:
+    """``slopes`` with each drawn to its dimension's mean, as far as its error is large.
+
+    The variance between the levels (``tau2``) is the moment estimate from the weighted
+    squares around the mean; levels with a positive error decide it. A level without one is given
+    the mean, and ``tau`` as its error. Columns tau2, shrunk_slope, shrunk_error.
+    """
+    v, b = F.col("std_error") * F.col("std_error"), F.col("slope")
+    w = F.when(v > 0, 1 / v)
+    totals = slopes.groupBy("dimension").agg(
+        F.count(w).alias("k"),
+        F.sum(w).alias("w"),
+        F.sum(w * w).alias("ww"),
+        F.sum(w * b).alias("wb"),
+        F.sum(w * b * b).alias("wbb"),
+    )
+    centre = F.col("wb") / F.col("w")
+    excess = F.col("wbb") - centre * F.col("wb") - (F.col("k") - 1)
+    tau2 = F.try_divide(excess, F.col("w") - F.col("ww") / F.col("w"))
+    totals = totals.select(
+        "dimension", centre.alias("_centre"), F.greatest(F.coalesce(tau2, F.lit(0.0)), F.lit(0.0)).alias("tau2")
+    )
+    kept = F.col("tau2") / (F.col("tau2") + v)
+    # One row a dimension.
+    return slopes.join(F.broadcast(totals), "dimension").select(
+        *slopes.columns,
+        "tau2",
+        F.when(w.isNull(), F.col("_centre")).otherwise(F.col("_centre") + kept * (b - F.col("_centre"))).alias("shrunk_slope"),
+        F.sqrt(F.when(w.isNull(), F.col("tau2")).otherwise(kept * v)).alias("shrunk_error"),
+    )
+
+
 def slope_by_group(residuals: DataFrame, by: str) -> DataFrame:
     """Slope of the outcome residual on the treatment residual, per group."""
     y, t = F.col("outcome_residual"), F.col("treatment_residual")

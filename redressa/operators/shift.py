@@ -17,8 +17,16 @@ DENSITIES = {
     "legal_density": "legal_term_count",
     "evidence_density": "evidence_term_count",
     "template_density": "template_phrase_count",
+    "connective_density": "connective_count",
 }
-INDEX_DIMENSIONS = (*DENSITIES, "avg_sentence_len")
+# Dimension of the index -> the measures that make it up.
+INDEX_GROUPS = {
+    "legal": ("legal_density",),
+    "evidence": ("evidence_density",),
+    "structure": ("avg_sentence_len", "connective_density", "n_paragraphs"),
+    "template": ("template_density",),
+}
+INDEX_DIMENSIONS = tuple(m for group in INDEX_GROUPS.values() for m in group)
 SHIFT_MEASURES = {
     "words": "n_words",
     "legal_terms": "legal_term_count",
@@ -153,12 +161,20 @@ def with_densities(df: DataFrame) -> DataFrame:
 
 
 def expression_index(
-    df: DataFrame, dims: Sequence[str] = INDEX_DIMENSIONS, output: str = "expression_index"
+    df: DataFrame,
+    groups: Mapping[str, Sequence[str]] = INDEX_GROUPS,
+    output: str = "expression_index",
 ) -> DataFrame:
-    """Append the mean of the standardized dimensions; a constant one adds 0."""
+    """Append the mean over the dimensions, each the mean of its standardized measures.
+
+    A constant measure adds 0.
+    """
+    dims = [m for group in groups.values() for m in group]
     missing = [d for d in dims if d in DENSITIES and d not in df.columns]
     measured, scores = _with_standardized(with_densities(df) if missing else df, dims)
-    index = measured.withColumn(output, sum(scores, F.lit(0.0)) / len(dims))
+    score = dict(zip(dims, scores, strict=True))
+    means = [sum((score[m] for m in group), F.lit(0.0)) / len(group) for group in groups.values()]
+    index = measured.withColumn(output, sum(means, F.lit(0.0)) / len(groups))
     return index.drop("_moments", *missing)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from redressa.functions.fields import NA_TOKENS
-from redressa.functions.lexicons import DOMAIN_STOP_WORDS, ENGLISH_STOP_WORDS, LEXICONS
+from redressa.functions.lexicons import CONNECTIVES, DOMAIN_STOP_WORDS, ENGLISH_STOP_WORDS, LEXICONS
 from redressa.functions.text import BLANKS, CHARACTER_MEASURES, SHAPE_MEASURES
 from redressa.operators.profile import NUMERIC_FEATURES, PERIOD_MEASURES
 
@@ -175,7 +175,10 @@ def _measures(source: str, name: str) -> str:
       lambda w: regexp_full_match(w, 'X{{2,}}'))) AS INTEGER) AS redaction_count,
     CAST(length(t) - length(replace(t, '?', '')) AS INTEGER) AS question_count,
     CAST(length(t) - length(replace(t, '!', '')) AS INTEGER) AS exclamation_count,
-    {lexicon}
+    {lexicon},
+    CAST(len(list_filter(words, lambda w: w IN ({_quoted(CONNECTIVES)}))) AS INTEGER) AS connective_count,
+    CAST(len(list_filter(string_split(replace(t, chr(13), chr(10)), chr(10)),
+      lambda line: trim(line, ' ' || chr(9)) <> '')) AS INTEGER) AS n_paragraphs
   FROM {name}_c)
 """
 
@@ -392,6 +395,7 @@ ORACLES["text_shape"] = _sql(
 ORACLES["text_chars"] = _sql(
     _DOC_MEASURES, f"SELECT complaint_id, {_listed(CHARACTER_MEASURES, _RATIOS)} FROM m"
 )
+ORACLES["text_structure"] = _sql(_DOC_MEASURES, "SELECT complaint_id, connective_count, n_paragraphs FROM m")
 ORACLES["lexicon_counts"] = _sql(
     _DOC_MEASURES, f"SELECT complaint_id, {', '.join(LEXICONS)} FROM m"
 )
@@ -645,6 +649,22 @@ ORACLES["calibration"] = _sql(
 FROM scored GROUP BY 1""",
 )
 
+# The best rising rates: at a score, the largest over its stretches' starts of the least mean up to an end.
+_RISING = """, cumulated AS (
+  SELECT score, count(*) AS n, sum(label) AS pos, sum(count(*)) OVER w AS n_upto, sum(sum(label)) OVER w AS pos_upto
+  FROM {rows} GROUP BY score WINDOW w AS (ORDER BY score)),
+stretches AS (
+  SELECT a.score AS start, b.score AS score, min((b.pos_upto - a.pos_upto + a.pos)::DOUBLE
+    / (b.n_upto - a.n_upto + a.n)) OVER (PARTITION BY a.score ORDER BY b.score DESC) AS least
+  FROM cumulated a JOIN cumulated b ON a.score <= b.score),
+rising AS (SELECT score, max(least) AS rate FROM stretches GROUP BY score)"""
+ORACLES["isotonic_blocks"] = _sql(
+    _SCORED + _RISING.format(rows="scored"),
+    """SELECT min(score) AS first, max(score) AS last, CAST(sum(n) AS BIGINT) AS n,
+  CAST(sum(pos) AS BIGINT) AS positives, rate
+FROM rising JOIN cumulated USING (score) GROUP BY rate""",
+)
+
 # --- shift -----------------------------------------------------------------
 ORACLES["yearly_counts"] = _sql(
     _CLEAN, "SELECT complaint_year, count(*) AS n FROM modeling0 GROUP BY complaint_year"
@@ -704,16 +724,18 @@ ORACLES["normalize_text"] = _sql(
     '[' || {_BLANKS} || ']+', ' ', 'g'), {_BLANKS}) AS normalized
 FROM docs""",
 )
-_DIMS = ("legal_density", "evidence_density", "template_density", "avg_sentence_len")
+_DIMS = ("legal_density", "evidence_density", "avg_sentence_len", "connective_density", "n_paragraphs", "template_density")
+_PARTS = ("", "", " / 3", " / 3", " / 3", "")
 _INDEX = f"""{BASE}, dense AS (
   SELECT *, legal_term_count::DOUBLE / greatest(n_words, 1) AS legal_density,
     evidence_term_count::DOUBLE / greatest(n_words, 1) AS evidence_density,
-    template_phrase_count::DOUBLE / greatest(n_words, 1) AS template_density FROM modeling),
+    template_phrase_count::DOUBLE / greatest(n_words, 1) AS template_density,
+    connective_count::DOUBLE / greatest(n_words, 1) AS connective_density FROM modeling),
 stats AS (
   SELECT {', '.join(f'avg({d}) AS {d}_m, stddev_pop({d}) AS {d}_s' for d in _DIMS)} FROM dense),
 indexed AS (
   SELECT dense.*, ({' + '.join(
-      f'CASE WHEN {d}_s > 0 THEN ({d} - {d}_m) / {d}_s ELSE 0.0 END' for d in _DIMS)}) / 4.0
+      f'CASE WHEN {d}_s > 0 THEN ({d} - {d}_m) / {d}_s{p} ELSE 0.0 END' for d, p in zip(_DIMS, _PARTS, strict=True))}) / 4.0
     AS expression_index
   FROM dense, stats)"""
 ORACLES["expression_index"] = _sql(
@@ -799,7 +821,7 @@ FROM (SELECT CASE WHEN stddev_pop({f}) > 0 THEN corr({f}, any_relief) ELSE 0.0 E
 _CONTROLS = ("n_words", "n_sentences", "lexical_diversity", "uppercase_ratio")
 
 
-def _residuals() -> str:
+def _residuals(kept: str = "product_group, state") -> str:
     """Outcome and treatment after the controls, cross-fitted over two folds.
 
     Each control in turn is taken out of what is left, with sums over the fold's
@@ -808,11 +830,11 @@ def _residuals() -> str:
     names = ["y", "t", *(f"x{i}" for i in range(len(_CONTROLS)))]
     centred = ", ".join(f"{n} - avg({n}) FILTER (train) OVER w AS {n}" for n in names)
     steps = f""", folded AS (
-  SELECT product_group, state, {_fold(2)} AS fold, CAST(any_relief AS DOUBLE) AS y, local_shift AS t,
+  SELECT {kept}, {_fold(2)} AS fold, CAST(any_relief AS DOUBLE) AS y, local_shift AS t,
     {', '.join(f'{c}::DOUBLE AS x{i}' for i, c in enumerate(_CONTROLS))}
   FROM shifted WHERE local_shift IS NOT NULL),
 roles AS (SELECT f.*, part, fold <> part AS train FROM folded f, (VALUES (0), (1)) parts(part)),
-step0 AS (SELECT product_group, state, part, train, {centred} FROM roles WINDOW w AS (PARTITION BY part))"""
+step0 AS (SELECT {kept}, part, train, {centred} FROM roles WINDOW w AS (PARTITION BY part))"""
     for i in range(len(_CONTROLS)):
         left = ["y", "t", *(f"x{j}" for j in range(i + 1, len(_CONTROLS)))]
         taken = ", ".join(
@@ -821,9 +843,9 @@ step0 AS (SELECT product_group, state, part, train, {centred} FROM roles WINDOW
             for n in left
         )
         steps += f""",
-step{i + 1} AS (SELECT product_group, state, part, train, {taken} FROM step{i} WINDOW w AS (PARTITION BY part))"""
+step{i + 1} AS (SELECT {kept}, part, train, {taken} FROM step{i} WINDOW w AS (PARTITION BY part))"""
     return steps + f""",
-residuals AS (SELECT product_group, state, y AS ry, t AS rt FROM step{len(_CONTROLS)} WHERE NOT train)"""
+residuals AS (SELECT {kept}, y AS ry, t AS rt FROM step{len(_CONTROLS)} WHERE NOT train)"""
 
 
 _RESIDUALS = _INDEX + _PAIRS + _SHIFTED + _residuals()
@@ -842,6 +864,37 @@ for _name, _by in (("slope_by_group", "product_group"), ("partial_linear_groups"
   CASE WHEN var_pop(rt) > 0 THEN round(covar_pop(rt, ry) / var_pop(rt), 6) END AS slope
 FROM residuals WHERE {_by} IS NOT NULL GROUP BY {_by}""",
     )
+ORACLES["effect_heterogeneity"] = _sql(
+    _INDEX + _PAIRS + _SHIFTED + _residuals("product_group, company, state, complaint_month"),
+    ", long AS ("
+    + " UNION ALL ".join(
+        f"""SELECT '{d}' AS dimension, {d} AS level, complaint_month AS month, ry, rt
+  FROM residuals WHERE {d} IS NOT NULL"""
+        for d in ("product_group", "company", "state")
+    )
+    + """),
+centred AS (
+  SELECT *, rt - avg(rt) OVER w AS t, ry - avg(ry) OVER w AS y FROM long WINDOW w AS (PARTITION BY dimension, level)),
+fits AS (
+  SELECT dimension, level, count(*) AS n, count(DISTINCT month) AS clusters, sum(t * t) AS tt,
+    CASE WHEN sum(t * t) > 1e-12 * sum(rt * rt) THEN sum(t * y) / sum(t * t) END AS slope
+  FROM centred GROUP BY ALL),
+months AS (
+  SELECT dimension, level, month, sum(t * (y - slope * t)) AS s FROM centred JOIN fits USING (dimension, level) GROUP BY ALL),
+errors AS (
+  SELECT f.*, CASE WHEN clusters >= 5 THEN sqrt(ss * clusters / (clusters - 1)) / tt END AS std_error
+  FROM fits f JOIN (SELECT dimension, level, sum(s * s) AS ss FROM months GROUP BY ALL) USING (dimension, level)),
+weighed AS (SELECT *, CASE WHEN std_error > 0 THEN 1 / (std_error * std_error) END AS w FROM errors),
+centres AS (SELECT dimension, sum(w * slope) / sum(w) AS centre FROM weighed GROUP BY dimension),
+totals AS (
+  SELECT dimension, any_value(centre) AS centre, greatest(0.0, coalesce((sum(w * (slope - centre) ** 2) - (count(w) - 1))
+    / nullif(sum(w) - sum(w * w) / sum(w), 0), 0.0)) AS tau2
+  FROM weighed JOIN centres USING (dimension) GROUP BY dimension)
+SELECT dimension, level, n, clusters, round(slope, 6) AS slope, round(std_error, 6) AS std_error, round(tau2, 6) AS tau2,
+  round(CASE WHEN w IS NULL THEN centre ELSE (slope * tau2 + centre / w) / (tau2 + 1 / w) END, 6) AS shrunk_slope,
+  round(sqrt(CASE WHEN w IS NULL THEN tau2 ELSE tau2 / w / (tau2 + 1 / w) END), 6) AS shrunk_error
+FROM weighed JOIN totals USING (dimension)""",
+)
 ORACLES["top_features_given"] = _sql(
     BASE,
     ", found AS ("
@@ -878,9 +931,7 @@ UNION ALL SELECT unnest([{_quoted(NUMERIC_FEATURES)}, '(intercept)']), TRUE""",
 )
 
 _MARGIN = "1 / (1 + exp(-(a * x + b)))"
-ORACLES["logistic_scores"] = _sql(
-    BASE,
-    f""", sizes AS (SELECT any_relief, count(*) AS of_class, sum(count(*)) OVER () AS total
+_ONE_NUMBER = f"""{BASE}, sizes AS (SELECT any_relief, count(*) AS of_class, sum(count(*)) OVER () AS total
   FROM modeling GROUP BY any_relief),
 inputs AS (
   SELECT complaint_id, any_relief AS y, n_words / 100.0::DOUBLE AS x, total::DOUBLE / (2 * of_class) AS w
@@ -893,10 +944,26 @@ newton AS (
   FROM (SELECT step, a, b, a + sum(w * (p - y) * x) AS ga, b + sum(w * (p - y)) AS gb,
       1 + sum(w * p * (1 - p) * x * x) AS haa, sum(w * p * (1 - p) * x) AS hab, 1 + sum(w * p * (1 - p)) AS hbb
     FROM (SELECT step, a, b, w, y, x, {_MARGIN} AS p FROM newton, inputs) GROUP BY step, a, b)
-  WHERE step < 30)
-SELECT complaint_id, y AS label, round({_MARGIN}, 6) AS score, round(a, 6) AS coef, round(b, 6) AS intercept
+  WHERE step < 30)"""
+ORACLES["logistic_scores"] = _sql(
+    _ONE_NUMBER,
+    f"""SELECT complaint_id, y AS label, round({_MARGIN}, 6) AS score, round(a, 6) AS coef, round(b, 6) AS intercept
 FROM inputs, newton WHERE step = 30""",
 ).replace("WITH", "WITH RECURSIVE", 1)
+ORACLES["calibrated_logistic"] = _sql(
+    f"""{_ONE_NUMBER}, scored AS (
+  SELECT {_fold(2)} AS fold, y AS label, {_MARGIN} AS score FROM inputs, newton WHERE step = 30),
+halves AS (SELECT * FROM scored WHERE fold = 0){_RISING.format(rows='halves')},
+calibrated AS (
+  SELECT label, s.score, coalesce(rate, (SELECT min(rate) FROM rising)) AS rate
+  FROM scored s ASOF LEFT JOIN rising r ON s.score >= r.score WHERE fold = 1)""",
+    "\nUNION ALL ".join(
+        f"""SELECT '{stage}' AS stage, CAST(least(floor({value} * 10), 9) AS INTEGER) AS bin, count(*) AS n,
+  round(avg({value}), 6) AS mean_score, round(avg(label::DOUBLE), 6) AS positive_rate
+FROM calibrated GROUP BY ALL"""
+        for stage, value in (("before", "score"), ("after", "rate"))
+    ),
+).replace("WITH", "WITH RECURSIVE", 1)
 
 
 def _first_tree(features: Iterable[str], rate: float = 0.3) -> str:

@@ -16,6 +16,7 @@ from redressa.operators import (
     cleaning,
     encoding,
     folds,
+    isotonic,
     metrics,
     models,
     profile,
@@ -50,7 +51,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def cleaned(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     rows = complaint_rows(spark, sf_dir, {"date_received", "company_response", *columns})
-    return cleaning.clean_complaints(rows, CUTOFF)
+    measures = (*text.TEXT_MEASURES, *text.STRUCTURE_MEASURES)
+    return cleaning.clean_complaints(rows, CUTOFF, measures=measures)
 
 
 def modeling(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -403,6 +405,11 @@ def text_chars(spark, sf_dir):
     return rounded(measured(spark, sf_dir, text.CHARACTER_MEASURES))
 
 
+@query("text_structure")
+def text_structure(spark, sf_dir):
+    return measured(spark, sf_dir, text.STRUCTURE_MEASURES)
+
+
 @query("lexicon_counts")
 def lexicon_counts(spark, sf_dir):
     return measured(spark, sf_dir, list(LEXICONS))
@@ -701,14 +708,18 @@ def response_gradient(spark, sf_dir):
     return fitted.gradient().select("feature", flat.alias("settled"))
 
 
-@query("logistic_scores")
-def logistic_scores(spark, sf_dir):
-    """The logistic solver on one number, which SQL can solve too."""
+def _one_number_model(spark: SparkSession, sf_dir: str):
     rows = modeling(spark, sf_dir, "n_words").select(
         "complaint_id", F.col("any_relief").alias("label"), (F.col("n_words") / 100.0).alias("x")
     )
     rows = materialize(VectorAssembler(inputCols=["x"], outputCol="features").transform(rows), "one-number")
-    fitted = models.fit_logistic(rows, tol=1e-9)
+    return rows, models.fit_logistic(rows, tol=1e-9)
+
+
+@query("logistic_scores")
+def logistic_scores(spark, sf_dir):
+    """The logistic solver on one number, which SQL can solve too."""
+    rows, fitted = _one_number_model(spark, sf_dir)
     scored = fitted.score(rows, "complaint_id").withColumns(
         {"coef": F.lit(float(fitted.coefficients[0])), "intercept": F.lit(fitted.intercept)}
     )
@@ -803,6 +814,35 @@ def calibration(spark, sf_dir):
     return rounded(metrics.calibration(_scored(spark, sf_dir)))
 
 
+@query("isotonic_blocks")
+def isotonic_blocks(spark, sf_dir):
+    """Blocks of equal observed rate of the lexicon score."""
+    fitted = isotonic.fit(_scored(spark, sf_dir))
+    return fitted.blocks.select("first", "last", "n", "positives", "rate")
+
+
+def _calibrated(scored: DataFrame, key: str = "complaint_id") -> DataFrame:
+    """Reliability of a score on one half of the rows, before and after calibration on the other."""
+    halves = materialize(splitting.cv_folds(scored.select(key, "label", "score"), key, 2), "scores")
+    fitted = isotonic.fit(halves.filter("fold = 0"))
+    return isotonic.reliability(fitted.apply(halves.filter("fold = 1")))
+
+
+@query("calibrated_logistic")
+def calibrated_logistic(spark, sf_dir):
+    """Reliability of the logistic solver on one number, which SQL can solve too."""
+    rows, fitted = _one_number_model(spark, sf_dir)
+    return rounded(_calibrated(fitted.score(rows, "complaint_id")))
+
+
+@query("response_calibration")
+def response_calibration(spark, sf_dir):
+    """Reliability of the response model's and the trees' scores on their test rows."""
+    scores = {"logistic": response_model(spark, sf_dir).scored, "trees": gbt_scores(spark, sf_dir)}
+    tables = [_calibrated(s).withColumn("model", F.lit(name)) for name, s in scores.items()]
+    return rounded(tables[0].unionByName(tables[1]))
+
+
 @query("slope_by_group")
 def slope_by_group(spark, sf_dir):
     return rounded(models.slope_by_group(effect_residuals(spark, sf_dir), "product_group"))
@@ -844,8 +884,7 @@ def with_train_topics(labelled: DataFrame) -> DataFrame:
 TOPIC_FIT = {"iters": 20, "tol": 1e-3}
 
 
-@query("gbt_model")
-def gbt_model(spark, sf_dir):
+def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees on text vector, structured fields, fitted topic and local shift; trained on the past."""
     rows = modeling(spark, sf_dir, "consumer_narrative", *MODEL_COLUMNS, "company")
     shifted = _shifted(spark, sf_dir).select("complaint_id", "local_shift")
@@ -859,7 +898,12 @@ def gbt_model(spark, sf_dir):
         split=lambda df: splitting.time_split(df, "date_received"),
         derive=with_train_topics,
     )
-    scored = materialize(models.fit_gbt(train).score(test, "complaint_id"), "gbt")
+    return materialize(models.fit_gbt(train).score(test, "complaint_id"), "gbt")
+
+
+@query("gbt_model")
+def gbt_model(spark, sf_dir):
+    scored = gbt_scores(spark, sf_dir)
     ranked = metrics.rank_metrics(scored).select(F.struct("*")).scalar()
     return metrics.binary_metrics(scored).withColumn("roc_auc", ranked["roc_auc"])
 
@@ -941,9 +985,9 @@ def _shifted(spark: SparkSession, sf_dir: str, keep: Sequence[str] = ()) -> Data
     return shift.local_shift(_indexed(spark, sf_dir, "product", *MATCHED), keep=keep)
 
 
-def effect_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def effect_residuals(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     """Residuals of relief and local shift after the controls."""
-    rows = _shifted(spark, sf_dir, ("product_group", "state", "any_relief", *EFFECT_CONTROLS))
+    rows = _shifted(spark, sf_dir, ("product_group", "state", "any_relief", *EFFECT_CONTROLS, *keep))
     rows = rows.filter("local_shift IS NOT NULL").withColumn(
         "any_relief", F.col("any_relief").cast("double")
     )
@@ -982,6 +1026,14 @@ def partial_linear_absorbed(spark, sf_dir):
     return rounded(models.residual_slope(residuals))
 
 
+@query("effect_heterogeneity")
+def effect_heterogeneity(spark, sf_dir):
+    """The effect by product, company and state, errors clustered by month, drawn to each dimension's mean."""
+    residuals = effect_residuals(spark, sf_dir, "company", "complaint_month")
+    slopes = models.clustered_slopes(residuals, ("product_group", "company", "state"), "complaint_month")
+    return rounded(models.shrunk_slopes(materialize(slopes, "slopes")))
+
+
 @query("partial_linear_groups")
 def partial_linear_groups(spark, sf_dir):
     return rounded(models.slope_by_group(effect_residuals(spark, sf_dir), "state"))

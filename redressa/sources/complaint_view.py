@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redressa.functions.fields import has_text
-from redressa.functions.text import TEXT_MEASURES, with_text_measures
+from redressa.functions.text import STRUCTURE_MEASURES, TEXT_MEASURES, with_text_measures
 from redressa.session import configure, spread
 from redressa.sources.schema import CANONICAL_COLUMNS
 
@@ -134,7 +134,7 @@ def complaint_rows(
     configure(spark)
     wanted = set(columns)
     base = narratives(spark, sf_dir, replay)
-    if wanted & {"consumer_narrative", *TEXT_MEASURES}:
+    if wanted & {"consumer_narrative", *TEXT_MEASURES, *STRUCTURE_MEASURES}:
         base = spread(base, "doc_id")
     base = with_text_measures(base.withColumn("has_narrative", has_text(F.col("consumer_narrative"))))
 
@@ -185,4 +185,4 @@ def complaint_rows(
         else:
             kind = "timestamp" if name.startswith("date_") else "string"
             picked.append(F.lit(None).cast(kind).alias(name))
-    return out.select("ingest_seq", *picked, "has_narrative", *TEXT_MEASURES)
+    return out.select("ingest_seq", *picked, "has_narrative", *TEXT_MEASURES, *STRUCTURE_MEASURES)

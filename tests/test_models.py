@@ -161,3 +161,47 @@ def test_trees_on_encoded_rows(spark):
     _, _, df = frame(spark)
     model = models.fit_gbt(df, trees=3, depth=2)
     assert model.score(df, "complaint_id").count() == 400
+
+
+def test_clustered_and_shrunk_slopes(spark):
+    rng = np.random.default_rng(11)
+    rows, groups = [], {"a": 0.4, "b": -0.2, "c": 1.0, "few": 0.0, "flat": 0.0}
+    for group, slope in groups.items():
+        for i in range(9 if group == "few" else 120):
+            month = f"m{i % (3 if group == 'few' else 12)}"
+            t = 0.7 if group == "flat" else float(rng.normal() + 2)
+            rows.append((group, None if month == "m1" else month, t, float(slope * t + rng.normal() + 1)))
+    rows.append((None, "m0", 1.0, 1.0))
+    df = spark.createDataFrame(rows, "g string, month string, treatment_residual double, outcome_residual double")
+    slopes = models.clustered_slopes(df, ["g"], "month")
+    got = {r["level"]: r for r in models.shrunk_slopes(slopes).collect()}
+    assert set(got) == set(groups)
+    assert got["flat"]["slope"] is None and got["few"]["std_error"] is None
+    fits = {}
+    for group in ("a", "b", "c", "few"):
+        own = [r for r in rows if r[0] == group]
+        t, y = (np.array([r[i] for r in own]) for i in (2, 3))
+        t, y = t - t.mean(), y - y.mean()
+        b = (t @ y) / (t @ t)
+        scores = {}
+        for r, s in zip(own, t * (y - b * t), strict=True):
+            scores[r[1]] = scores.get(r[1], 0.0) + s
+        k = len(scores)
+        error = np.sqrt(sum(s * s for s in scores.values()) * k / (k - 1)) / (t @ t)
+        assert got[group]["slope"] == pytest.approx(b, abs=1e-9)
+        assert (got[group]["n"], got[group]["clusters"]) == (len(own), k)
+        if group != "few":
+            assert got[group]["std_error"] == pytest.approx(error, abs=1e-9)
+            fits[group] = (b, error**2)
+    b, v = (np.array(x) for x in zip(*fits.values(), strict=True))
+    w = 1 / v
+    centre = (w @ b) / w.sum()
+    tau2 = max(0.0, (w @ (b - centre) ** 2 - 2) / (w.sum() - (w @ w) / w.sum()))
+    assert tau2 > 0
+    for (group, (slope, error)) in fits.items():
+        assert got[group]["shrunk_slope"] == pytest.approx((slope * tau2 + centre * error) / (tau2 + error), abs=1e-9)
+        assert abs(got[group]["shrunk_slope"] - centre) < abs(slope - centre)
+        assert got[group]["shrunk_error"] == pytest.approx(np.sqrt(tau2 * error / (tau2 + error)), abs=1e-9)
+    for group in ("few", "flat"):
+        assert got[group]["shrunk_slope"] == pytest.approx(centre, abs=1e-9)
+        assert got[group]["shrunk_error"] == pytest.approx(np.sqrt(tau2), abs=1e-9)

@@ -79,10 +79,17 @@ def test_neighbours_equal_brute_force(spark, k):
 
 def test_index_ignores_constant_dimensions(spark):
     df = spark.createDataFrame([(1.0, 4.0), (3.0, 4.0)], "a double, b double")
-    got = [r["expression_index"] for r in shift.expression_index(df, ["a", "b"]).orderBy("a").collect()]
+    got = [r["expression_index"] for r in shift.expression_index(df, {"a": ["a"], "b": ["b"]}).orderBy("a").collect()]
     assert got == [-0.5, 0.5]
 
 
+def test_expression_index_weighs_dimensions_not_measures(spark):
+    rows = [(0.0, 0.0, 4.0), (2.0, 8.0, 4.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = shift.expression_index(df, {"one": ["a"], "two": ["b", "c"]}).orderBy("a").collect()
+    assert [r["expression_index"] for r in got] == [-0.75, 0.75]
+
+
 def test_pca_index(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=200)

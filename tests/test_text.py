@@ -110,6 +110,22 @@ def test_edges(spark, value, wanted):
     assert got == pytest.approx(wanted)
 
 
+@pytest.mark.parametrize(
+    "value, connectives, paragraphs",
+    [
+        (None, 0, 0),
+        (" \t\n\r\n ", 0, 0),
+        ("First I called.\n\n \tThen, however, nobody came\r\nso", 4, 3),
+        ("also alsoran\rbecause", 2, 2),
+        (" " * 200_000 + "\n" * 200_000 + "x", 0, 1),
+    ],
+)
+def test_structure(spark, value, connectives, paragraphs):
+    df = spark.createDataFrame([(value,)], "consumer_narrative string")
+    row = text.with_text_measures(df).first()
+    assert (row["connective_count"], row["n_paragraphs"]) == (connectives, paragraphs)
+
+
 def test_own_lexicon(spark):
     df = spark.createDataFrame([("one two Two twos é é",)], "consumer_narrative string")
     row = text.with_text_measures(df, lexicons={"twos": ["two"], "accents": ["é"]}).first()
