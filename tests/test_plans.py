@@ -21,6 +21,7 @@ EAGER = {
     "average_precision",
     "csv_scan",
     "dominant_topic",
+    "effect_heterogeneity",
     "embedding_clusters",
     "gbt_model",
     "linear_attribution",
@@ -29,6 +30,7 @@ EAGER = {
     "partial_linear_groups",
     "pca_index",
     "response_attribution",
+    "response_calibration",
     "response_model",
     "roc_auc",
     "tfidf_weights",
