@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
 from redressa.operators import blocks, encoding, models
 
@@ -205,3 +206,39 @@ def test_clustered_and_shrunk_slopes(spark):
     for group in ("few", "flat"):
         assert got[group]["shrunk_slope"] == pytest.approx(centre, abs=1e-9)
         assert got[group]["shrunk_error"] == pytest.approx(np.sqrt(tau2), abs=1e-9)
+
+
+def test_gradient_counts_each_train_row_once_when_keys_repeat_or_are_null(spark):
+    x, y, df = frame(spark)
+    keys = F.when(F.col("complaint_id") % 5 == 0, F.lit(None)).otherwise((F.col("complaint_id") % 7).cast("string"))
+    train = df.withColumn("complaint_id", keys)
+    beta = np.array([0.5, -0.25, 0.1, -0.2])
+    fixed = models.Logistic(beta[:3], float(beta[3]), np.zeros(4), 1.0, 0)
+    fitted = models.ResponseModel("label", ["a", "b", "c"], fixed, train, train, train)
+    got = {r["feature"]: r["gradient"] for r in fitted.gradient().collect()}
+    z = np.c_[x, np.ones(len(x))]
+    weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    want = z.T @ (weight * (1 / (1 + np.exp(-z @ beta)) - y)) + beta
+    assert [got[n] for n in ("a", "b", "c", models.INTERCEPT)] == pytest.approx(want.tolist(), abs=1e-9)
+
+
+def test_the_driver_hears_one_array_of_sums_from_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "ROWS", 8)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(64, 3))
+    rows = [(float(i), [float(v) for v in x[i]]) for i in range(64)]
+    df = spark.createDataFrame(rows, "one double, x array<double>").withColumn("features", array_to_vector("x"))
+    written = blocks.sparse_blocks(df.repartition(8), "features", ("one",))
+    heard, frames = [], type(df)
+    collect = frames.collect
+
+    def counted(self):
+        rows = collect(self)
+        heard.append(sum(len(r["sums"]) for r in rows))
+        return rows
+
+    monkeypatch.setattr(frames, "collect", counted)
+    size = 150_001
+    found = blocks.summed(written, lambda b: np.r_[b.n, b.dot_rows(b.given["one"], size - 1)], size)
+    assert found[0] == 64 and found[1:4] == pytest.approx((x * np.arange(64)[:, None]).sum(axis=0).tolist())
+    assert heard == [8 * size]
