@@ -14,6 +14,8 @@ from redressa.sources import records
 
 INGEST = "ingest_seq"
 HEADERS_AT_ONCE = 16
+# Longer CSV files are cut into records by many tasks.
+WHOLE_BYTES = 128 << 20
 
 
 def _with_ingest_order(df: DataFrame, source_no: int) -> DataFrame:
@@ -42,7 +44,7 @@ def _csv(spark: SparkSession) -> DataFrameReader:
     )
 
 
-def _files(spark: SparkSession, paths: Sequence[str]) -> dict[str, int]:
+def file_sizes(spark: SparkSession, paths: Sequence[str]) -> dict[str, int]:
     """Names and lengths of the files behind ``paths``; their contents are not read."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
     rows = listed.filter("length > 0").select("path", "length").collect()
@@ -74,7 +76,7 @@ def _whole(spark: SparkSession, files: Sequence[str], header: Sequence[str], sou
 
 
 def read_csv(
-    spark: SparkSession, path: str | Sequence[str], source_no: int = 0, whole_bytes: int | None = None
+    spark: SparkSession, path: str | Sequence[str], source_no: int = 0, whole_bytes: int = WHOLE_BYTES
 ) -> DataFrame:
     """CSV with header rows; quotes are doubled inside quoted multi-line text.
 
@@ -82,14 +84,12 @@ def read_csv(
     name: Spark alone would take the first file's header for all. Only headers are
     looked at for this, one small read a file.
 
-    A file longer than ``whole_bytes`` (by default what one task scans) is cut into records by many tasks, at the
+    A file longer than ``whole_bytes`` is cut into records by many tasks, at the
     price of a second scan that counts quotes; shorter ones are read by a task each. The rows are the same, but for carriage returns
     inside texts of files whose own lines end with them: Spark's scan of a whole file drops those.
     """
-    sizes = _files(spark, [path] if isinstance(path, str) else list(path))
+    sizes = file_sizes(spark, [path] if isinstance(path, str) else list(path))
     files = list(sizes)
-    if whole_bytes is None:
-        whole_bytes = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
         headers = list(pool.map(lambda f: tuple(_csv(spark).csv(f).columns), files))
     groups: dict[tuple[str, ...], list[str]] = {}
