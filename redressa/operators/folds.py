@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redressa.operators.encoding import RARE, Encoder
-from redressa.operators.vectors import Vocabulary
+from redressa.operators.vectors import Vocabulary, term_uses
 from redressa.session import materialize
 
 
@@ -39,20 +39,28 @@ def fold_vocabularies(
 
     As :func:`redressa.operators.vectors.fit_vocabulary` makes it without the fold.
     """
-    uses = F.transform(F.col(terms), lambda t: F.struct(t.alias("term"), F.lit(1).alias("cf"), F.lit(0).alias("df")))
-    firsts = F.transform(
-        F.array_distinct(F.col(terms)),
-        lambda t: F.struct(t.alias("term"), F.lit(0).alias("cf"), F.lit(1).alias("df")),
-    )
-    sums = (
-        df.select("fold", F.inline(F.concat(uses, firsts)))
-        .groupBy("term", "fold")
-        .agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
+    uses = term_uses(df, terms, ["fold"])
+    counts, use = [], F.col("use")
+    for fold in range(k):
+        own = F.col("fold") == fold
+        counts += [F.count_if(own & use).alias(f"cf{fold}"), F.count_if(own & ~use).alias(f"df{fold}")]
+    sums = uses.groupBy("term").agg(F.count_if(use).alias("cf"), F.count_if(~use).alias("df"), *counts)
+    # A term that is too rare in all rows is too rare in some of them.
+    each = F.array(
+        *[
+            F.struct(
+                F.lit(fold).alias("fold"),
+                (F.col("cf") - F.col(f"cf{fold}")).alias("cf"),
+                (F.col("df") - F.col(f"df{fold}")).alias("df"),
+            )
+            for fold in range(k)
+        ]
     )
+    left_out = sums.filter(F.col("df") >= min_df).select("term", F.inline(each))
     rows = df.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"))
     rows = _left_out(rows.withColumn("all", F.lit(1)), ["all"], ["rows"], _folds(k)).select("fold", "rows")
     # One row a fold.
-    counted = _left_out(sums, ["term"], ["cf", "df"], _folds(k)).join(F.broadcast(rows), "fold")
+    counted = left_out.join(F.broadcast(rows), "fold")
     usable = counted.filter((F.col("df") >= min_df) & (F.col("df") <= F.col("rows") * F.lit(max_df)))
     used = Window.partitionBy("fold").orderBy(F.desc("cf"), "term")
     chosen = usable.withColumn("_place", F.row_number().over(used)).filter(F.col("_place") <= size)
