@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +136,26 @@ def test_long_document_is_whole(spark):
     terms = vectors.with_terms(vectors.narrative_words(df))
     assert terms.select(F.size("terms")).first()[0] == 20000 + 19999
     assert vectors.term_counts(terms).agg(F.sum("cf")).first()[0] == 39999
+
+
+def test_products_unfold_few_rows_at_once(monkeypatch):
+    monkeypatch.setattr(topics, "SLICE", 4)
+    rng = np.random.default_rng(2)
+    x = (rng.random((10, 6)) < 0.4) * rng.random((10, 6))
+    x[3] = 0
+    indices = pa.array([np.flatnonzero(r).tolist() for r in x], pa.list_(pa.int32()))
+    values = pa.array([r[r != 0].tolist() for r in x], pa.list_(pa.float64()))
+    parts = list(topics._slices(indices, values))
+    assert [b.n for b in parts] == [4, 4, 2]
+    dense, left = rng.random((6, 3)), rng.random((10, 3))
+    assert np.allclose(np.vstack([b.times(dense) for b in parts]), x @ dense)
+    at = [0, 4, 8, 10]
+    turned = sum(b.transposed_times(left[i:j], 6) for b, i, j in zip(parts, at, at[1:], strict=False))
+    assert np.allclose(turned, x.T @ left)
+
+
+def test_term_uses_are_emitted_without_a_lambda(spark):
+    df = spark.createDataFrame([(["a", "b", "a"],), (["a"],), ([],)], "terms array<string>")
+    counts = vectors.term_counts(df)
+    assert {tuple(r) for r in counts.collect()} == {("a", 3, 2), ("b", 1, 1)}
+    assert "lambda" not in counts._jdf.queryExecution().executedPlan().toString()
