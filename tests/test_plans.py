@@ -5,8 +5,11 @@ import re
 import numpy as np
 import pytest
 
-from redressa.operators import shift, topics, vectors
+from redressa import session
+from redressa.operators import folds, shift, topics, vectors
+from redressa.plans import queries
 from redressa.plans.queries import MATCHED, QUERIES, modeling
+from redressa.sources.writers import write_table
 
 SF_DIR = "/root/testdata/sf0.001"
 # These start jobs or run Python batches by nature; the rest is planned only.
@@ -101,3 +104,36 @@ def test_topics_are_labelled_without_an_exchange(spark):
 def test_filters_reach_the_scan(spark):
     text = plan(spark, "source_manifest")
     assert "EqualTo(toxic,1)" in text
+
+
+def test_terms_of_all_folds_are_shuffled_once(spark):
+    df = spark.createDataFrame([(f, ["x", "y"]) for f in (0, 1, 2)], "fold int, terms array<string>")
+    plan = folds.fold_vocabularies(df, 3, min_df=1)._jdf.queryExecution().executedPlan().toString()
+    assert len(set(re.findall(r"hashpartitioning\(term#\d+, ", plan))) == 1
+    assert not re.search(r"hashpartitioning\(term#\d+, fold#", plan)
+
+
+def test_a_scan_task_reads_a_bounded_part(spark):
+    name = "spark.sql.files.maxPartitionBytes"
+    kept = spark.conf.get(name)
+    for given, wanted in (("134217728b", session.SCAN_BYTES), (str(1 << 20), 1 << 20)):
+        spark.conf.set(name, given)
+        session.configure(spark)
+        assert spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() == wanted
+    spark.conf.set(name, kept)
+
+
+def test_no_task_writes_a_csv_of_all_documents(spark, monkeypatch, tmp_path):
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('a \"text\", ', id) AS text", "'s' AS source")
+    docs.repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    written = []
+    monkeypatch.setattr(queries, "CSV_BYTES", 1000)
+    monkeypatch.setattr(queries, "write_table", lambda df, *args: written.append(df) or write_table(df, *args))
+    found = QUERIES["csv_blocks"](spark, str(tmp_path))
+    assert written[0].rdd.getNumPartitions() > 1
+    assert found.count() == found.select("complaint_id").distinct().count() == 40
+
+
+def test_orders_are_not_shuffled_for_their_supplier(spark):
+    plan = QUERIES["freq_company"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"s_suppkey#\d+L? >= -9", plan)

@@ -149,3 +149,10 @@ def test_topic_words(spark):
     df = spark.createDataFrame([("The éabc abc1 foo_bar big don't x-ray ok",)], "t string")
     got = df.select(text.topic_words(F.lower("t"))).first()[0]
     assert got == ["the", "big", "don", "ray"]
+
+
+def test_a_term_is_replaced_only_where_it_is(spark):
+    counted = text.count_terms(F.col("t"), ["aa", "b"])
+    df = spark.createDataFrame([("aaab",), ("xyz",), ("",), (None,)], "t string").select("t", counted.alias("n"))
+    assert [r["n"] for r in df.collect()][:3] == [2, 0, 0]
+    assert "contains" in df._jdf.queryExecution().analyzed().toString().lower()
