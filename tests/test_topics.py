@@ -159,3 +159,37 @@ def test_term_uses_are_emitted_without_a_lambda(spark):
     counts = vectors.term_counts(df)
     assert {tuple(r) for r in counts.collect()} == {("a", 3, 2), ("b", 1, 1)}
     assert "lambda" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbered_pairs_give_the_same_vocabulary_and_uses(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(60)]
+    share = 1 / np.arange(1, 61)
+    rows = [
+        (f"s{i % 3}" if i % 7 else None, rng.choice(words, size=int(rng.integers(0, 30)), p=share / share.sum()).tolist())
+        for i in range(200)
+    ]
+    rows += [("s0", None), ("few", ["once", "twice", "twice"])]
+    df = spark.createDataFrame(rows, "source string, kept_words array<string>")
+    terms = vectors.with_terms(df)
+    for options in ({"size": 20}, {"size": 5000}, {"size": 35, "min_df": 20, "max_df": 0.5}, {"size": 20, "min_df": 1, "max_df": 1.0}):
+        plain = vectors.fit_vocabulary(terms, **options).collect()
+        found = vectors.fit_vocabulary(terms, **options, words="kept_words").collect()
+        assert sorted(plain) == sorted(found) and any(" " in r["term"] for r in found)
+        counted = vectors._leading_counts(df, "kept_words", options.get("min_df", 5), options.get("max_df", 0.9), options["size"])
+        assert counted.count() < vectors.term_counts(terms).count()
+    uses = terms.select("source", F.explode("terms").alias("term")).groupBy("source", "term")
+    uses = uses.agg(F.count(F.lit(1)).alias("weight"))
+    leading = vectors.leading_uses(df, "source", "kept_words", 5)
+    assert leading.count() < uses.count()
+    lists = [sorted(topics.keyword_lists(u, "source", 5).collect(), key=str) for u in (uses, leading)]
+    assert lists[0] == lists[1] and len(lists[0]) == 5
+
+
+def test_too_many_words_are_counted_without_numbers(spark, monkeypatch):
+    df = spark.createDataFrame([("a", ["one", "two", "one", "two"])] * 6, "source string, kept_words array<string>")
+    monkeypatch.setattr(vectors, "NUMBERED", 1)
+    terms = vectors.with_terms(df)
+    plain = vectors.fit_vocabulary(terms, max_df=1.0).collect()
+    assert sorted(plain) == sorted(vectors.fit_vocabulary(terms, max_df=1.0, words="kept_words").collect())
+    assert {r["term"]: r["weight"] for r in vectors.leading_uses(df, "source", "kept_words", 3).collect()}["one two"] == 12
