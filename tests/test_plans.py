@@ -137,3 +137,11 @@ def test_no_task_writes_a_csv_of_all_documents(spark, monkeypatch, tmp_path):
 def test_orders_are_not_shuffled_for_their_supplier(spark):
     plan = QUERIES["freq_company"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"s_suppkey#\d+L? >= -9", plan)
+
+
+def test_a_carried_narrative_is_measured_after_the_dedup(spark):
+    plan = modeling(spark, SF_DIR, "consumer_narrative", "n_words").select("consumer_narrative", "n_words")
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    # Words are found above the dedup's window, in rows that its filter has left.
+    assert text.index("regexp_extract_all") < text.index("Window")
+    assert "regexp_extract_all" not in text[text.index("Window") :]
