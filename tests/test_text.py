@@ -1,9 +1,11 @@
 """Text measures on edge cases; the oracles cover whole documents."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from redressa.functions import text
+from redressa.functions import batches, text
+from redressa.operators.vectors import narrative_words
 
 # Text -> the measures that are not zero. Recorded from this code, after it had
 # agreed with Python's re and str.count on the same texts.
@@ -156,3 +158,32 @@ def test_a_term_is_replaced_only_where_it_is(spark):
     df = spark.createDataFrame([("aaab",), ("xyz",), ("",), (None,)], "t string").select("t", counted.alias("n"))
     assert [r["n"] for r in df.collect()][:3] == [2, 0, 0]
     assert "contains" in df._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_batched_measures_and_words_equal_the_expressions(spark):
+    texts = [t for t, _ in EDGES] + [
+        "a'b'c'd e''f 'g h'", "1.2.3.4 5..6 .7 8.", "٣.٤.5", "Kelvin K K'k", "İİ'x K", "ab²c abc² xabc_ abc_d",
+        "\n\n a\r\n \t b\n", "evidencevidence asapasap", "rent\nrent renT", "$1,2.3 {$5} {$5.} {$5.55} $ $,", "XX́ x XXx XX",
+        "a\0b\0\0", "𝟘𝟙 𝐚bc", "ßabc abcß the account is late", "ΣΑΣ abc", " \t \n \r x", "was " * 3000 + "🙂", "word" * 700,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts * 2)), "id int, consumer_narrative string").repartition(2)
+    names = ["id", *text.TEXT_MEASURES, *text.STRUCTURE_MEASURES, "kept_words"]
+    plain = narrative_words(text.with_text_measures(df)).select(names).sort("id")
+    batched = narrative_words(text.with_text_measures(df, batched=True), batched=True).select(names).sort("id")
+    assert [f.dataType.typeName() for f in batched.schema] == [f.dataType.typeName() for f in plain.schema]
+    assert batched.collect() == plain.collect()
+
+
+def test_batched_texts_are_cut_into_chunks(spark, monkeypatch):
+    monkeypatch.setattr(batches, "CHUNK", 50)
+    monkeypatch.setattr(batches, "CHUNK_TEXTS", 3)
+    monkeypatch.setattr(batches, "TABLE", 4)
+    kinds = {"n_words": pa.int32(), "lexical_diversity": pa.float64(), "late": pa.int32()}
+    texts = ["one two one", None, "a b c d e " * 20, "", "x", "late Late latelate", "two two"]
+    found = batches.measures(kinds, {"late": ["late", "te l"]}, ["one"])(pa.array(texts, pa.string())).to_pylist()
+    assert [r["n_words"] for r in found] == [3, 0, 100, 0, 1, 3, 2]
+    assert [r["late"] for r in found] == [0, 0, 0, 0, 0, 6, 0]
+    assert [r["lexical_diversity"] for r in found] == [2 / 3, 0, 0.05, 0, 1, 2 / 3, 0.5]
+    words = batches.topic_words(["two"])(pa.array(["two one oneé", None, "Abc two"], pa.string()))
+    assert words.to_pylist() == [["one"], [], ["abc"]]
+    assert len(batches.topic_words([])(pa.array([], pa.string()))) == len(batches.measures(kinds, {"late": []}, [])(pa.array([], pa.string()))) == 0
