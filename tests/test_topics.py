@@ -193,3 +193,16 @@ def test_too_many_words_are_counted_without_numbers(spark, monkeypatch):
     plain = vectors.fit_vocabulary(terms, max_df=1.0).collect()
     assert sorted(plain) == sorted(vectors.fit_vocabulary(terms, max_df=1.0, words="kept_words").collect())
     assert {r["term"]: r["weight"] for r in vectors.leading_uses(df, "source", "kept_words", 3).collect()}["one two"] == 12
+
+
+def test_vectors_of_words_equal_those_of_their_terms(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELLS", 20)
+    lists = [["late", "fee", "late", "fee"], [], ["x"], ["fee"], ["a b", "c"], ["a", "b c"], ["late", "", "fee"], ["fee", "late", "x"] * 30]
+    df = spark.createDataFrame(list(enumerate(lists)), "id int, words array<string>").coalesce(1)
+    vocabulary = vectors.Vocabulary(["a", "a b c", "fee", "fee late", "late", "late fee", "late "], [1.1, 1.2, 1.3, 1.7, 1.9, 2.3, 0.7])
+    given = vectors.with_tfidf(vectors.with_terms(df, "words"), vocabulary).sort("id").collect()
+    found = vectors.with_tfidf(df, vocabulary, words="words").sort("id").collect()
+    assert [r.tfidf for r in found] == [r.tfidf for r in given]
+    assert all(type(a.tfidf) is type(b.tfidf) for a, b in zip(found, given, strict=True))
+    nothing = spark.createDataFrame([(1, None)], "id int, words array<string>")
+    assert vectors.with_tfidf(nothing, vocabulary, words="words").first().tfidf.numNonzeros() == 0
